@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import exact_dedup
+from ledgerloom.llm import bpe, exact_dedup
 
-MODULES = [exact_dedup]
+MODULES = [bpe, exact_dedup]
 
 
 def queries() -> dict:
