@@ -30,6 +30,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once, also where `body` uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
     sc = spark.sparkContext

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup
+from ledgerloom.llm import bpe, exact_dedup, secrets, url_filter
 
-MODULES = [bpe, exact_dedup]
+MODULES = [bpe, url_filter, exact_dedup, secrets]
 
 
 def queries() -> dict:
