@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, exact_dedup, secrets, url_filter
+from ledgerloom.llm import bpe, decontaminate, exact_dedup, pii, secrets, url_filter
 
-MODULES = [bpe, url_filter, exact_dedup, secrets]
+MODULES = [bpe, url_filter, exact_dedup, pii, secrets, decontaminate]
 
 
 def queries() -> dict:
