@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, decontaminate, exact_dedup, pii, secrets, url_filter
+from ledgerloom.llm import bpe, decontaminate, exact_dedup, pii, secrets, toxicity, url_filter
 
-MODULES = [bpe, url_filter, exact_dedup, pii, secrets, decontaminate]
+MODULES = [bpe, url_filter, exact_dedup, pii, secrets, toxicity, decontaminate]
 
 
 def queries() -> dict:
