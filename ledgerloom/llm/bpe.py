@@ -36,7 +36,7 @@ SLICE = 1 << 16
 #: Words longer than this are encoded in windows.
 DIRECT = 256
 #: Words whose tokens are remembered in each Python worker.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 
 # The white space characters of Unicode.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -101,6 +101,7 @@ class Transducer:
         self.end = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_ids = set(self.special.values())
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         self.lookahead = sufficient_lookahead([(a.removesuffix(self.end), b.removesuffix(self.end)) for a, b in pairs])
@@ -110,7 +111,9 @@ class Transducer:
         self.split_any = _splitter(sys.maxunicode + 1)
         self.white = re.compile(f"[{WHITE}]")
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.byte = {c: b for b, c in enumerate(self.chars)}
+        self.first, self.closing = [self.vocab[c] for c in self.chars], [self.vocab[c + self.end] for c in self.chars]
+        #: bytes of each token, and whether it ends a word
+        self.bytes_of = {i: (bytes(byte[c] for c in s.removesuffix(self.end)), s.endswith(self.end)) for byte in [{c: b for b, c in enumerate(self.chars)}] for s, i in self.vocab.items()}
         self.known: dict[str, tuple[str, int, str, str]] = {}
 
     # encoding
@@ -138,16 +141,34 @@ class Transducer:
                 heapq.heappush(heap, (got[0], h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """The same for short lists, where scanning the ranks of all pairs is faster."""
+        get, none = self.ranks.get, (1 << 30, -1)
+        pairs = [get(p, none) for p in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best is none:
+                break
+            i = pairs.index(best)
+            ids[i : i + 2] = [best[1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(pairs):
+                pairs[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
     def _symbols(self, word: bytes, last: bool) -> list[int]:
-        out = [self.vocab[self.chars[b]] for b in word]
+        first = self.first
+        out = [first[b] for b in word]
         if last and out:
-            out[-1] = self.vocab[self.chars[word[-1]] + self.end]
+            out[-1] = self.closing[word[-1]]
         return out
 
     def word_ids(self, word: bytes) -> Iterator[int]:
         """The tokens of one word, each emitted once no later symbol can change it."""
         if len(word) <= DIRECT:
-            yield from self._merge(self._symbols(word, True))
+            yield from (self._merge_short if len(word) <= 24 else self._merge)(self._symbols(word, True))
             return
         at, window = 0, 2 * self.lookahead + DIRECT
         while at < len(word):
@@ -167,12 +188,12 @@ class Transducer:
                 return split(s)
         return self.split_any(s)
 
-    def _pieces(self, text: str) -> Iterator[str | int]:
-        """Words of a text, in slices; special tokens as their ids."""
+    def _slices(self, text: str) -> Iterator[list[str | int]]:
+        """Words of a text slice by slice, with special tokens as their ids."""
         parts = self.specials.split(text) if self.specials else [text]
         for part in parts:
             if part in self.special:
-                yield self.special[part]
+                yield [self.special[part]]
                 continue
             at = 0
             while at < len(part):
@@ -183,15 +204,16 @@ class Transducer:
                 s = part[at:to]
                 if not s.isascii():
                     s = unicodedata.normalize("NFC", s).replace("Σ", "σ")  # lower() would look at a sigma's neighbours
-                yield from self._words(s.lower())
+                yield self._words(s.lower())
                 at = to
 
     def encode(self, text: str | None) -> Iterator[int]:
-        for p in self._pieces(text or ""):
-            if isinstance(p, int):
-                yield p
-            else:
-                yield from self.word_ids(p.encode("utf-8"))
+        for words in self._slices(text or ""):
+            for w in words:
+                if isinstance(w, int):
+                    yield w
+                else:
+                    yield from self.word_ids(w.encode("utf-8"))
 
     # decoding
 
@@ -203,21 +225,20 @@ class Transducer:
         """The text of tokens; words end with a space."""
         state = ByteText()
         for i in ids:
-            s = self.piece[i]
-            if i in self.special.values():
-                yield state.flush() + s
-                continue
-            ends = bool(self.end) and s.endswith(self.end)
-            yield state.feed(bytes(self.byte[c] for c in (s.removesuffix(self.end) if ends else s))) + (state.flush() + " " if ends else "")
+            data, ends = self.bytes_of.get(i, (b"", False))
+            if i in self.special_ids:
+                yield state.flush() + self.piece[i]
+            else:
+                yield state.feed(data) + (state.flush() + " " if ends else "")
         yield state.flush()
 
     # both, with memory of words
 
-    def round_trip(self, word: str | int) -> tuple[str, int, str, str]:
-        """(ids joined by spaces, their number, pieces, text) of a word or special token."""
+    def round_trip(self, word: str | int) -> tuple[str, str, str, int]:
+        """(ids joined by spaces, pieces, text, number of ids) of a word or special token."""
         if (got := self.known.get(word)) is None:
             ids = [word] if isinstance(word, int) else list(self.word_ids(word.encode("utf-8")))
-            got = (" ".join(map(str, ids)), len(ids), self.pieces(ids), "".join(self.text(ids)))
+            got = (" ".join(map(str, ids)), self.pieces(ids), "".join(self.text(ids)), len(ids))
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             if isinstance(word, int) or len(word) <= 64:
@@ -229,14 +250,16 @@ class ByteText:
     """Bytes to text, one step at a time. The state is the bytes of a character that isn't complete yet; wrong bytes become U+FFFD."""
 
     def __init__(self):
-        self._decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        self._rest = b""
 
     def feed(self, data: bytes) -> str:
-        return self._decoder.decode(data)
+        data = self._rest + data
+        out, used = codecs.utf_8_decode(data, "replace", False)
+        self._rest = data[used:]
+        return out
 
     def flush(self) -> str:
-        out = self._decoder.decode(b"", True)
-        self._decoder.reset()
+        out, self._rest = self._rest.decode("utf-8", "replace"), b""
         return out
 
 
@@ -247,26 +270,16 @@ def transducer(path: str) -> Transducer:
 
 
 def _digests(t: Transducer, text: str | None) -> tuple[int, str, str, str]:
-    n, first = 0, True
+    n, lead = 0, ""
     ids, pieces, plain = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
-    block: list = []
-
-    def flush():
-        nonlocal n, first
-        got = [g for w in block if (g := t.known.get(w) or t.round_trip(w))[1]]
-        if got:
-            lead = "" if first else " "
-            ids.update((lead + " ".join([g[0] for g in got])).encode())
-            pieces.update((lead + " ".join([g[2] for g in got])).encode())
-            plain.update("".join([g[3] for g in got]).encode())
-            n, first = n + sum([g[1] for g in got]), False
-        block.clear()
-
-    for w in t._pieces(text or ""):
-        block.append(w)
-        if len(block) >= 8192:
-            flush()
-    flush()
+    known, slow = t.known.get, t.round_trip
+    for words in t._slices(text or ""):
+        if words:
+            a, b, c, d = zip(*[known(w) or slow(w) for w in words])
+            ids.update((lead + " ".join(a)).encode())
+            pieces.update((lead + " ".join(b)).encode())
+            plain.update("".join(c).encode())
+            n, lead = n + sum(d), " "
     return n, ids.hexdigest(), pieces.hexdigest(), plain.hexdigest()
 
 
