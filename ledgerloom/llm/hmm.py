@@ -37,6 +37,8 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The token after the last word; no word is empty.
 END = ""
 SEGMENT = 64
+#: Tokens of prior for the states of a class.
+PULL = 5.0
 BLOCK_BYTES = 8_000_000
 
 
@@ -289,8 +291,9 @@ def lm_scores(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "te
         starts, moves, emissions = flat[:states], flat[states : states + states**2].reshape(states, states), flat[states + states**2 :].reshape(-1, states)
         pi = (starts + 1) / (starts + 1).sum()
         a = (moves + 1) / (moves + 1).sum(1, keepdims=True)
-        # every class keeps a share in every state, in proportion to its weight
-        b = emissions + (weight / weight.sum() * classes.n * 0.1)[:, None]
+        # states of a class, drawn towards those of all classes by PULL tokens: a class seen once says little
+        states_of = emissions + PULL * emissions.sum(0) / emissions.sum()
+        b = weight[:, None] * states_of / states_of.sum(1, keepdims=True)
         b = b / b.sum(0)
     params = spark.sparkContext.broadcast((pi, a, b))
 
