@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, decontaminate, exact_dedup, hmm, pii, secrets, toxicity, url_filter
+from ledgerloom.llm import bpe, decontaminate, exact_dedup, hmm, near_dedup, pii, secrets, toxicity, url_filter
 
-MODULES = [bpe, url_filter, exact_dedup, hmm, pii, secrets, hmm, toxicity, decontaminate]
+MODULES = [bpe, url_filter, near_dedup, exact_dedup, hmm, near_dedup, pii, secrets, hmm, toxicity, decontaminate]
 
 
 def queries() -> dict:
