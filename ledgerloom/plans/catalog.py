@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from ledgerloom.operators import retrieval
+
+MODULES = [retrieval]
 
 
 def queries() -> dict:
