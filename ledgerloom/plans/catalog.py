@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.operators import retrieval
+from ledgerloom.functions import normalize
+from ledgerloom.operators import chunking, retrieval
 
-MODULES = [retrieval]
+MODULES = [retrieval, normalize, chunking]
 
 
 def queries() -> dict:
