@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.functions import normalize
-from ledgerloom.operators import chunking, retrieval
+from ledgerloom.functions import normalize, rules
+from ledgerloom.operators import chunking, evidence, retrieval
 
-MODULES = [retrieval, normalize, chunking]
+MODULES = [retrieval, normalize, chunking, evidence, rules]
 
 
 def queries() -> dict:
