@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ledgerloom.functions import normalize, rules
-from ledgerloom.operators import chunking, evidence, retrieval
+from ledgerloom.operators import chunking, evidence, observability, records, retrieval
 
-MODULES = [retrieval, normalize, chunking, evidence, rules]
+MODULES = [retrieval, normalize, chunking, evidence, rules, observability, records]
 
 
 def queries() -> dict:
