@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.tables import read
-from ledgerloom.functions.text import any_of, collapsed
+from ledgerloom.functions.text import any_of, collapsed, let
 from ledgerloom.operators import retrieval
 
 # The polarity of a text is decided by these substrings.
@@ -21,7 +21,7 @@ def compress(text: Column, query: Column, most: int = 900, sentences: int = 4, e
     raw = collapsed(F.coalesce(text, F.lit("")))
     terms = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(query, F.lit("")), F.lit(r"[一-鿿A-Za-z0-9]{2,}"), F.lit(0)), lambda t: F.lower(t)))
     parts = F.filter(F.transform(F.split(raw, rf"(?<=[{ends}])\s*"), lambda s: F.trim(s)), lambda s: s != "")
-    scored = F.transform(parts, lambda s, i: F.struct((-F.size(F.filter(terms, lambda t: F.contains(F.lower(s), t)))).alias("score"), i.alias("i"), s.alias("s")))
+    scored = let(terms, lambda ts: F.transform(parts, lambda s, i: let(F.lower(s), lambda low: F.struct((-F.size(F.filter(ts, lambda t: F.contains(low, t)))).alias("score"), i.alias("i"), s.alias("s")))))
     best = F.array_join(F.transform(F.slice(F.array_sort(scored), 1, sentences), lambda x: x["s"]), " ")
     cut = F.when(F.length(best) > most, F.concat(F.rtrim(F.left(best, F.lit(most))), F.lit("..."))).otherwise(best)
     return F.when(F.length(raw) <= most, raw).otherwise(cut)

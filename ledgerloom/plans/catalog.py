@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ledgerloom.functions import normalize, rules
-from ledgerloom.operators import chunking, evidence, observability, records, retrieval
+from ledgerloom.operators import chunking, evaluate, evidence, observability, records, retrieval, versions
 
-MODULES = [retrieval, normalize, chunking, evidence, rules, observability, records]
+MODULES = [retrieval, normalize, chunking, evidence, rules, observability, records, versions, evaluate]
 
 
 def queries() -> dict:
