@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from ledgerloom.functions import normalize, rules
 from ledgerloom.operators import chunking, evaluate, evidence, observability, records, retrieval, versions
+from ledgerloom.sources import readers
+from ledgerloom.streaming import state
 
-MODULES = [retrieval, normalize, chunking, evidence, rules, observability, records, versions, evaluate]
+MODULES = [retrieval, normalize, chunking, evidence, rules, observability, records, versions, evaluate, state, readers]
 
 
 def queries() -> dict:
