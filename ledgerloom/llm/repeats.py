@@ -179,14 +179,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def repeated(t: pa.Table) -> pa.Table:
-        once = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("once")]
-        more = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("more")]
-        all_, count = np.unique(np.concatenate([*once, *more, *more]), return_counts=True)
+        """One bucket: for each block, the hashes that occur in another document as well."""
+        block = t.column("block").to_numpy().astype(np.uint64)
+        joined = [b"".join(t.column(c).to_pylist()) for c in ("once", "more")]
+        width = [np.array([len(x) // 4 for x in t.column(c).to_pylist()], np.int64) for c in ("once", "more")]
+        once, more = (np.frombuffer(x, np.uint32) for x in joined)
+        all_, count = np.unique(np.concatenate([once, more, more]), return_counts=True)
         hot = all_[count > 1]
-        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"), "hashes": pa.array([np.concatenate([o[np.isin(o, hot)], m]).tobytes() for o, m in zip(once, more)], pa.binary())})
+        keep = hot[np.minimum(np.searchsorted(hot, once), max(0, len(hot) - 1))] == once if len(hot) else np.zeros(len(once), bool)
+        key = np.unique(np.concatenate([(np.repeat(block, width[0]) << U(32) | once)[keep], np.repeat(block, width[1]) << U(32) | more]))
+        owner, short = (key >> U(32)).astype(np.int32), (key & U(0xFFFFFFFF)).astype(np.uint32)
+        cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(key) else np.zeros(0, np.int64)
+        rows = [short[a:z].tobytes() for a, z in zip(cut, np.r_[cut[1:], len(key)])]
+        return pa.table({"block": pa.array(owner[cut], pa.int32()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(cut), pa.int32()), "hashes": pa.array(rows, pa.binary())})
 
     shared = known.select("id", "text", "block").mapInArrow(anchors, "bucket int, block int, once binary, more binary")
-    shared = shared.groupBy("bucket").applyInArrow(repeated, "block int, bucket int, hashes binary").where("length(hashes) > 0")
+    shared = shared.groupBy("bucket").applyInArrow(repeated, "block int, bucket int, hashes binary")
 
     def candidates(t: pa.Table, wanted: np.ndarray):
         """(snippet, anchor, id, offset, windows) of the runs of a block whose anchor is wanted."""
