@@ -29,11 +29,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _grams(w: Column, size: int | Column, step: int | Column = 1) -> Column:
+def _grams(words_: Column, size: int | Column, step: int | Column = 1) -> Column:
     """Runs of `size` words, at every `step`-th word; none where there are fewer words."""
-    last = F.size(w) - size
-    starts = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.floor(F.greatest(last, F.lit(0)) / step).cast("int")), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(w, i + 1, size).alias("w")))
+
+    def runs(w):
+        last = F.size(w) - size
+        starts = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.floor(F.greatest(last, F.lit(0)) / step).cast("int")), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(w, i + 1, size).alias("w")))
+
+    return let(words_, runs)
 
 
 def benchmark_windows(items: DataFrame, n: int = N, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
