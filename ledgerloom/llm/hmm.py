@@ -22,7 +22,6 @@ long texts need no long loop, and the likelihood is exact.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -32,23 +31,23 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import text_bytes, written
 
-WORD = re.compile("[^\x20\x09-\x0d]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The token after the last word; no word is empty.
-END = ""
+END = b""
 SEGMENT = 64
 #: Tokens of prior for the states of a class.
 PULL = 5.0
 BLOCK_BYTES = 8_000_000
 
 
-def tokens(text: str | None) -> list[str]:
-    return [*WORD.findall((text or "").translate(LOWER)), END]
+def tokens(text: str | None) -> list[bytes]:
+    """Words in UTF-8, split at the white space of ASCII, A-Z lower-cased, and END."""
+    return [*(text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split(), END]
 
 
-def hash64(s: str) -> int:
+def hash64(s: bytes) -> int:
     h = 0xCBF29CE484222325
-    for b in s.encode("utf-8", "surrogatepass"):
+    for b in s:
         h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
     return h ^ h >> 31
 
@@ -56,12 +55,12 @@ def hash64(s: str) -> int:
 class Classes:
     """Class of each word: 0 .. top-1 for the frequent ones, top .. top+tail-1 for the others."""
 
-    def __init__(self, frequent: list[str], tail: int):
+    def __init__(self, frequent: list[bytes], tail: int):
         self.known = {w: i for i, w in enumerate(frequent)}
         self.top, self.tail, self.n = len(frequent), tail, len(frequent) + tail
-        self.stems: dict[str, int] = {}
+        self.stems: dict[bytes, int] = {}
 
-    def __call__(self, word: str) -> int:
+    def __call__(self, word: bytes) -> int:
         c = self.known.get(word)
         if c is None:
             stem = word[:3]
@@ -74,120 +73,107 @@ class Classes:
 # numpy: recursions over segments
 
 
-def _cut(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of sequences of the given lengths: text of each, its first token in the concatenation, and its length."""
-    n = -(-lengths // SEGMENT)
-    text = np.repeat(np.arange(len(lengths)), n)
-    order = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    first = np.repeat(np.cumsum(lengths) - lengths, n) + order * SEGMENT
-    return text, first, np.minimum(SEGMENT, np.repeat(lengths, n) - order * SEGMENT)
-
-
-def _chain(m: np.ndarray, text: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    """State distribution before each segment, given transfer matrices m of all segments; segments of a text follow each other."""
-    start = np.empty((len(text), m.shape[1]))
-    place = np.arange(len(text)) - np.searchsorted(text, text)
-    order = np.argsort(place, kind="stable")
-    at = 0
-    for k, size in enumerate(np.bincount(place)):
-        now = order[at : at + size]
-        at += size
-        if k == 0:
-            start[now] = pi
-        else:
-            v = np.einsum("si,sij->sj", start[now - 1], m[now - 1])
-            start[now] = v / v.sum(1, keepdims=True)
+class _Segments:
+    """Sequences cut into segments, sorted by falling length, so that those that reach a place are the first ones."""
+
+    def __init__(self, classes: np.ndarray, lengths: np.ndarray):
+        n = -(-lengths // SEGMENT)
+        text = np.repeat(np.arange(len(lengths)), n)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        first = np.repeat(np.cumsum(lengths) - lengths, n) + place * SEGMENT
+        length = np.minimum(SEGMENT, np.repeat(lengths, n) - place * SEGMENT)
+        order = np.argsort(-length, kind="stable")
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        self.text, self.length, self.texts = text[order], length[order], len(lengths)
+        self.head, self.tail = where[np.cumsum(n) - n], where[np.cumsum(n) - 1]
+        self.last = np.zeros(len(order), bool)
+        self.last[self.tail] = True
+        # segments by their place in the text, and those before them
+        by_place = np.argsort(place, kind="stable")
+        cut = np.r_[0, np.cumsum(np.bincount(place))]
+        self.steps = [(where[by_place[a:b]], where[by_place[a:b] - 1]) for a, b in zip(cut[1:-1], cut[2:])]
+        self.x = classes[np.minimum(first[order][None, :] + np.arange(int(length.max()))[:, None], len(classes) - 1)]
+        self.live = [int(np.searchsorted(-self.length, -t, "left")) for t in range(len(self.x))]  # segments longer than t
+
+
+def _transfers(g: _Segments, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product over a segment's tokens of diag(emission) * transition, up to a factor. b: relative emissions, at most one."""
+    k = len(a)
+    m = np.broadcast_to(np.eye(k), (len(g.text), k, k)).copy()
+    for t, n in enumerate(g.live):
+        step = m[:n] * b[g.x[t, :n]][:, None, :]
+        m[:n] = (step.reshape(-1, k) @ a).reshape(n, k, k)
+        if t % 16 == 15:
+            m[:n] /= m[:n].sum((1, 2), keepdims=True)
+    return m
+
+
+def _chain(g: _Segments, m: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """State distribution before each segment."""
+    start = np.broadcast_to(pi, (len(g.text), len(pi))).copy()
+    for now, before in g.steps:
+        v = np.einsum("si,sij->sj", start[before], m[before])
+        start[now] = v / v.sum(1, keepdims=True)
     return start
 
 
-def _chain_back(m: np.ndarray, text: np.ndarray) -> np.ndarray:
+def _chain_back(g: _Segments, m: np.ndarray) -> np.ndarray:
     """Backward message after each segment, scaled."""
-    end = np.ones((len(text), m.shape[1]))
-    place = np.searchsorted(text, text, "right") - 1 - np.arange(len(text))
-    order = np.argsort(place, kind="stable")
-    sizes = np.bincount(place)
-    at = int(sizes[0])
-    for size in sizes[1:]:
-        now = order[at : at + size]
-        at += size
-        v = np.einsum("sij,sj->si", m[now + 1], end[now + 1])
+    end = np.ones((len(g.text), m.shape[1]))
+    for after, now in reversed(g.steps):
+        v = np.einsum("sij,sj->si", m[after], end[after])
         end[now] = v / v.sum(1, keepdims=True)
     return end
 
 
-def _padded(classes: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """(longest, segments) classes by place in the segment; -1 after the end."""
-    at = first[None, :] + np.arange(int(length.max()))[:, None]
-    return np.where(np.arange(at.shape[0])[:, None] < length[None, :], classes[np.minimum(at, len(classes) - 1)], -1)
-
-
-def _transfers(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Product over a segment's tokens of diag(emission) * transition, scaled to sum to one."""
-    k = len(a)
-    m = np.broadcast_to(np.eye(k), (x.shape[1], k, k)).copy()
-    for row in x:
-        live = np.flatnonzero(row >= 0)
-        step = (m[live] * b[row[live]][:, None, :]) @ a
-        m[live] = step / step.sum((1, 2), keepdims=True)
-    return m
-
-
 def log_likelihood(classes: np.ndarray, lengths: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Natural logarithm of the probability of each class sequence (none is empty). b: (classes, states)."""
-    text, first, length = _cut(lengths)
-    x = _padded(classes, first, length)
-    alpha = _chain(_transfers(x, a, b), text, pi)
-    total = np.zeros(len(text))
-    for row in x:
-        live = np.flatnonzero(row >= 0)
-        joint = alpha[live] * b[row[live]]
+    g = _Segments(classes, lengths)
+    alpha = _chain(g, _transfers(g, a, b / b.max(1, keepdims=True)), pi)
+    total = np.zeros(len(g.text))
+    for t, n in enumerate(g.live):
+        joint = alpha[:n] * b[g.x[t, :n]]
         scale = joint.sum(1)
-        total[live] += np.log(scale)
-        alpha[live] = joint / scale[:, None] @ a
-    return np.bincount(text, total, len(lengths))
+        total[:n] += np.log(scale)
+        alpha[:n] = joint / scale[:, None] @ a
+    return np.bincount(g.text, total, g.texts)
 
 
 def expected_counts(classes: np.ndarray, lengths: np.ndarray, pi: np.ndarray, a: np.ndarray, b: np.ndarray):
     """Baum-Welch statistics of a batch: first states, transitions, and emissions (classes, states)."""
-    text, first, length = _cut(lengths)
-    x = _padded(classes, first, length)
-    m = _transfers(x, a, b)
-    alpha, beta = _chain(m, text, pi), _chain_back(m, text)
-    before = np.empty((*x.shape, len(a)))
-    for t, row in enumerate(x):  # before[t]: state distribution before token t
-        before[t] = alpha
-        live = np.flatnonzero(row >= 0)
-        joint = alpha[live] * b[row[live]]
-        alpha[live] = joint / joint.sum(1, keepdims=True) @ a
-    emissions, moves, starts = np.zeros((len(b), len(a))), np.zeros_like(a), np.zeros(len(a))
-    head = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-    last = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
-    ends = np.zeros(len(text), bool)
-    ends[last] = True
-    for t in range(len(x) - 1, -1, -1):  # beta: message after token t, for the state before the next token
-        live = np.flatnonzero(x[t] >= 0)
-        joint = before[t][live] * b[x[t][live]]
-        final = ends[live] & (length[live] == t + 1)
-        go = joint[:, :, None] * a[None] * beta[live][:, None, :]
-        scale = go.sum((1, 2))
-        moves += (go[~final] / scale[~final][:, None, None]).sum(0)
-        gamma = go.sum(2) / scale[:, None]
-        for s in range(len(a)):
-            emissions[:, s] += np.bincount(x[t][live], gamma[:, s], len(b))
-        if t == 0:
-            row = np.zeros((len(text), len(a)))
-            row[live] = gamma
-            starts += row[head].sum(0)
-        back = b[x[t][live]] * (beta[live] @ a.T)
-        beta[live] = back / back.sum(1, keepdims=True)
-    return starts, moves, emissions
+    g = _Segments(classes, lengths)
+    k, relative = len(a), b / b.max(1, keepdims=True)
+    m = _transfers(g, a, relative)
+    alpha, beta = _chain(g, m, pi), _chain_back(g, m)
+    joints = np.empty((*g.x.shape, k))  # joint of state and token, scaled
+    for t, n in enumerate(g.live):
+        joint = alpha[:n] * relative[g.x[t, :n]]
+        joint /= joint.sum(1, keepdims=True)
+        joints[t, :n] = joint
+        alpha[:n] = joint @ a
+    gammas, moves = np.zeros((*g.x.shape, k)), np.zeros_like(a)
+    for t in range(len(g.x) - 1, -1, -1):  # beta: message after token t, for the state before the next token
+        n = g.live[t]
+        gamma = joints[t, :n] * (beta[:n] @ a.T)
+        scale = gamma.sum(1, keepdims=True)
+        gammas[t, :n] = gamma / scale
+        weight = joints[t, :n] / scale
+        weight[g.last[:n] & (g.length[:n] == t + 1)] = 0  # no move after a text's last token
+        moves += weight.T @ beta[:n]
+        back = relative[g.x[t, :n]] * (beta[:n] @ a.T)
+        beta[:n] = back / back.sum(1, keepdims=True)
+    used = np.arange(len(g.x))[:, None] < g.length[None, :]
+    x = g.x[used]
+    emissions = np.stack([np.bincount(x, gammas[..., s][used], len(b)) for s in range(k)], 1)
+    return gammas[0, g.head].sum(0), moves * a, emissions
 
 
 def initial(states: int, classes: int, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fixed start: states prefer themselves, and each has its own half of the classes, by bits of a hash."""
     a = np.full((states, states), 0.2 / max(1, states - 1))
     np.fill_diagonal(a, 0.8 if states > 1 else 1.0)
-    tilt = np.array([[1.5 if hash64(f"{s}:{c}") >> 7 & 1 else 0.5 for s in range(states)] for c in range(classes)])
+    tilt = np.array([[1.5 if hash64(b"%d:%d" % (s, c)) >> 7 & 1 else 0.5 for s in range(states)] for c in range(classes)])
     b = share[:, None] * tilt
     return np.full(states, 1 / states), a, b / b.sum(0)
 
@@ -217,33 +203,30 @@ def lm_scores(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
     src = src.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)).cast("int"))
 
-    def vocabulary(batches):
-        schema = pa.schema([("block", pa.int32()), ("w", pa.string()), ("c", pa.int64())])
-        for b in batches:
-            by: dict[int, tuple[Counter, set]] = {}
-            for text, h, k in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                count, seen = by.setdefault(k, (Counter(), set()))
-                count.update(tokens(text.as_py())) if not h else seen.update(tokens(text.as_py()))
-            for k, (count, seen) in by.items():
-                words = [*count, *(seen - count.keys())]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.int32()), pa.array(words), pa.array([count[w] for w in words], pa.int64())], schema=schema)
-
-    by_block = written(src.select("text", "held", "block").mapInArrow(vocabulary, "block int, w string, c long").groupBy("block", "w").agg(F.sum("c").alias("c")))
+    def vocabulary(t: pa.Table) -> pa.Table:
+        """The distinct words of a block, with their counts in its training texts."""
+        count, seen = Counter(), set()
+        for text, h in zip(t.column("text"), t.column("held").to_pylist()):
+            (seen if h else count).update(tokens(text.as_py()))
+        words = [*count, *(seen - count.keys())]
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(words), pa.int32()), "w": pa.array(words, pa.binary()).cast(pa.string()), "c": pa.array([*count.values(), *[0] * (len(words) - len(count))], pa.int64())})
+
+    by_block = written(src.select("text", "held", "block").groupBy("block").applyInArrow(vocabulary, "block int, w string, c long"))
     counts = by_block.groupBy("w").agg(F.sum("c").alias("c"))
     stats = written(counts)
     total = stats.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"] or 0), int(total["v"])
-    frequent = [r["w"] for r in stats.where("c > 0").orderBy(F.desc("c"), "w").limit(top).collect()]
+    frequent = [r["w"].encode() for r in stats.where("c > 0").orderBy(F.desc("c"), "w").limit(top).collect()]
     classes = Classes(frequent, tail)
 
     # weight of each class in words: sum of smoothed counts, and the unknown word in the class of END's stem
     def weigh(batches):
         sums = np.zeros(classes.n)
         for b in batches:
-            np.add.at(sums, [classes(w) for w in b.column(0).to_pylist()], b.column(1).to_numpy() + 0.5)
+            np.add.at(sums, [classes(w) for w in b.column(0).cast(pa.binary()).to_pylist()], b.column(1).to_numpy() + 0.5)
         yield pa.RecordBatch.from_pydict({"k": np.arange(classes.n, dtype=np.int32), "s": sums})
 
-    unknown = classes.top + hash64("unknown") % tail
+    unknown = classes.top + hash64(b"unknown") % tail
     weight = np.zeros(classes.n)
     for r in stats.where("c > 0").mapInArrow(weigh, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect():  # one row for each class
         weight[r["k"]] = r["s"]
@@ -255,16 +238,15 @@ def lm_scores(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "te
 
     def encode(texts: pa.Table, words: pa.Table) -> pa.Table:
         norm = math.log10(n + 0.5 * (v + 1))
-        table = {}
-        for w, c in zip(words.column("w").to_pylist(), words.column("total").to_pylist()):
-            k = classes(w)
-            table[w] = (k, 1, math.log10(c + 0.5) - norm, math.log10((c + 0.5) / weight[k]))
-        other = (unknown, 0, math.log10(0.5) - norm, math.log10(0.5 / weight[unknown]))
-        rows = []
+        known = words.column("w").cast(pa.binary()).to_pylist()
+        count = np.r_[0.0, words.column("total").to_numpy().astype(float)]  # the first place is the unknown word's
+        place = {w: i for i, w in enumerate(known, 1)}
+        kinds = np.array([unknown, *map(classes, known)], np.int32)
+        base, within = np.log10(count + 0.5) - norm, np.log10((count + 0.5) / weight[kinds])
+        get, rows = place.get, []
         for id_, text, h in zip(texts.column("id").to_pylist(), texts.column("text"), texts.column("held").to_pylist()):
-            got = [table.get(w, other) for w in tokens(text.as_py())]
-            k, known, base, within = zip(*got)
-            rows.append((id_, h, len(got), sum(known), math.fsum(base), math.fsum(within), np.array(k, np.int32).tobytes()))
+            at = np.array([get(w, 0) for w in tokens(text.as_py())])
+            rows.append((id_, h, len(at), int((at > 0).sum()), float(base[at].sum()), float(within[at].sum()), kinds[at].tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, out_schema)], schema=out_schema)
 
     encoded = src.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(encode, "id long, held boolean, n_tokens long, n_known long, base double, within double, seq binary")
