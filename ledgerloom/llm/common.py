@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,10 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written once as a table in the shared folder, and read again: it cuts the lineage and survives lost executors."""
+    """`df` written once as a table in the shared folder, and read again: it cuts the lineage and survives lost executors.
+
+    The shuffle files behind it are needed no more. Spark removes them once the driver has collected its
+    garbage, which it is asked to do here, so that they don't add to those of the next step.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -194,12 +194,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"block": pa.array(owner[cut], pa.int32()), "bucket": pa.array([t.column("bucket")[0].as_py()] * len(cut), pa.int32()), "hashes": pa.array(rows, pa.binary())})
 
     shared = known.select("id", "text", "block").mapInArrow(anchors, "bucket int, block int, once binary, more binary")
-    shared = shared.groupBy("bucket").applyInArrow(repeated, "block int, bucket int, hashes binary")
+    shared = written(shared.groupBy("bucket").applyInArrow(repeated, "block int, bucket int, hashes binary"))
 
-    def candidates(t: pa.Table, wanted: np.ndarray):
+    # copies of whole texts: all their windows are in the first one, so they ship nothing
+    rows_ = known.where(F.octet_length("text") >= LENGTH).select("id", "block", F.sha2("text", 256).alias("sha"))
+    first = rows_.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("sha", "first")
+    copies = written(rows_.join(first, "sha").where("id > first").select("block", F.encode(F.concat_ws(":", "id", "sha"), "utf-8").alias("copy")))
+
+    def key_of(id_: int, raw: bytes) -> bytes:
+        return f"{id_}:{hashlib.sha256(raw).hexdigest()}".encode()
+
+    def candidates(t: pa.Table, wanted: np.ndarray, copied: set[bytes]):
         """(snippet, anchor, id, offset, windows) of the runs of a block whose anchor is wanted."""
         ids = t.column("id").to_numpy()
         raw = _raw(t.column("text"))
+        if copied:
+            raw = [b"" if key_of(i, r) in copied else r for i, r in zip(ids, raw)]
         for piece in _pieces(raw):
             text, start, count, anchor, doc, offset = snippets(piece)
             key = (anchor % U(blocks)) << U(32) | anchor >> U(32)
@@ -213,10 +223,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ship(texts: pa.Table, hashes: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return sent.empty_table()
-        wanted = [np.frombuffer(h.as_buffer(), np.uint32).astype(np.uint64) | U(k) << U(32) for h, k in zip(hashes.column("hashes"), hashes.column("bucket").to_pylist())]
+        told_ = list(zip(hashes.column("hashes"), hashes.column("bucket").to_pylist()))
+        copied = {h.as_py() for h, k in told_ if k < 0}
+        wanted = [np.frombuffer(h.as_buffer(), np.uint32).astype(np.uint64) | U(k) << U(32) for h, k in told_ if k >= 0]
         wanted = np.unique(np.concatenate(wanted)) if wanted else np.zeros(0, np.uint64)
         found: dict[bytes, list] = {}
-        for s, anchor, id_, *_ in candidates(texts, wanted):
+        for s, anchor, id_, *_ in candidates(texts, wanted, copied):
             if (got := found.get(s)) is None:
                 found[s] = [anchor, id_, id_]
             elif id_ < got[1]:
@@ -235,29 +247,43 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def expand(t: pa.Table) -> pa.Table:
         """One bucket: snippets of different anchors share no window, so runs of anchors of about PIECE bytes are expanded one after the other."""
         t = t.sort_by("anchor")
-        block, anchor, low, high = (t.column(c).to_numpy() for c in ("block", "anchor", "low", "high"))
-        snips = t.column("snippet").to_pylist()
-        total = np.cumsum([len(s) for s in snips])
-        same = np.r_[False, anchor[1:] == anchor[:-1]]
-        rows, i = [], 0
-        while i < len(snips):
-            j = int(np.searchsorted(total, (total[i - 1] if i else 0) + PIECE, "right"))
-            j = max(j, i + 1)
-            while j < len(snips) and same[j]:
-                j += 1
+        block, anchor, low, high, snips = (t.column(c).to_pylist() for c in ("block", "anchor", "low", "high", "snippet"))
+        rows, wait, size = [], [], 0
+
+        def flush():
             index: dict[bytes, int] = {}
-            which = [index.setdefault(s, len(index)) for s in snips[i:j]]
+            which = [index.setdefault(snips[r], len(index)) for r in wait]
             owners = np.full(len(index), np.iinfo(np.int64).max)
-            np.minimum.at(owners, which, low[i:j])
+            np.minimum.at(owners, which, [low[r] for r in wait])
             least = window_minima(list(index), owners)
-            for r, k in zip(range(i, j), which):
+            for r, k in zip(wait, which):
                 m = least[k]
                 if len(m) and m.min() < high[r]:
                     at = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
                     rows.append((block[r], anchor[r], snips[r], at, m[at]))
+            wait.clear()
+
+        i = 0
+        while i < len(snips):
+            j = i + 1
+            while j < len(snips) and anchor[j] == anchor[i]:
+                j += 1
+            if j == i + 1 or len(set(snips[i:j])) == 1:
+                # the anchor's only text: there is nothing to expand, all its windows have the least owner
+                first = min(low[i:j])
+                rows += [(block[r], anchor[r], snips[r], [0], [first]) for r in range(i, j) if first < high[r]]
+            else:
+                wait += range(i, j)
+                size += sum(map(len, snips[i:j]))
+                if size >= PIECE:
+                    flush()
+                    size = 0
             i = j
+        if wait:
+            flush()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, told)], schema=told)
 
+    shared = shared.unionByName(copies.select("block", F.lit(-1).alias("bucket"), F.col("copy").alias("hashes")))
     shipped = known.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(ship, "bucket int, block int, anchor long, low long, high long, snippet binary")
     found = written(shipped.groupBy("bucket").applyInArrow(expand, "block int, anchor long, snippet binary, starts array<int>, least array<long>"))
 
@@ -285,23 +311,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def finish(texts: pa.Table, results: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return made.empty_table()
+        copied = {s for s, a in zip(results.column("snippet").to_pylist(), results.column("starts").to_pylist()) if a is None}
+        results = results.filter(results.column("starts").is_valid())
         least = {s: (a, m) for s, a, m in zip(results.column("snippet").to_pylist(), results.column("starts").to_pylist(), results.column("least").to_pylist())}
         anchor = results.column("anchor").to_numpy().view(np.uint64)
+        raw = _raw(texts.column("text"))
         marks: dict[int, list] = {}
-        for s, _, id_, d, offset, windows in candidates(texts, np.unique((anchor % U(blocks)) << U(32) | anchor >> U(32))):
+        if copied:
+            marks = {d: [(0, len(r))] for d, (i, r) in enumerate(zip(texts.column("id").to_pylist(), raw)) if key_of(i, r) in copied}
+        for s, _, id_, d, offset, windows in candidates(texts, np.unique((anchor % U(blocks)) << U(32) | anchor >> U(32)), copied):
             if (got := least.get(s)) is not None:
                 starts, minima = got
                 for k, m in enumerate(minima):
                     if m < id_:
                         end = starts[k + 1] if k + 1 < len(starts) else windows
                         marks.setdefault(d, []).append((offset + starts[k], offset + end - 1 + LENGTH))
-        return rows_of(texts.column("id").to_pylist(), _raw(texts.column("text")), marks)
+        return rows_of(texts.column("id").to_pylist(), raw, marks)
 
     def apart(batches):
         for b in batches:
             yield from rows_of(b.column(0).to_pylist(), _raw(b.column(1)), {}).to_batches()
 
-    out = known.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(finish, ddl)
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("anchor", "long"), ("starts", "array<int>"), ("least", "array<long>"))]
+    results = found.unionByName(copies.select("block", none[0], F.col("copy").alias("snippet"), *none[1:]))
+    out = known.groupBy("block").cogroup(results.groupBy("block")).applyInArrow(finish, ddl)
     out = out.unionByName(src.where("id is null").select("id", "text").mapInArrow(apart, ddl))
     return out.withColumnRenamed("id", id_col)
 
