@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -246,42 +247,39 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def expand(t: pa.Table) -> pa.Table:
         """One bucket: snippets of different anchors share no window, so runs of anchors of about PIECE bytes are expanded one after the other."""
-        t = t.sort_by("anchor")
-        block, anchor, low, high, snips = (t.column(c).to_pylist() for c in ("block", "anchor", "low", "high", "snippet"))
-        rows, wait, size = [], [], 0
-
-        def flush():
-            index: dict[bytes, int] = {}
-            which = [index.setdefault(snips[r], len(index)) for r in wait]
-            owners = np.full(len(index), np.iinfo(np.int64).max)
-            np.minimum.at(owners, which, [low[r] for r in wait])
-            least = window_minima(list(index), owners)
-            for r, k in zip(wait, which):
-                m = least[k]
-                if len(m) and m.min() < high[r]:
-                    at = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-                    rows.append((block[r], anchor[r], snips[r], at, m[at]))
-            wait.clear()
-
-        i = 0
-        while i < len(snips):
-            j = i + 1
-            while j < len(snips) and anchor[j] == anchor[i]:
-                j += 1
-            if j == i + 1 or len(set(snips[i:j])) == 1:
-                # the anchor's only text: there is nothing to expand, all its windows have the least owner
-                first = min(low[i:j])
-                rows += [(block[r], anchor[r], snips[r], [0], [first]) for r in range(i, j) if first < high[r]]
-            else:
-                wait += range(i, j)
-                size += sum(map(len, snips[i:j]))
-                if size >= PIECE:
-                    flush()
-                    size = 0
-            i = j
-        if wait:
-            flush()
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, told)], schema=told)
+        block, anchor, low, high = (t.column(c).to_numpy() for c in ("block", "anchor", "low", "high"))
+        snips = t.column("snippet").combine_chunks()
+        coded = snips.dictionary_encode()
+        code, texts = coded.indices.to_numpy(), coded.dictionary
+        order = np.argsort(anchor, kind="stable")
+        begin = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+        width = np.diff(np.r_[begin, len(order)])
+        one = np.minimum.reduceat(code[order], begin) == np.maximum.reduceat(code[order], begin)
+        # the anchor's only text: there is nothing to expand, all its windows have the least owner
+        alone = np.repeat(one, width)
+        first = np.repeat(np.minimum.reduceat(low[order], begin), width)
+        hit = alone & (first < high[order])
+        rows = order[hit]
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1), pa.int32()), pa.array(v, k)) for v, k in ((np.zeros(len(rows)), pa.int32()), (first[hit], pa.int64()))]
+        out = [pa.Table.from_arrays([pa.array(block[rows]), pa.array(anchor[rows]), snips.take(pa.array(rows)), *lists], schema=told)]
+
+        rest = order[~alone]
+        length = pc.binary_length(texts).to_numpy()[code]
+        total = np.add.reduceat(length[order], begin)[~one]
+        run = np.repeat((np.cumsum(total) - total) // PIECE, width[~one])
+        cut = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
+        for i, j in zip(cut, np.r_[cut[1:], len(run)]):
+            rows = rest[i:j]
+            own, which = np.unique(code[rows], return_inverse=True)
+            owners = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(owners, which, low[rows])
+            least = window_minima(texts.take(pa.array(own)).to_pylist(), owners)
+            hit = np.array([m.min() if len(m) else np.iinfo(np.int64).max for m in least])[which] < high[rows]
+            rows, which = rows[hit], which[hit]
+            starts = {k: np.flatnonzero(np.r_[True, least[k][1:] != least[k][:-1]]) for k in np.unique(which).tolist()}
+            lists = [pa.array([starts[k] for k in which.tolist()], told.field("starts").type), pa.array([least[k][starts[k]] for k in which.tolist()], told.field("least").type)]
+            out.append(pa.Table.from_arrays([pa.array(block[rows]), pa.array(anchor[rows]), snips.take(pa.array(rows)), *lists], schema=told))
+        return pa.concat_tables(out)
 
     shared = shared.unionByName(copies.select("block", F.lit(-1).alias("bucket"), F.col("copy").alias("hashes")))
     shipped = known.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(ship, "bucket int, block int, anchor long, low long, high long, snippet binary")
