@@ -173,9 +173,27 @@ def rt2_bm25(spark, d):
     return _bm25(spark, d).select("query_id", "doc_id", "score", "rank")
 
 
+#: Longest block of characters by which containment is looked up.
+BLOCK = 64
+
+
 def gold_by_containment(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id) where a document contains a passage: BM25 with deep lists finds candidates, text comparison decides."""
-    cand = bm25(docs, queries, 50).select("query_id", "doc_id")
+    """(query_id, doc_id) where a document contains a passage, without a limit on either.
+
+    Wherever a passage of 2g - 1 characters stands, it covers a block of g characters that starts at a
+    multiple of g. So the documents' aligned blocks are looked up among the first g windows of each passage, with g
+    the greatest power of two up to BLOCK that the passage has room for; text comparison decides. All documents contain an empty passage.
+    """
+    sizes = [2**i for i in range(BLOCK.bit_length())]
+    g = F.array_max(F.filter(F.array(*[F.lit(x) for x in sizes]), lambda x: 2 * x - 1 <= F.length("text")))
+    asked = queries.where("text <> ''").select("query_id", g.alias("g"), "text")
+    windows = asked.select("query_id", "g", F.explode(F.transform(F.sequence(F.lit(1), F.col("g")), lambda i: F.substring("text", i, F.col("g")))).alias("b"))
+    windows = small(windows.select("query_id", F.xxhash64("g", "b").alias("h")).distinct())
+    used = sorted(r[0] for r in asked.select("g").distinct().collect())  # of at most seven sizes
+    aligned = lambda x: F.transform(F.regexp_extract_all("text", F.lit(f"(?s).{{{x}}}"), F.lit(0)), lambda b: F.xxhash64(F.lit(x), b))
+    blocks = F.concat(F.array().cast("array<bigint>"), *[aligned(x) for x in used])
+    cand = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(blocks)).alias("h")).join(windows, "h").select("query_id", "doc_id").distinct()
+    cand = cand.unionByName(queries.where("text = ''").select("query_id").crossJoin(docs.where(F.col("text").isNotNull()).select("doc_id").distinct()))
     both = cand.join(docs.withColumnRenamed("text", "body"), "doc_id").join(small(queries), "query_id")
     return both.where(F.contains("body", "text")).select("query_id", "doc_id")
 

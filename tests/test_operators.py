@@ -21,6 +21,17 @@ def test_retrieval_metrics(spark):
     assert (r.recall, r.precision, r.f1, r.mrr) == (1.0, 0.2, 0.333333, 0.5) and r.ndcg > 0
 
 
+def test_gold_has_every_document(spark):
+    passage = "Ein Satz 😀 über das,\nwas in sehr vielen Texten steht, mit \U00010348 darin; er ist lang genug für Blöcke und hört erst nach hundertdreißig Zeichen auf, also jetzt."
+    texts = {i: "x" * (i % 70) + "é😀"[: i % 3] + passage + " y" * (i % 5) for i in range(120)}
+    texts |= {200: "word " * 30000 + passage, 201: passage[:-1], 202: passage.lower(), 203: None, 204: "", 205: "ab" + passage[40:47] + "cd", 206: "é"}
+    asked = {1: passage, 2: passage[40:47], 3: "é", 4: "", 5: "not there at all", 6: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = retrieval.gold_by_containment(docs, spark.createDataFrame(list(asked.items()), "query_id long, text string")).collect()
+    want = [(q, d) for q, p in asked.items() for d, t in texts.items() if p is not None and t is not None and p in t]
+    assert sum(q == 1 for q, _ in want) == 121 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_versions_keep_first_seen_order(spark):
     rows = [(1, "d|a", 1, 1), (1, "d|a", 2, 2), (1, "d|b", 1, 3)]
     out = retrieval.dedupe_versions(spark.createDataFrame(rows, "query_id long, doc_key string, version int, pos int"), 5).orderBy("rank").collect()
