@@ -7,8 +7,8 @@ a < m and b < n by modular addition, so it is a permutation of m * n values of a
 and n. Equal values get equal pseudonyms whatever their separators, in all documents
 that use the key, and `reveal` turns pseudonyms back.
 
-Kinds: card (13 to 19 digits with a valid Luhn digit), phone (ten digits of the North
-American plan, +1), ip (four octets), date (2000-01-31, 31.01.2000, 31/01/2000 of the years 1900
+Kinds: card (13 to 19 digits with a valid Luhn digit, also beside other numbers), phone (ten digits of the
+North American plan, after +1 or in three separated groups), ip (four octets), date (2000-01-31, 31.01.2000, 31/01/2000 of the years 1900
 to 2099), ssn (ranges that are given out), email (letters and digits of the local part, by position).
 Candidates that don't validate stay as they are.
 
@@ -29,14 +29,18 @@ PATTERNS = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])(?<![0-9][ .-])(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[ .-][0-9])",
 }
+# A run of digits as long as it goes, possessive because Java's greedy loop is recursive; it ends before a value of another kind.
+PATTERNS["card"] = r"(?<![0-9])[0-9](?:(?:[ -](?!%s))?[0-9]){12,}+" % "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "date", "ssn", "phone"))
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = list(PATTERNS)
 ROUNDS = 8
-#: Days of the years 1900 to 2099, 229 * 319.
-DAYS = (229, 319)
+#: The 73,049 days of the years 1900 to 2099 are in 229 * 319 numbers.
+DAYS, N_DAYS = (229, 319), 73049
+#: A card's pseudonym is permuted on, at most so often, until it is found again where the card was found.
+WALK = 64
 
 
 def _number(digest: Column) -> Column:
@@ -82,30 +86,78 @@ def _pad(n: Column, width: Column | int) -> Column:
     return F.concat(F.repeat(F.lit("0"), (width if isinstance(width, Column) else F.lit(width)) - F.length(text)), text)
 
 
+def _valid(d: Column) -> Column:
+    """Whether 13 to 19 digits end in their Luhn digit."""
+    size = F.length(d)
+    return size.between(13, 19) & (F.substring(d, size, F.lit(1)).cast("int") == _luhn(F.substring(d, F.lit(1), size - 1)))
+
+
+def _permuted(d: Column, key: str, reveal: bool) -> Column:
+    """Another valid card number of the same length."""
+    size = F.length(d) - 1
+    half = F.floor((size + 1) / 2).cast("int")
+    split = size - half
+    high, low = (F.pow(F.lit(10.0), x).cast("bigint") for x in (split, half))
+    out = feistel(F.substring(d, F.lit(1), split), F.substring(d, split + 1, half), high, low, key, "card", reveal)
+    return let(let(out, lambda o: F.concat(_pad(o["a"], split), _pad(o["b"], half))), lambda b: F.concat(b, _luhn(b).cast("string")))
+
+
 def _card(hit: Column, key: str, reveal: bool) -> Column:
-    def change(d):
-        size = F.length(d) - 1
-        low = F.pow(F.lit(10.0), F.floor((size + 1) / 2)).cast("bigint")
-        high = F.pow(F.lit(10.0), size - F.floor((size + 1) / 2)).cast("bigint")
-        body = F.substring(d, F.lit(1), size)
-        split = size - F.floor((size + 1) / 2).cast("int")
-        out = feistel(F.substring(body, F.lit(1), split), F.substring(body, split + 1, size), high, low, key, "card", reveal)
-        new = let(out, lambda o: F.concat(_pad(o["a"], split), _pad(o["b"], size - split)))
-        return F.when(F.substring(d, size + 1, F.lit(1)).cast("int") == _luhn(body), let(new, lambda b: _refill(hit, F.concat(b, _luhn(b).cast("string"))))).otherwise(hit)
+    """The cards in a run of digit groups, from left to right.
 
-    return let(_digits(hit), change)
+    A card starts and ends with a group; of the places where one can be, the first valid one is taken, by end and then the
+    greatest length, and the search goes on behind it. A pseudonym beside other digits could make an
+    earlier place valid, so it is permuted on until none is: then `reveal` finds it at the same place. Earlier places
+    have no digits behind the card, so cards that follow don't matter.
+    """
+    groups = F.transform(F.regexp_extract_all(hit, F.lit("[0-9]+"), F.lit(0)), lambda g: F.length(g))
+    ends = F.aggregate(groups, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.get(a, F.size(a) - 1) + n)))
+
+    def change(d, at):
+        # (start, length) of each place in the order of preference; a card has at most 19 groups
+        begins = lambda i: F.slice(at, F.greatest(i - 18, F.lit(1)), F.least(i, F.lit(19)))
+        places = F.flatten(F.transform(at, lambda e, i: F.filter(F.transform(begins(i), lambda s: F.struct(s.alias("s"), (e - s).alias("n"))), lambda p: p["n"].between(13, 19))))
+        return let(F.transform(places, lambda p, i: F.struct(p["s"].alias("s"), p["n"].alias("n"), i.alias("i"))), lambda ps: replaced(d, at, ps))
+
+    def replaced(d, at, places):
+        read = lambda digits, p: F.substring(digits, p["s"] + 1, p["n"])
+
+        def step(acc, p):
+            def walked(digits):
+                # of the places before this one, 19 groups back are enough; each has at most seven lengths
+                near = F.filter(F.slice(places, F.greatest(p["i"] - 132, F.lit(1)), F.least(p["i"], F.lit(133))), lambda q: (q["s"] >= acc["end"]) & (q["s"] + q["n"] > p["s"]))
+                base = F.greatest(p["s"] - 18, F.lit(0))
+                put = lambda x: F.concat(F.substring(digits, base + 1, p["s"] - base), x)
+                again = lambda x: F.exists(near, lambda q: _valid(F.substring(put(x), q["s"] - base + 1, q["n"])))
+                state = lambda x: let(x, lambda v: F.struct(v.alias("x"), again(v).alias("more")))
+                new = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), state(_permuted(read(digits, p), key, reveal)), lambda w, _: F.when(w["more"], state(_permuted(w["x"], key, reveal))).otherwise(w), lambda w: w["x"])
+                return F.concat(F.substring(digits, F.lit(1), p["s"]), new, F.substring(digits, p["s"] + p["n"] + 1, F.length(digits)))
+
+            took = (p["s"] >= acc["end"]) & _valid(read(acc["d"], p))
+            return F.when(took, F.struct(walked(acc["d"]).alias("d"), (p["s"] + p["n"]).alias("end"))).otherwise(acc)
+
+        return F.aggregate(places, F.struct(d.alias("d"), F.lit(0).alias("end")), step, lambda acc: F.when(acc["end"] > 0, separated(acc["d"], at)).otherwise(hit))
+
+    def separated(d, at):
+        between = F.regexp_extract_all(hit, F.lit("[^0-9]"), F.lit(0))
+        return let(between, lambda b: F.array_join(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda s, i: F.concat(F.substring(d, s + 1, F.get(at, i + 1) - s), F.coalesce(F.get(b, i), F.lit("")))), ""))
+
+    return let(_digits(hit), lambda d: let(ends, lambda at: change(d, at)))
 
 
 def _phone(hit: Column, key: str, reveal: bool) -> Column:
     """Area and exchange codes start with 2 to 9: 800 * 800 * 10000 numbers are 80000 * 80000."""
 
-    def change(d):
+    def change(given):
+        return let(F.when(F.length(given) == 10, F.concat(F.lit("1"), given)).otherwise(given), lambda d: numbered(given, d))
+
+    def numbered(given, d):
         part = lambda at, n: F.substring(d, at, n).cast("bigint")
         at = ((part(2, 3) - 200) * 800 + part(5, 3) - 200) * 10000 + part(8, 4)
         out = let(at, lambda i: feistel(F.floor(i / 80000), i % 80000, F.lit(80000), F.lit(80000), key, "phone", reveal))
         write = lambda i: F.concat(F.lit("1"), _pad(F.floor(i / 8000000) + 200, 3), _pad(F.floor(i / 10000) % 800 + 200, 3), _pad(i % 10000, 4))
         ok = (F.length(d) == 11) & (part(2, 3) >= 200) & (part(5, 3) >= 200)
-        return F.when(ok, let(let(out, lambda o: o["a"] * 80000 + o["b"]), lambda i: _refill(hit, write(i)))).otherwise(hit)
+        return F.when(ok, let(let(out, lambda o: o["a"] * 80000 + o["b"]), lambda i: _refill(hit, F.right(write(i), F.length(given))))).otherwise(hit)
 
     return let(_digits(hit), change)
 
@@ -125,8 +177,10 @@ def _date(hit: Column, key: str, reveal: bool) -> Column:
 
     def change(d):
         day = F.datediff(d, first)
-        out = feistel(F.floor(day / DAYS[1]), day % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date", reveal)
-        new = let(F.date_add(first, let(out, lambda o: (o["a"] * DAYS[1] + o["b"]).cast("int"))), lambda x: F.when(hit.contains("-"), F.date_format(x, "yyyy-MM-dd")).when(hit.contains("."), F.date_format(x, "dd.MM.yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy")))
+        moved = lambda i: let(feistel(F.floor(i / DAYS[1]), i % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date", reveal), lambda o: (o["a"] * DAYS[1] + o["b"]).cast("int"))
+        # two numbers are no days: at most two more steps lead out of them
+        days = F.aggregate(F.sequence(F.lit(1), F.lit(DAYS[0] * DAYS[1] - N_DAYS)), moved(day), lambda i, _: F.when(i >= N_DAYS, moved(i)).otherwise(i))
+        new = let(F.date_add(first, days), lambda x: F.when(hit.contains("-"), F.date_format(x, "yyyy-MM-dd")).when(hit.contains("."), F.date_format(x, "dd.MM.yyyy")).otherwise(F.date_format(x, "dd/MM/yyyy")))
         return F.when(F.year(d).between(1900, 2099), new).otherwise(hit)
 
     iso = F.when(hit.contains("-"), hit).otherwise(F.concat_ws("-", F.substring(hit, 7, 4), F.substring(hit, 4, 2), F.substring(hit, 1, 2)))
@@ -170,8 +224,8 @@ def _email(hit: Column, key: str, reveal: bool) -> Column:
 
 
 def _kind(hit: Column) -> Column:
-    """Index of the first kind whose pattern the whole match fits, in the order of the alternatives."""
-    return reduce(lambda w, k: w.when(hit.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(KINDS.index(k))), KINDS[1:], F.when(hit.rlike(f"^(?:{PATTERNS['email']})$"), F.lit(0)))
+    """Index of the first kind whose pattern the whole match fits, in the order of the alternatives; what fits no other is a card."""
+    return reduce(lambda w, k: w.when(hit.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(KINDS.index(k))), KINDS[1:-1], F.when(hit.rlike(f"^(?:{PATTERNS['email']})$"), F.lit(0))).otherwise(F.lit(KINDS.index("card")))
 
 
 def pseudonymize(df: DataFrame, key: str, text_col: str = "text", reveal: bool = False, found_col: str = "pii") -> DataFrame:

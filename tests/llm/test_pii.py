@@ -63,3 +63,39 @@ def test_shape_of_input(spark):
     rows = out.collect()
     assert rows[0].text is None and rows[0]._pii == [] and rows[1].text.endswith(rows[2].text) and rows[2] == rows[3] and rows[2].text != "1.2.3.4"
     assert pii.pseudonymize(df.limit(0), "k").count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    rnd = random.Random(5)
+    beside = ["{} 12/27", "{} 123", "{} 7", "{}-99 and", "12 {}", "no 3 {} 12", "{} 5500 0000 0000 0004 {}", "1234567890 {} 1234567890123456789012", "{} 2024-02-29", "{} 123-45-6789-x {}", "{} 10.20.30.40"]
+    cards = ["4111 1111 1111 1111", "4111111111111111"] + [card(rnd, n) for n in range(13, 20) for _ in range(3)]
+    texts = [b.format(c, c) for b in beside for c in cards]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pii.pseudonymize(df, "k")
+    got = [r.text for r in out.orderBy("doc_id").collect()]
+    assert all(c not in g for g, c in zip(got, cards * len(beside)))
+    assert not any("2024-02-29" in g or "10.20.30.40" in g for g in got)
+    assert [r.text for r in pii.pseudonymize(out.drop("pii"), "k", reveal=True).orderBy("doc_id").collect()] == texts
+
+
+def test_phones_without_country_code(spark):
+    forms = ["+1 444 555 4984", "(444) 555-4984", "444-555-4984", "444.555.4984", "444 555 4984", "1-444-555-4984"]
+    df = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    out = pii.pseudonymize(df, "k")
+    got = [re.sub("[^0-9]", "", r.text)[-10:] for r in out.orderBy("doc_id").collect()]
+    assert len(set(got)) == 1 and got[0] != "4445554984"
+    assert [r.text for r in pii.pseudonymize(out.drop("pii"), "k", reveal=True).orderBy("doc_id").collect()] == forms
+
+
+def test_all_dates_return(spark):
+    days = spark.range(73049).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
+    out = pii.pseudonymize(days, "k").select("doc_id", "text").localCheckpoint()
+    assert out.where("year(text) not between 1900 and 2099").count() == 0 and out.select("text").distinct().count() == 73049
+    back = pii.pseudonymize(out, "k", reveal=True).select("doc_id", F.col("text").alias("back"))
+    assert back.join(days, "doc_id").where("back <> text").count() == 0
+
+
+def test_long_runs_of_digits(spark):
+    text = "0 1 " * 500 + "x " + "7" * 20000 + " 4111 1111 1111 1111"
+    got = pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text
+    assert len(got) == len(text) and "4111 1111 1111 1111" not in got
