@@ -52,6 +52,13 @@ def test_inner_product_needs_few_queries(spark):
         retrieval.inner_product(v, v, 3, max_queries=5)
 
 
+def test_inner_product_of_many_queries(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i * i % 11), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    got = retrieval.inner_product_blocks(v, v.where("vec_id % 2 = 0"), 4, max_queries=6)
+    want = retrieval.inner_product(v, v.where("vec_id % 2 = 0"), 4)
+    assert want.count() == 120 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("a,b,f1", [("The answer is BNP", "BNP", 0.4), ("", "", 1.0), ("x", "", 0.0), ("a a b", "a b b", 0.666667)])
 def test_token_f1(spark, a, b, f1):
     assert one(spark, evaluate.token_f1(F.lit(a), F.lit(b))) == f1
