@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Spark's setting that removes shuffle files when a statement has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables in the shared folder, for `remove_written`.
+TABLES: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +42,14 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one, but only in local mode: machines of a cluster don't share such folders."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         named = sc.getCheckpointDir()
     return named
@@ -58,6 +62,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    TABLES.append(path)
     was = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -67,6 +72,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Deletes all tables that `written` has made in this Python process, and returns their number. Call it when the results that read them are stored."""
+    jvm = spark.sparkContext._jvm
+    for path in TABLES:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    n = len(TABLES)
+    TABLES.clear()
+    return n
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Size of all texts, one number on the driver."""
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -385,8 +385,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield from marks_of(b.column(0).to_numpy()[of], where, of, np.ones(len(of), np.int64), b.column(2).to_numpy()).to_batches()
 
         hot = written(met.applyInArrow(windows, "block int, own binary, least long, most long, where binary"))
-        earliest = hot.groupBy("own").agg(F.min("least").alias("earliest"))
-        told = hot.join(earliest.hint("merge"), "own").where("most > earliest").select("block", "where", "earliest")
+        earliest = hot.groupBy("own").agg(F.min("least").alias("earliest")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        told = hot.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("int")).join(earliest.hint("merge"), ["own", "salt"]).where("most > earliest").select("block", "where", "earliest")
         marks = marks.unionByName(written(told.mapInArrow(settle, "block int, marks binary")))
 
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
