@@ -6,14 +6,14 @@ import pytest
 from ledgerloom.llm import exact_dedup
 
 
-@pytest.mark.parametrize("slots", [exact_dedup.BITMAP_BITS, 1 << 26])
-def test_groups(spark, slots):
+@pytest.mark.parametrize("bits", [exact_dedup.BITMAP_BITS, 1 << 26])
+def test_groups(spark, bits):
     rnd = random.Random(1)
     texts = [None, "", "", "a", "A", "a ", "hot"] + ["hot"] * 300 + [str(rnd.randrange(400)) for _ in range(600)] + ["é" * 100_000] * 2
     docs = list(enumerate(texts))
     rnd.shuffle(docs)
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in docs], "doc_id long, text string, kept string, bits1 string")
-    out = exact_dedup.exact_groups(df, max_slots=slots)
+    out = exact_dedup.exact_groups(df, max_bits=bits)
     assert out.columns[:4] == df.columns and {"keep_id", "group_size", "_kept", "text_sha256"} <= set(out.columns)
     rows = out.collect()
     groups: dict[str, list[int]] = {}
@@ -28,9 +28,9 @@ def test_groups(spark, slots):
 
 
 def test_small_filter_is_still_right(spark):
-    """With far more texts than slots, all rows are grouped exactly."""
-    df = spark.range(40_000).selectExpr("id as doc_id", "cast(id % 39000 as string) as text")
-    assert exact_dedup.exact_dedup(df, max_slots=exact_dedup.BITMAP_BITS).count() == 39_000
+    """With about as many repeated texts as bits, most rows are grouped exactly."""
+    df = spark.range(70_000).selectExpr("id as doc_id", "cast(id % 39000 as string) as text")
+    assert exact_dedup.exact_dedup(df, max_bits=exact_dedup.BITMAP_BITS).count() == 39_000
 
 
 def test_null_ids_and_empty_tables(spark):
