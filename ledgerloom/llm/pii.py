@@ -2,7 +2,7 @@
 
 Validated values become numbers of a finite domain, a keyed Feistel network
 permutes the domain, and the result is written in the format of the value:
-separators, length and check digits stay valid. The network works on a pair (a, b) with
+separators, length and check digits stay valid (an octet of an address can change its length). The network works on a pair (a, b) with
 a < m and b < n by modular addition, so it is a permutation of m * n values of any m
 and n. Equal values get equal pseudonyms whatever their separators, in all documents
 that use the key, and `reveal` turns pseudonyms back.
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import fresh, let
 
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # a domain has at most 126 labels before the last one: the bound also keeps Java's recursion flat
+    "email": r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -37,6 +38,8 @@ PATTERNS["card"] = r"(?<![0-9])[0-9](?:(?:[ -](?!%s))?[0-9]){12,}+" % "|".join(f
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 KINDS = list(PATTERNS)
 ROUNDS = 8
+#: Setting of the session that holds the query's key.
+KEY_CONF = "spark.ledgerloom.pii.key"
 #: The 73,049 days of the years 1900 to 2099 are in 229 * 319 numbers.
 DAYS, N_DAYS = (229, 319), 73049
 #: A card's pseudonym is permuted on, at most so often, until it is found again where the card was found.
@@ -250,7 +253,7 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", reveal: bool =
 
 def op5_pii(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = pseudonymize(docs, key="pipeline-key-1")
+    out = pseudonymize(docs, key=spark.conf.get(KEY_CONF, "pipeline-key-1"))
     n = lambda k: F.size(F.filter("pii", lambda p: (p["kind"] == KINDS.index(k)) & p["changed"])).cast("bigint").alias(f"n_{k}")
     return out.select("doc_id", *[n(k) for k in KINDS], F.size("pii").cast("bigint").alias("n_candidates"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
 
