@@ -5,11 +5,11 @@ matches and `regexp_extract_all` the matches, so the start of a match is the sum
 the lengths of all before it. Offsets count code points; ends are exclusive.
 
 Entropy: candidates are runs of at least WINDOW characters of the base64 and url
-alphabets. A window moves over each one; the entering and the leaving character change
+alphabets, without what base spans cover. A window moves over each one; the entering and the leaving character change
 only their own counts, so sum(c * log2(c)) is kept up to date in two steps, and the
 entropy is log2(w) minus that sum over w. The threshold depends on the character class
 of the candidate. The span reaches from the first window over the threshold to the end
-of the last one. Candidates on the allow-list, and those that overlap a base span, are left out.
+of the last one. Candidates on the allow-list are left out.
 
 Everything is one projection: no shuffle, whatever the keys.
 """
@@ -83,32 +83,47 @@ def _spans(found: Column, kind: int) -> Column:
 def _hot(s: Column) -> Column:
     """(first, last): starts of the first and last window of `s` whose entropy reaches the limit of its class, or nulls."""
     limit = F.when(s.rlike("^[0-9]+$"), F.lit(LIMITS["digits"])).when(s.rlike("^[0-9a-fA-F]+$"), F.lit(LIMITS["hex"])).otherwise(F.lit(LIMITS["mixed"]))
-    # counts are by character code; a step changes two of them
     return let(F.transform(F.split(s, ""), lambda c: F.ascii(c)), lambda codes: _scan(codes, limit))
 
 
 def _scan(codes: Column, limit: Column) -> Column:
-    part = lambda k: k * F.log2(F.greatest(k, F.lit(1.0)))
-    zeros = F.array_repeat(F.lit(0.0), 128)
-    state = F.struct(zeros.alias("c"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    """One fold over the characters. The state holds sum(c * log2(c)) of the window; the counts of the entering and the leaving character, which are
+    all that a step changes, are read off the window itself."""
+    part = lambda k: k * F.log2(F.greatest(k, F.lit(1)))
+    state = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    count = lambda window, c: F.size(F.filter(window, lambda x: x == c))
 
     def step(acc, i):
         enters, leaves = F.get(codes, i), F.when(i >= WINDOW, F.get(codes, F.greatest(i - WINDOW, F.lit(0))))
-        less = F.coalesce(F.get(acc["c"], leaves), F.lit(0.0))
-        more = F.get(acc["c"], enters) - F.when(enters == leaves, 1.0).otherwise(0.0)
-        total = acc["sum"] - part(less) + part(F.greatest(less - 1, F.lit(0.0))) - part(more) + part(more + 1)
-        counts = F.transform(acc["c"], lambda c, k: c + F.when(k == enters, 1.0).otherwise(0.0) - F.when(k == leaves, 1.0).otherwise(0.0))
+        before = F.slice(codes, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i, F.lit(WINDOW)))  # the window that ends before this character
+
+        def moved(w):
+            less = F.when(leaves.isNull(), 0).otherwise(count(w, leaves))
+            more = count(w, enters) - F.when(enters == leaves, 1).otherwise(0)
+            return let(F.struct(less.alias("less"), more.alias("more")), lambda k: acc["sum"] - part(k["less"]) + part(F.greatest(k["less"] - 1, F.lit(0))) - part(k["more"]) + part(k["more"] + 1))
+
         at = i - WINDOW + 1
-        hot = (at >= 0) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit - 1e-9)
-        return F.struct(counts.alias("c"), total.alias("sum"), F.coalesce(acc["first"], F.when(hot, at)).alias("first"), F.when(hot, at).otherwise(acc["last"]).alias("last"))
+        hot = lambda total: (at >= 0) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit - 1e-9)
+        return let(let(before, moved), lambda total: F.struct(total.alias("sum"), F.coalesce(acc["first"], F.when(hot(total), at)).alias("first"), F.when(hot(total), at).otherwise(acc["last"]).alias("last")))
 
     return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _left_by(base: Column, at: Column, hit: Column) -> Column:
+    """array<struct<at, hit>>: what the base spans leave of a candidate, in pieces of at least WINDOW characters."""
+    piece = lambda a, z: F.struct(a.alias("at"), F.substring(hit, (a - at + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int")).alias("hit"))
+    end = at + F.length(hit)
+    touching = F.filter(base, lambda b: (b["start"] < end) & (at < b["end"]))
+    state = F.struct(at.alias("at"), F.array().cast("array<struct<at:bigint,hit:string>>").alias("out"))
+    cut = lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], b["start"]))).alias("out"))
+    pieces = F.aggregate(touching, state, cut, lambda acc: F.concat(acc["out"], F.array(piece(acc["at"], end))))
+    return F.filter(pieces, lambda p: F.length(p["hit"]) >= WINDOW)
+
+
 def _entropy_spans(text: Column, base: Column) -> Column:
     found = matches(text, CANDIDATE)
     allowed = lambda s: reduce(lambda a, b: a | b, [s.rlike(p) for p in ALLOW])
-    free = F.filter(found, lambda m: ~allowed(m["hit"]) & ~F.exists(base, lambda b: (b["start"] < m["at"] + F.length(m["hit"])) & (m["at"] < b["end"])))
+    free = F.filter(F.flatten(F.transform(found, lambda m: _left_by(base, m["at"], m["hit"]))), lambda m: ~allowed(m["hit"]))
     hot = F.transform(free, lambda m: F.struct(m["at"].alias("at"), _hot(m["hit"]).alias("w")))
     return F.transform(
         F.filter(hot, lambda m: m["w"]["first"].isNotNull()),
@@ -119,7 +134,7 @@ def _entropy_spans(text: Column, base: Column) -> Column:
 def secret_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` with `base_spans` and `all_spans`, each array<struct<start, kind, end>> sorted by start and then kind (0 assign, 1 access, 2 hex, 3 entropy).
 
-    Null and empty texts have no spans. Every row is judged alone, so repeated
+    Null and empty texts have no spans; very long candidates take time in proportion to their length. Every row is judged alone, so repeated
     rows and ties don't matter; an empty table gives an empty result. Columns that `df`
     has already under these names stay, and the added ones get underscores in front.
     """

@@ -19,18 +19,26 @@ def brute(text):
     base.sort()
     more, w = [], secrets.WINDOW
     for m in re.finditer(secrets.CANDIDATE, text):
-        s = m[0]
-        if any(p.search(s) for p in ALLOW) or any(b[0] < m.end() and m.start() < b[2] for b in base):
-            continue
-        limit = secrets.LIMITS["digits" if re.fullmatch("[0-9]+", s) else "hex" if re.fullmatch("[0-9a-fA-F]+", s) else "mixed"]
-        hot = [i for i in range(len(s) - w + 1) if -sum(c / w * math.log2(c / w) for c in Counter(s[i : i + w]).values()) >= limit - 1e-9]
-        if hot:
-            more.append((m.start() + hot[0], 3, m.start() + hot[-1] + w))
+        at, pieces = m.start(), []
+        for a, _, z in base:
+            if a < m.end() and m.start() < z:
+                pieces.append((at, text[at : max(at, a)]))
+                at = max(at, z)
+        more += [x for a, s in [*pieces, (at, text[at : m.end()])] if len(s) >= w for x in entropy(a, s)]
     join = lambda x: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in x)
     n = Counter(k for _, k, _ in base)
     return n[0], n[1], n[2], hashlib.sha256(join(base).encode()).hexdigest(), join(sorted(base + more))
 
 
+def entropy(at, s):
+    w = secrets.WINDOW
+    if not any(p.search(s) for p in ALLOW):
+        limit = secrets.LIMITS["digits" if re.fullmatch("[0-9]+", s) else "hex" if re.fullmatch("[0-9a-fA-F]+", s) else "mixed"]
+        hot = [i for i in range(len(s) - w + 1) if -sum(c / w * math.log2(c / w) for c in Counter(s[i : i + w]).values()) >= limit - 1e-9]
+        if hot:
+            yield at + hot[0], 3, at + hot[-1] + w
+
+
 def test_against_brute_force(spark, tmp_path):
     rnd = random.Random(5)
     alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -56,3 +64,18 @@ def test_shape_of_input(spark):
     assert out.columns == ["doc_id", "text", "base_spans", "_base_spans", "all_spans"] and out.count() == 2
     assert [r.text for r in secrets.redact_secrets(df).collect()] == ["[secret] x [secret]", None]
     assert secrets.secret_spans(df.limit(0)).count() == 0
+
+
+def test_second_secret_in_a_run(spark):
+    rnd = random.Random(4)
+    one = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    text = "0123456789abcdef" * 2 + "Z" + one
+    row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [s.kind for s in row.base_spans] == [2] and any(s.kind == 3 and s.start >= 32 for s in row.all_spans)
+
+
+def test_long_candidate(spark):
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(100_000))
+    row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [s.kind for s in row.all_spans if s.kind == 3]
