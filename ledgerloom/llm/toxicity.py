@@ -12,7 +12,7 @@ probability of a segment as good by chance. A text's evidence is the sum of the
 of its significant segments, and a logistic function turns it into a score.
 
 What is fitted is bounded: at most `max_train` labelled texts (those with the least hash
-of the id, so it is the same choice in every run) and at most `max_lexicon` tokens. Every text is scored whole.
+of the id, so it is the same choice in every run). Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import written
 
 MAX_TRAIN = 20_000
-MAX_LEXICON = 5_000
 #: Pseudo-counts of the prior in each class, as a share of all counts.
 PRIOR = 0.05
 #: Lengths of the beginnings of words that are features too, written with a star.
@@ -76,10 +75,11 @@ def segments(scores: list[tuple[int, float]], n: int, rest: float) -> list[tuple
 
     Ruzzo and Tompa's scan: candidates are kept with the running totals at their ends
     (left, right); a new one is merged with the last one before whose left total is lower, as long as
-    the right total there is lower as well. Positive scores only start candidates, so
+    the right total there is lower as well. Each candidate keeps the place of that one, and those between have left totals that are
+    no lower, so the search follows these places and the scan is linear. Positive scores only start candidates, so
     what lies between two listed positions only changes the running total.
     """
-    out: list[list] = []  # start, end, left, right
+    out: list[list] = []  # start, end, left, right, place of the last one before whose left total is lower
     total, at = 0.0, 0
     for i, s in scores:
         total += rest * (i - at)
@@ -87,17 +87,17 @@ def segments(scores: list[tuple[int, float]], n: int, rest: float) -> list[tuple
         before, total = total, total + s
         if s <= 0:
             continue
-        new = [i, i + 1, before, total]
+        start, left, j = i, before, len(out) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or out[j][3] >= new[3]:
-                out.append(new)
+            while j >= 0 and out[j][2] >= left:
+                j = out[j][4]
+            if j < 0 or out[j][3] >= total:
+                out.append([start, i + 1, left, total, j])
                 break
-            new = [out[j][0], new[1], out[j][2], new[3]]
+            start, left, before_it = out[j][0], out[j][2], out[j][4]
             del out[j:]
-    return [(a, b, r - left) for a, b, left, r in out]
+            j = before_it
+    return [(a, b, r - left) for a, b, left, r, _ in out]
 
 
 def _surprise(model: Model, score: float, n: int) -> float:
@@ -118,11 +118,16 @@ def _logistic(model: Model, x: float) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, model.weight * x + model.bias))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lexicon: int = MAX_LEXICON) -> Model:
-    """Model from docs (doc_id, text) and labels (doc_id, toxic); rows without id or label are left out. Without both classes nothing is toxic."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Model from docs (id, text) and labels (doc_id, toxic); rows without id or label are left out. Without both classes nothing is toxic.
+
+    An id with several labels is toxic if one of them says so. Documents that share an id share its label, and equal texts of one id
+    count once. Null texts are empty. The choice of ids depends on their hashes alone; other columns are ignored.
+    """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # max_train rows of two numbers at most
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    train = written(named.join(F.broadcast(chosen), "doc_id").distinct().select("text", "toxic"))  # max_train rows of two numbers at most
 
     def count(batches):
         both = [Counter(), Counter()]
@@ -143,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lexi
     y0, y1 = F.col("clean") + alpha, F.col("toxic") + alpha
     odds = F.log(y1 / (F.lit(n1 + prior) - y1)) - F.log(y0 / (F.lit(n0 + prior) - y0))
     told = counts.select("w", "clean", "toxic", odds.alias("odds"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z")).where((F.col("z") >= Z_MIN) & (F.col("odds") >= ODDS_MIN))
-    top = told.orderBy(F.desc("z"), "w").limit(max_lexicon).collect()
+    top = told.collect()  # of the words of max_train texts
     mass0, mass1 = sum(r["clean"] for r in top) / (n0 + prior), sum(r["toxic"] for r in top) / (n1 + prior)
     rest = min(math.log((1 - mass1) / (1 - mass0)), -1e-4)
     lexicon = {r["w"]: r["odds"] for r in top}
@@ -152,26 +157,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lexi
     def best(batches):
         for b in batches:
             rows = []
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text in b.column(0).to_pylist():
                 words = tokens(text)
                 found = segments(scored(words, lexicon), len(words), rest)
-                rows.append((int(toxic == 1), len(words), [s for *_, s in found]))
-            yield pa.RecordBatch.from_pydict({"toxic": [r[0] for r in rows], "n": [r[1] for r in rows], "s": [r[2] for r in rows]}, schema=pa.schema([("toxic", pa.int32()), ("n", pa.int32()), ("s", pa.list_(pa.float64()))]))
+                rows.append(max((s for *_, s in found), default=0.0) - math.log(max(len(words), 1)))
+            yield pa.RecordBatch.from_pydict({"x": rows}, schema=pa.schema([("x", pa.float64())]))
 
-    seen = train.mapInArrow(best, "toxic int, n int, s array<double>").collect()  # max_train rows at most
-    chance = np.array([max(r["s"], default=0.0) - math.log(max(r["n"], 1)) for r in seen if not r["toxic"]])
+    chance = train.where("toxic <> 1").mapInArrow(best, "x double").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation")).first()
     # moments of a Gumbel distribution; log-odds scores have a scale of one in theory, which is the least that is taken
-    scale = max(1.0, float(chance.std()) * math.sqrt(6) / math.pi) if len(chance) else 1.0
-    location = float(chance.mean()) - 0.5772156649015329 * scale if len(chance) else 0.0
+    scale = max(1.0, (chance["deviation"] or 0.0) * math.sqrt(6) / math.pi)
+    location = (chance["mean"] or 0.0) - 0.5772156649015329 * scale
     model = Model(lexicon, rest, location, scale, raw.weight, raw.bias)
-    x = np.array([sum(_surprise(model, s, r["n"]) for s in r["s"]) for r in seen])
-    y = np.array([float(r["toxic"]) for r in seen])
+
+    def told_by(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([round(min(evidence(model, t)[0], 50.0), 3) for t in b.column(0).to_pylist()], pa.float64()), b.column(1).cast(pa.int64())], names=["x", "toxic"])
+
+    # the texts by their evidence in thousandths up to 50: 50,001 values and two labels at most
+    seen = train.select("text", F.col("toxic").cast("bigint").alias("toxic")).mapInArrow(told_by, "x double, toxic long").groupBy("x", (F.col("toxic") == 1).alias("y")).agg(F.count("*").alias("n")).collect()
+    x, y, n = (np.array([float(r[i]) for r in seen]) for i in range(3))
     a, b = 1.0, -1.0
-    x = np.minimum(x, 50.0)
     for _ in range(100):  # Newton's method with a small ridge, for separable data
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((p - y) * x).sum() + 0.01 * a, (p - y).sum() + 0.01 * b])
-        w = p * (1 - p)
+        g = np.array([(n * (p - y) * x).sum() + 0.01 * a, (n * (p - y)).sum() + 0.01 * b])
+        w = n * p * (1 - p)
         h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
         d = np.linalg.solve(h, g)
         a, b = a - float(np.clip(d[0], -2, 2)), b - float(np.clip(d[1], -2, 2))
@@ -206,10 +215,14 @@ def held_out(c: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(c).cast("string")) % 3 == 1, F.lit(False))
 
 
-def detoxify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` without the texts that are scored as toxic; learnt from the labels outside the held-out third."""
-    model = fit(docs, labels.where(~held_out()))
-    text = docs.columns.index("text")
+def detoxify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the texts that are scored as toxic; learnt from the labels outside the held-out third.
+
+    All columns stay as they are, whatever their names. Null and empty texts are judged as empty, repeated rows each alike, rows with null
+    ids like others; an empty table stays empty.
+    """
+    model = fit(docs, labels.where(~held_out()), id_col=id_col, text_col=text_col)
+    text = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
