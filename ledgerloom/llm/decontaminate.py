@@ -6,7 +6,7 @@ starts at a multiple of g, wherever it occurs, so a document needs to look up
 only its aligned blocks in the set of all blocks of the windows. Documents with
 such a block are candidates; all their windows are looked up and compared word by word.
 
-Sets are broadcast only if the benchmark has at most `max_broadcast` of their rows;
+Sets are broadcast only if their rows, words included, sum up to at most `max_broadcast` bytes;
 beyond that the lookups are shuffled joins. Documents are shuffled only if the
 candidates' ids are too many to broadcast by Spark's own threshold.
 """
@@ -22,7 +22,8 @@ from ledgerloom.llm.common import ascii_lower, fresh, let, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 10
-MAX_BROADCAST = 1_000_000
+#: Bytes of a set up to which it is broadcast.
+MAX_BROADCAST = 32_000_000
 
 
 def words(text: Column) -> Column:
@@ -47,8 +48,8 @@ def benchmark_windows(items: DataFrame, n: int = N, id_col: str = "item_id", tex
     return grams.select("item", F.col("g.w").alias("w")).distinct().withColumn("h", F.xxhash64(F.size("w"), F.col("w")))
 
 
-def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df.hint("merge")
+def _small(df: DataFrame, size: int, most: int) -> DataFrame:
+    return F.broadcast(df) if size <= most else df.hint("merge")
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -59,10 +60,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "
     Every row is judged alone, also where ids repeat or are null. Without items or documents nothing
     is hit. Added columns whose names `docs` has get underscores in front.
     """
-    n_words, n_hit, found, hits, rid, all_words = fresh(docs, "n_words", "n_hit", "items", "hits", "rid", "words")
+    n_words, n_hit, found, hits, rid, all_words, cid = fresh(docs, "n_words", "n_hit", "items", "hits", "rid", "words", "cid")
     windows = written(benchmark_windows(items, n, item_col, text_col))
     sizes = sorted(r[0] for r in windows.select(F.size("w")).distinct().collect())  # n numbers at most
-    count = windows.count()
+    size = windows.agg(F.sum(F.lit(64) + F.octet_length("item") + F.octet_length(F.array_join("w", "        ")))).first()[0] or 0
     none = F.array().cast("array<struct<at:int,size:int>>")
     counted = docs.withColumn(all_words, words(F.col(text_col)))
     clean = [F.size(all_words).cast("bigint").alias(n_words), F.lit(0).cast("bigint").alias(n_hit), F.array().cast("array<string>").alias(found), none.alias(hits)]
@@ -74,17 +75,17 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, id_col: str = "
     blocks = written(blocks.select(F.xxhash64("g", "b.w").alias("h")).distinct())
     aligned = lambda g: F.transform(_grams(F.col(all_words), g, g), lambda x: F.xxhash64(F.lit(g), x["w"]))
     hashed = [aligned(g) for g in sorted({(s + 1) // 2 for s in sizes})]
-    looked = counted.select(F.col(id_col).alias("id"), F.explode(F.concat(*hashed)).alias("h"))
-    cand = written(looked.join(_small(blocks, blocks.count(), max_broadcast), "h", "left_semi").select("id").distinct())
+    looked = counted.select(F.col(id_col).alias(cid), F.explode(F.concat(*hashed)).alias("h"))
+    cand = written(looked.join(_small(blocks, 24 * blocks.count(), max_broadcast), "h", "left_semi").select(cid).distinct())
 
     # null ids meet each other: their rows are all looked at
-    same = F.col(id_col).eqNullSafe(F.col("id"))
+    same = F.col(id_col).eqNullSafe(F.col(cid))
     rows = written(docs.join(cand, same, "left_semi").withColumn(rid, F.monotonically_increasing_id()))
     rest = counted.join(cand, same, "left_anti").select(*docs.columns, *clean)
-    looked = reduce(DataFrame.unionByName, [rows.select(rid, F.explode(_grams(words(F.col(text_col)), s)).alias("g")) for s in sizes])
-    looked = looked.select(rid, F.col("g.at").alias("at"), F.col("g.w").alias("dw"), F.xxhash64(F.size("g.w"), F.col("g.w")).alias("dh"))
-    met = looked.join(_small(windows, count, max_broadcast), (F.col("dh") == F.col("h")) & (F.col("dw") == F.col("w")))
-    by_row = met.groupBy(rid).agg(F.sort_array(F.collect_set("item")).alias(found), F.sort_array(F.collect_set(F.struct("at", F.size("dw").alias("size")))).alias(hits))
+    looked = reduce(DataFrame.unionByName, [rows.select(F.col(rid).alias("r"), F.explode(_grams(words(F.col(text_col)), s)).alias("g")) for s in sizes])
+    looked = looked.select("r", F.col("g.at").alias("at"), F.col("g.w").alias("dw"), F.xxhash64(F.size("g.w"), F.col("g.w")).alias("dh"))
+    met = looked.join(_small(windows, size, max_broadcast), (F.col("dh") == F.col("h")) & (F.col("dw") == F.col("w")))
+    by_row = met.groupBy(F.col("r").alias(rid)).agg(F.sort_array(F.collect_set("item")).alias(found), F.sort_array(F.collect_set(F.struct("at", F.size("dw").alias("size")))).alias(hits))
     # sorted occurrences: each adds the words after the end of those before
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
     covered = F.aggregate(
@@ -112,11 +113,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
     if remove == "documents":
         return out.where(F.col(n_hit) == 0).select(*docs.columns)
     text = F.col(options.get("text_col", "text"))
-    # the gap before each word goes with the word if the word before is hit too
-    hit = lambda i: F.exists(F.col(hits), lambda s: (s["at"] <= i) & (i < s["at"] + s["size"]))
-    pieces = F.zip_with(F.split(text, WORD_ANY_CASE, -1), F.regexp_extract_all(text, F.lit(WORD_ANY_CASE), F.lit(0)), lambda g, w: F.struct(g.alias("g"), w.alias("w")))
-    kept = F.transform(pieces, lambda p, i: let(F.struct(hit(i).alias("now"), (hit(i - 1) & hit(i)).alias("inside")), lambda h: F.concat(F.when(h["inside"], F.lit("")).otherwise(p["g"]), F.when(h["now"], F.lit("")).otherwise(F.coalesce(p["w"], F.lit(""))))))
-    return out.withColumn(options.get("text_col", "text"), F.when(F.col(n_hit) > 0, F.array_join(kept, "")).otherwise(text)).select(*docs.columns)
+    # hits that meet or overlap are one span, from the last back to the first; all spans and pieces are walked once
+    span = lambda a, z: F.struct(a.alias("from"), z.alias("to"))
+    ended = lambda s: s["at"] + s["size"]
+    none = F.array().cast("array<struct<from:int,to:int>>")
+    last = F.struct(none.alias("done"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to"))
+    close = lambda acc: F.when(acc["from"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(span(acc["from"], acc["to"]))))
+    join = lambda acc, s: F.when(s["at"] <= acc["to"], F.struct(acc["done"].alias("done"), acc["from"].alias("from"), F.greatest(acc["to"], ended(s)).alias("to"))).otherwise(F.struct(close(acc).alias("done"), s["at"].alias("from"), ended(s).alias("to")))
+    spans = F.aggregate(F.col(hits), last, join, close)
+    pieces = F.zip_with(F.split(text, WORD_ANY_CASE, -1), F.regexp_extract_all(text, F.lit(WORD_ANY_CASE), F.lit(0)), lambda g, w: F.struct(g.alias("g"), F.coalesce(w, F.lit("")).alias("w")))
+
+    def kept(ps, ss):
+        whole = lambda a, z: F.array_join(F.transform(F.slice(ps, a + 1, F.greatest(z - a, F.lit(0))), lambda p: F.concat(p["g"], p["w"])), "")
+        # before each span: the words since the one before, and the gap in front of the span's first word
+        parts = F.transform(ss, lambda s, i: F.concat(whole(F.coalesce(F.get(ss, i - 1)["to"], F.lit(0)), s["from"]), F.get(ps, s["from"])["g"]))
+        return F.concat(F.array_join(parts, ""), whole(F.get(ss, F.size(ss) - 1)["to"], F.size(ps)))
+
+    cleaned = let(pieces, lambda ps: let(spans, lambda ss: kept(ps, ss)))
+    return out.withColumn(options.get("text_col", "text"), F.when(F.col(n_hit) > 0, cleaned).otherwise(text)).select(*docs.columns)
 
 
 #: The same words before lower-casing.
