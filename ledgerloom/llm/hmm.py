@@ -7,7 +7,7 @@ proportion to its smoothed count, with one more word for all that are unknown: t
 probabilities of all words sum to one.
 
 Counts of words are exact and cover the corpus. Texts are dealt to blocks by a hash of
-their id; each block asks for the counts of its distinct words, so that it is
+their id and text; each block asks for the counts of its distinct words, so that it is
 block vocabularies that are shuffled, not tokens. The class sequences are
 written once in the shared folder. Each Baum-Welch iteration is one job: tasks sum the expected counts of
 their texts, and the sums over tasks, whose number is bounded by the model's size, go
@@ -195,13 +195,13 @@ def lm_scores(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "te
 
     Null texts are empty: they have the end token alone. Rows with null ids are scored, and
     train unless held out; repeated rows count each. Without training rows all words are
-    unknown. Other columns are ignored. An empty table gives an empty result.
+    unknown. Very long texts are cut into segments. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     blocks = max(1, math.ceil(text_bytes(docs, text_col) / BLOCK_BYTES))
     # the row's place in its block is not needed: a block's rows are scored as they come
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), held.alias("held"))
-    src = src.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)).cast("int"))
+    src = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     def vocabulary(t: pa.Table) -> pa.Table:
         """The distinct words of a block, with their counts in its training texts."""

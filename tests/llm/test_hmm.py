@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -66,6 +67,47 @@ def test_scores(spark):
         assert (rows[i].held_out, rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == (flags[i], len(w), sum(x in c for x in w), n)
         assert math.isclose(rows[i].base_score, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
     assert sum(r.score for r in rows.values()) > sum(r.base_score for r in rows.values())
-    # all words, the unknown one included, have a probability of one together as the first of a text
-    probe = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert hmm.lm_scores(probe.limit(0), F.lit(False)).count() == 0
+    assert hmm.lm_scores(df.limit(0), F.lit(False)).count() == 0
+
+
+def plain_model(docs, top, tail, states, iterations):
+    """Scores of all texts by the model of the module's head: plain counts, plain_counts and plain_forward."""
+    train = [hmm.tokens(t) for t, h in docs if not h]
+    c = Counter(w for x in train for w in x)
+    frequent = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].decode()))][:top]
+    classes = hmm.Classes(frequent, tail)
+    unknown = classes.top + hmm.hash64(b"unknown") % tail
+    kind = lambda w: classes(w) if w in c else unknown
+    weight = np.zeros(classes.n)
+    for w, k in c.items():
+        weight[classes(w)] += k + 0.5
+    weight[unknown] += 0.5
+    pi, a, b = hmm.initial(states, classes.n, weight / weight.sum())
+    for _ in range(iterations):
+        sums = [sum(p) for p in zip(*(plain_counts([kind(w) for w in x], pi, a, b) for x in train))]
+        pi, a = (sums[0] + 1) / (sums[0] + 1).sum(), (sums[1] + 1) / (sums[1] + 1).sum(1, keepdims=True)
+        of = sums[2] + hmm.PULL * sums[2].sum(0) / sums[2].sum()
+        b = weight[:, None] * of / of.sum(1, keepdims=True)
+        b = b / b.sum(0)
+    inside = lambda w: math.log10((c[w] + 0.5) / weight[kind(w)])
+    scores = [plain_forward([kind(w) for w in x], pi, a, b) / math.log(10) + sum(map(inside, x)) for x in (hmm.tokens(t) for t, _ in docs)]
+    # the words' probabilities as first tokens: all known ones and the unknown one
+    first = [10 ** inside(w) * (pi * b[kind(w)]).sum() for w in [*c, b"never seen"]]
+    return scores, sum(first)
+
+
+def test_scores_against_plain_model(spark):
+    rnd = random.Random(3)
+    docs = [(" ".join(rnd.choice(["Ana", "ana", "bob", "cé", "dd", "eee", "fgh", "fgi", "é😀"]) for _ in range(rnd.randint(0, 90))), rnd.random() < 0.3) for _ in range(40)] + [(None, False), ("zzz ana", True)]
+    scores, mass = plain_model(docs, 4, 8, 3, 4)
+    assert abs(mass - 1) < 1e-9
+    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(docs)], "doc_id long, text string, h boolean")
+    got = {r.doc_id: r.score for r in hmm.lm_scores(df, F.col("h"), top=4, tail=8, states=3).collect()}
+    assert np.allclose([got[i] for i in range(len(docs))], scores)
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "a b", "x", 1), (1, "a b", "x", 1), (None, "a b", "x", 2), (None, "a b", "x", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held string, block int")
+    got = hmm.lm_scores(df, F.lit(False), top=2, tail=2, states=2).collect()
+    assert len(got) == 4 and len({r.score for r in got}) == 1 and got[0].train_tokens == 12
