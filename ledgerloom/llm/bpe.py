@@ -31,6 +31,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerloom.llm.common import fresh
+
 #: Characters of a text that are read at once.
 SLICE = 1 << 16
 #: Words longer than this are encoded in windows.
@@ -304,7 +306,7 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """`df` with the token ids of each text as an array; null texts give an empty one."""
+    """`df` with the token ids of each text as an array; null texts give an empty one. A column of that name stays, and the new one gets underscores in front."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import ArrayType, IntegerType
 
@@ -313,11 +315,11 @@ def bpe_encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
         t = transducer(path)
         return texts.map(lambda x: list(t.encode(x)))
 
-    return df.withColumn(ids_col, encode(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn(fresh(df, ids_col)[0], encode(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """`df` with the text of each array of ids, as the byte machine gives it back; null gives an empty one."""
+    """`df` with the text of each array of ids, as the byte machine gives it back; null gives an empty one. A column of that name stays, and the new one gets underscores in front."""
     from pyspark.sql import functions as F
 
     @F.pandas_udf("string")
@@ -325,7 +327,7 @@ def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
         t = transducer(path)
         return ids.map(lambda x: "".join(t.text([] if x is None else x.tolist())))
 
-    return df.withColumn(text_col, decode(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
+    return df.withColumn(fresh(df, text_col)[0], decode(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))))
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

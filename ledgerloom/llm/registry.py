@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ledgerloom.llm import bpe, decontaminate, exact_dedup, hmm, near_dedup, pii, repeats, secrets, toxicity, url_filter
 
-MODULES = [bpe, url_filter, near_dedup, exact_dedup, hmm, near_dedup, pii, repeats, secrets, hmm, repeats, toxicity, decontaminate]
+MODULES = [bpe, url_filter, near_dedup, exact_dedup, pii, secrets, hmm, repeats, toxicity, decontaminate]
 
 
 def queries() -> dict:

@@ -64,3 +64,12 @@ def test_digests_and_columns(spark, pair):
     assert bpe.bpe_digests(df.limit(0), bpe.vocabulary()).count() == 0
     back = bpe.bpe_decode(bpe.bpe_encode(df.limit(3), bpe.vocabulary()), bpe.vocabulary())
     assert back.columns == [*df.columns, "ids", "decoded"] and back.count() == 3
+
+
+def test_clashing_names(spark):
+    path = bpe.vocabulary()
+    df = spark.createDataFrame([(1, "hello world", "x", "y"), (2, None, "x", "y")], "doc_id long, text string, ids string, decoded string")
+    out = bpe.bpe_encode(df, path)
+    assert out.columns == [*df.columns, "_ids"] and [r.ids for r in out.collect()] == ["x", "x"]
+    back = bpe.bpe_decode(out, path, ids_col="_ids")
+    assert back.columns == [*out.columns, "_decoded"] and [(r.decoded, r._decoded.strip()) for r in back.collect()] == [("y", "hello world"), ("y", "")]
