@@ -31,7 +31,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import fresh
+from ledgerloom.llm.common import fresh, release
 
 #: Characters of a text that are read at once.
 SLICE = 1 << 16
@@ -297,6 +297,7 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("text_sha256", pa.string())])
 
     def run(batches):
+        release()
         t = transducer(path)
         for b in batches:
             rows = [_digests(t, x.as_py()) for x in b.column(1)]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +86,13 @@ def remove_written(spark: SparkSession) -> int:
     return n
 
 
+def release() -> None:
+    """Gives freed memory back to the system. Python workers live on between stages, and what they hold counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Size of all texts, one number on the driver."""
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

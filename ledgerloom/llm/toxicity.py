@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import release, written
 
 MAX_TRAIN = 20_000
 #: Pseudo-counts of the prior in each class, as a share of all counts.
@@ -228,6 +228,7 @@ def detoxify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
         for b in batches:
             keep = [_logistic(model, min(evidence(model, t.as_py())[0], 50.0)) < threshold for t in b.column(text)]
             yield b.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
