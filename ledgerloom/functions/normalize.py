@@ -11,7 +11,7 @@ from ledgerloom.functions.tables import read
 from ledgerloom.functions.text import collapsed, compact
 
 # Zero-width, bidi and byte-order marks; control characters but tab, line feed and carriage return; private use.
-INVISIBLE = "[\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u2064\\u2066-\\u2069\\ufeff]"
+INVISIBLE = "[\\u200b-\\u200d\\ufeff\\u200f\\u202a-\\u202e]"
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]"
 PRIVATE = "[\\ue000-\\uf8ff]"
 # Patterns and labels of the redaction, in the order in which they apply.

@@ -136,7 +136,7 @@ def nd3_safety(spark, d):
 
 
 def nd1_entities(spark, d):
-    return _texts(spark, d).select("doc_id", F.array_join(symptoms(F.col("text"), _FIX["sym"]), ",").alias("symptoms"), F.size(drugs(F.left("text", F.lit(400)), ["tion", "ung"], ["idiot"])).cast("bigint").alias("n_drugs"))
+    return _texts(spark, d).select("doc_id", F.array_join(symptoms(F.col("text"), _FIX["sym"]), ",").alias("symptoms"), F.size(drugs(F.col("text"), ["tion", "ung"], ["idiot"])).cast("bigint").alias("n_drugs"))
 
 
 def nd4_router(spark, d):
@@ -159,7 +159,7 @@ _list = lambda c, ts: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN co
 _n = " + ".join(f"{_has('lower(trim(text))', a)}::INT" for a in _FIX["sym"].values())
 SQL = {
     "nd3_safety": f"SELECT doc_id, {_list('text', _FIX['high'])} AS high_terms, {_list('lower(text)', [x.lower() for x in _FIX['dose']])} AS dosage_terms, {_has('text', _FIX['high'])} AS high_risk, {_has('lower(text)', [x.lower() for x in _FIX['dose']])} AS dosage FROM documents",
-    "nd1_entities": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has('text', a)} THEN '{n}' END" for n, a in _FIX["sym"].items()) + "], lambda x: x IS NOT NULL), ',') AS symptoms, len(list_distinct(list_filter(regexp_extract_all(left(text, 400), '[一-鿿A-Za-z0-9]{2,12}'), lambda t: suffix(t, 'tion') OR suffix(t, 'ung') OR contains(t, 'idiot')))) AS n_drugs FROM documents",
+    "nd1_entities": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has('text', a)} THEN '{n}' END" for n, a in _FIX["sym"].items()) + "], lambda x: x IS NOT NULL), ',') AS symptoms, len(list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '[一-鿿A-Za-z0-9]{2,12}'), lambda t: suffix(t, 'tion') OR suffix(t, 'ung') OR contains(t, 'idiot')))) AS n_drugs FROM documents",
     "nd4_router": f"""
         WITH r AS (SELECT doc_id, ({_n}) AS n, CASE WHEN {_has("text", _FIX["high"])} THEN 'urgent_care' {" ".join(f"WHEN {_has('lower(trim(text))', w)} THEN '{name}'" for w, name, *_ in _FIX["routes"])}
             WHEN {_has("lower(trim(text))", [x.lower() for x in _FIX["dose"]])} THEN 'medication_safety' WHEN ({_n}) > 0 THEN 'symptom_assessment' ELSE 'general_medical_qa' END AS intent FROM documents)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a lookup side up to which it is broadcast; beyond, Spark shuffles both sides.
-MAX_BROADCAST_ROWS = 200_000
+#: Rows and bytes of a lookup side up to which it is broadcast; beyond, Spark shuffles both sides.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 200_000, 32_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows; counting stops one row beyond."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows and `size` bytes as JSON; counting stops one row beyond."""
+    one = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    got = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(one), F.lit(0))).first()
+    return F.broadcast(df) if got[0] <= rows and got[1] <= size else df

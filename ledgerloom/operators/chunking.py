@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.tables import read
+from ledgerloom.functions.text import collapsed
 
 # Words of headings, and the patterns of headings and list items.
 HEADING_WORDS = ["摘要", "引言", "背景", "目的", "方法", "结果", "结论", "讨论", "诊断", "治疗", "症状", "病因", "检查", "用药", "预防", "参考文献"]
-HEADING = r"^(#{1,6}\s+|第[一二三四五六七八九十百千0-9]+[章节篇部分]\s*|([0-9]+|[一二三四五六七八九十]+)([.．、][0-9]+)*[.．、]\s*)\S+"
-LIST = r"^([0-9]+[.)、]|[-*•·])\s*\S+"
+HEADING = r"^(#{1,6}\s+|第[一二三四五六七八九十百千0-9]+[章节篇部分]\s*|(\p{Nd}+|[一二三四五六七八九十]+)([.．、]\p{Nd}+)*[.．、]\s*)\S+"
+LIST = r"^(\p{Nd}+[.)、]|[-*•·])\s*\S+"
 #: (size, overlap) of the three levels.
 LEVELS = [(2400, 400), (1600, 200), (800, 100)]
 SEPARATORS = ["\n\n", "。", "！", "？", "\n", "，", "、", " ", ""]
@@ -53,12 +54,12 @@ def blocks(docs: DataFrame, heading_words: list[str] = HEADING_WORDS) -> DataFra
     lines = lines.withColumn("kind", F.when(code, "code").otherwise(line_kind(F.col("line"), heading_words)))
     before = F.lag("kind").over(w)
     lines = lines.withColumn("new", (before.isNull() | (before != F.col("kind")) | F.col("kind").isin("heading", "blank")).cast("int"))
-    lines = lines.withColumn("block", F.sum("new").over(w)).withColumn("head", F.when(F.col("kind") == "heading", F.trim(F.regexp_replace(F.trim("line"), "^#+", ""))))
+    lines = lines.withColumn("block", F.sum("new").over(w)).withColumn("head", F.when(F.col("kind") == "heading", F.trim(F.regexp_replace(collapsed(F.col("line")), "^#+", ""))))
     lines = lines.withColumn("last", F.last("head", ignorenulls=True).over(w))
     prior = F.last("last_before", ignorenulls=True).over(w)
     lines = lines.withColumn("last_before", F.when(F.col("head").isNotNull(), F.lag("last").over(w))).withColumn("prior", prior)
-    out = lines.where("kind <> 'blank'").groupBy("doc_id", "block").agg(F.min("n").alias("at"), F.first("kind").alias("kind"), F.min_by("last", "n").alias("l"), F.min_by("prior", "n").alias("p"), F.sort_array(F.collect_list(F.struct("n", F.trim("line").alias("s")))).alias("ls"))
-    return out.select("doc_id", F.col("at").alias("block"), "kind", F.concat_ws(" > ", "p", "l").alias("path"), F.array_join(F.transform("ls", lambda x: x["s"]), "\n").alias("text"))
+    out = lines.where("kind <> 'blank'").groupBy("doc_id", "block").agg(F.min("n").alias("at"), F.first("kind").alias("kind"), F.min_by("last", "n").alias("l"), F.min_by("prior", "n").alias("p"), F.sort_array(F.collect_list(F.struct("n", F.when(F.col("kind") == "heading", collapsed(F.col("line"))).otherwise(F.rtrim("line")).alias("s")))).alias("ls"))
+    return out.select("doc_id", F.col("at").alias("block"), "kind", F.concat_ws(" > ", "p", "l").alias("path"), F.trim(F.array_join(F.transform("ls", lambda x: x["s"]), "\n")).alias("text"))
 
 
 def split_text(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:
@@ -263,7 +264,7 @@ QUERIES = {f.__name__: f for f in (ch3_blocks, ch5_three_level, ch7_window_split
 SQL = {
     "ch7_window_split": "SELECT doc_id, i AS chunk, length(substr(text, i * 1080 + 1, 1200)) AS n, sha256(substr(text, i * 1080 + 1, 1200)) AS sha FROM documents, unnest(range(0, greatest(ceil((length(text) - 1200) / 1080.0), 0)::BIGINT + 1)) AS t(i) WHERE trim(text) <> ''",
     "ch3_blocks": r"""
-        WITH l AS (SELECT doc_id, n - 1 AS n, trim(x[n]) AS s FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(n)),
+        WITH l AS (SELECT doc_id, n - 1 AS n, trim(x[n]) AS s, rtrim(x[n]) AS r FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS t(n)),
         k AS (SELECT *, regexp_replace(s, '\s+', ' ', 'g') AS f FROM l),
         c AS (SELECT *, CASE WHEN s = '' THEN 'blank'
             WHEN regexp_matches(f, '^(#{1,6}\s+|([0-9]+)([.．、][0-9]+)*[.．、]\s*)\S+') OR trim(f, ':：') IN ('license', 'the of') OR (length(f) <= 36 AND NOT regexp_matches(f, '[。！？；，、,.!?;]$') AND (contains(f, 'license') OR contains(f, 'the of'))) THEN 'heading'
@@ -271,7 +272,7 @@ SQL = {
             WHEN regexp_matches(s, '^([0-9]+[.)、]|[-*•·])\s*\S+') THEN 'list' ELSE 'paragraph' END AS kind FROM k),
         b AS (SELECT *, CASE WHEN lag(kind) OVER w IS DISTINCT FROM kind OR kind IN ('heading', 'blank') THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
         g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM b)
-        SELECT doc_id, min(n) AS block, first(kind) AS kind, sha256(string_agg(s, chr(10) ORDER BY n)) AS sha FROM g WHERE kind <> 'blank' GROUP BY doc_id, g""",
+        SELECT doc_id, min(n) AS block, first(kind) AS kind, sha256(trim(string_agg(CASE WHEN kind = 'heading' THEN f ELSE r END, chr(10) ORDER BY n))) AS sha FROM g WHERE kind <> 'blank' GROUP BY doc_id, g""",
     "ch10_namespace": "WITH c AS (SELECT 'c' || doc_id AS id, 'c' || (doc_id * 3 // 2) AS p FROM documents) SELECT 'doc:' || left(sha256(c.id), 32) AS chunk_id, CASE WHEN o.id IS NULL THEN '' ELSE 'doc:' || left(sha256(c.p), 32) END AS parent_chunk_id FROM c LEFT JOIN (SELECT DISTINCT id FROM c) o ON c.p = o.id",
     "ch11_public_id": "SELECT DISTINCT source, 'public-' || left(sha256(lower(trim(' ' || upper(source)))), 40) AS document_id FROM documents",
 }

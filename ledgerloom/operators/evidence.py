@@ -81,7 +81,7 @@ def nd7_conflicts(spark, d):
 
 
 def tx19_pack(spark, d):
-    return packed(_hits(spark, d, 5).select("query_id", "source", "rank", F.left("body", F.lit(200)).alias("text"))).select("query_id", F.sha2("context", 256).alias("sha"))
+    return packed(_hits(spark, d, 5).select("query_id", "source", "rank", F.col("body").alias("text"))).select("query_id", F.sha2("context", 256).alias("sha"))
 
 
 def ev4_groundedness(spark, d):
@@ -118,7 +118,7 @@ SQL = {
         g AS (SELECT query_id, topic, count(*) FILTER (yes) AS n_for, count(*) FILTER (no) AS n_against, min(rank) AS first FROM p GROUP BY ALL HAVING count(*) FILTER (yes) > 0 AND count(*) FILTER (no) > 0)
         SELECT query_id, topic, n_for, n_against, row_number() OVER (PARTITION BY query_id ORDER BY first, topic) AS place FROM g QUALIFY place <= 5""",
     "tx19_pack": f"""{_HITS},
-        s AS (SELECT query_id, d.source AS source, min(rank) AS first, '[source: ' || d.source || ']' || chr(10) || string_agg(left(text, 200), chr(10) ORDER BY rank) AS t FROM a JOIN documents d USING (doc_id) WHERE rank <= 5 GROUP BY query_id, d.source)
+        s AS (SELECT query_id, d.source AS source, min(rank) AS first, '[source: ' || d.source || ']' || chr(10) || string_agg(text, chr(10) ORDER BY rank) AS t FROM a JOIN documents d USING (doc_id) WHERE rank <= 5 GROUP BY query_id, d.source)
         SELECT query_id, sha256('<untrusted>' || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY first, source) || chr(10) || '</untrusted>') AS sha FROM s GROUP BY s.query_id""",
     "ev4_groundedness": f"""{_HITS}, t AS (SELECT query_id, doc_id, {_T.format("b.text")} AS x, {_T.format("d.text")} AS y FROM a JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id WHERE rank <= 3)
         SELECT query_id, doc_id, round(coalesce(len(list_intersect(x, y)) / nullif(len(x), 0), 0), 4) AS groundedness FROM t""",

@@ -111,7 +111,7 @@ def ag25_load(spark, d):
 
 
 def fl18_listing(spark, d):
-    return _events(spark, d).where("event_type = 'error' and user_id < 20").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id")
+    return _events(spark, d).where("event_type = 'error'").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id")
 
 
 QUERIES = {f.__name__: f for f in (ag1_summary, ag1_counts, ag2_percentiles, ag3_linear_percentiles, ag4_alerts, ag5_prometheus, ag6_histogram, ag6_route_cap, ag25_load, fl18_listing)}
@@ -128,5 +128,5 @@ SQL = {
         SELECT event_type, CAST(le AS VARCHAR) AS le, (SELECT count(*) FROM events e WHERE e.event_type = g.event_type AND value <= le) AS cumulative, n, total FROM g, b UNION ALL SELECT event_type, '+Inf', n, n, total FROM g""",
     "ag6_route_cap": "WITH f AS (SELECT user_id FROM events GROUP BY 1 ORDER BY min((ts, event_id)) LIMIT 50) SELECT CASE WHEN f.user_id IS NULL THEN '/other' ELSE '/u/' || f.user_id END AS route, count(*) AS n FROM events e LEFT JOIN f USING (user_id) GROUP BY 1",
     "ag25_load": "SELECT event_type, min(value) AS lo, round(avg(value), 6) AS mean, max(value) AS hi, quantile_disc(value, 0.99) AS p99, count(*) AS n FROM events GROUP BY 1",
-    "fl18_listing": "SELECT event_id, user_id FROM events WHERE event_type = 'error' AND user_id < 20 ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "fl18_listing": "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.tables import read, small
+from ledgerloom.functions.tables import read
 from ledgerloom.operators.retrieval import ranked
 
 
@@ -43,9 +43,25 @@ def first_distinct(items: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.array_compact(items)), 1, most)
 
 
-def fuzzy(names: DataFrame, terms: DataFrame, most: int = 3) -> DataFrame:
-    """terms (term) with names (name) that contain them or are contained in them, the longest first. `terms` must be few: it is counted before it is sent to all tasks."""
-    both = names.join(small(terms), F.contains("name", "term") | F.contains("term", "name"))
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def fuzzy(names: DataFrame, terms: DataFrame, most: int = 3, gram: int = 4) -> DataFrame:
+    """terms (term) with up to `most` names (name) each that contain them or are contained in them, the longest first.
+
+    Of two texts of which one contains the other, the longer has the shorter one's first `gram` characters among its n-grams: that is an equi-join,
+    in both directions; texts shorter than `gram` are looked up by all grams of their own length. `contains` decides.
+    """
+    a, b = names.select("name").distinct(), terms.select("term").distinct()
+
+    def inside(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:
+        sizes = [r[0] for r in short.where(F.length(s) > 0).select(F.least(F.length(s), F.lit(gram)).alias("n")).distinct().collect()]  # `gram` sizes at most
+        heads = short.where(F.length(s) > 0).select(s, F.left(s, F.lit(gram)).alias("_g"))
+        grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col(l), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+        return heads.join(long.select(l, F.explode(grams).alias("_g")), "_g").where(F.contains(l, s)).select("term", "name")
+
+    both = inside(b, "term", a, "name").union(inside(a, "name", b, "term")).distinct()
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.desc(F.length("name")), "name"))).where(F.col("rank") <= most)
 
 
@@ -126,7 +142,7 @@ def wn13_plan_cap(spark, d):
 
 def j10_fuzzy(spark, d):
     names = read(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    return fuzzy(names, names.select(F.left("name", F.lit(6)).alias("term")).distinct().orderBy("term").limit(50)).select("term", "name", "rank")
+    return fuzzy(names, names.select(F.left("name", F.lit(6)).alias("term")).distinct()).select("term", "name", "rank")
 
 
 def j6_idempotent(spark, d):
@@ -200,7 +216,7 @@ SQL = {
     "wn10_poi_rank": "WITH p AS (SELECT s_nationkey AS owner, s_name AS name, s_suppkey % 3 = 0 AS hit, CASE WHEN s_suppkey % 5 > 0 THEN greatest(round(s_acctbal, 0), 0) END AS d FROM supplier) SELECT owner, name, row_number() OVER (PARTITION BY owner ORDER BY hit DESC, d IS NULL, CASE WHEN d = 0 THEN 1e9 ELSE d END, name) AS rank FROM p",
     "wn12_budget": "WITH b AS (SELECT source, doc_id, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) SELECT source, doc_id, least(n, 16000 - before)::BIGINT AS n FROM b WHERE before < 16000",
     "wn13_plan_cap": "WITH f AS (SELECT user_id, event_id % 7 AS tool, min((ts, event_id)) AS ord FROM events GROUP BY ALL), r AS (SELECT * FROM f WHERE tool > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ord) <= 5) SELECT user_id, coalesce(string_agg(tool, ',' ORDER BY ord), '') AS tools FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN r USING (user_id) GROUP BY user_id",
-    "j10_fuzzy": "WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT DISTINCT left(name, 6) AS term FROM n ORDER BY term LIMIT 50) SELECT term, name, row_number() OVER (PARTITION BY term ORDER BY length(name) DESC, name) AS rank FROM n JOIN t ON contains(name, term) OR contains(term, name) QUALIFY rank <= 3",
+    "j10_fuzzy": "WITH n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT DISTINCT left(name, 6) AS term FROM n) SELECT term, name, row_number() OVER (PARTITION BY term ORDER BY length(name) DESC, name) AS rank FROM n JOIN t ON contains(name, term) OR contains(term, name) QUALIFY rank <= 3",
     "j6_idempotent": "SELECT DISTINCT o_custkey, o_orderpriority FROM orders",
     "j15_deliveries": "SELECT o_orderkey AS delivery_id, CASE WHEN n.c_custkey IS NULL THEN 'missing_notification' WHEN coalesce(c.c_acctbal > 0, false) THEN 'send' ELSE 'no_consent' END AS outcome FROM orders LEFT JOIN customer n ON n.c_custkey = o_orderkey % 2000 LEFT JOIN customer c ON c.c_custkey = o_custkey",
     "j16_backfill": """SELECT s_nationkey AS tenant, s_suppkey AS "user" FROM supplier UNION ALL SELECT DISTINCT c_nationkey, c_custkey % 120 FROM customer WHERE c_custkey % 120 IN (SELECT s_suppkey FROM supplier) AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey = c_custkey % 120)""",

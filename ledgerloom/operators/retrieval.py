@@ -13,36 +13,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.tables import read, small
 from ledgerloom.functions.text import words
+from ledgerloom.operators.lexical import K1, B, bm25, ranked
 
-K1, B = 1.2, 0.75
 RRF_K = 60
 
 
-def ranked(hits: DataFrame, k: int | None, *order, by=("query_id",)) -> DataFrame:
-    """Best k hits of each query; Spark limits each partition's groups before the shuffle."""
-    order = order or (F.desc("score"), F.asc("doc_id"))
-    out = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return out.where(F.col("rank") <= k) if k else out
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """docs (doc_id, text), queries (query_id, text): best k documents of each query by BM25.
-
-    Only postings of query terms are kept: the terms are broadcast if they are few, and tf is summed
-    before the shuffle. A term counts once for a query.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    asked = small(terms.select("term").distinct())
-    sized = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = sized.select("doc_id", "dl", F.explode("w").alias("term")).join(asked, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.join(F.broadcast(corpus)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row beside each term
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = terms.join(postings, "term").join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scores, k)
-
-
 def inner_product(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, max_queries: int = 20_000) -> DataFrame:
     """vectors and queries (vec_id, embedding): best k by exact inner product.
 
@@ -120,7 +95,12 @@ def reciprocal_rank_fusion(legs: list[DataFrame], k: int, rrf_k: int = RRF_K) ->
     out = legs[0].select("query_id", "doc_id", "rank")
     for leg in legs[1:]:
         out = out.unionByName(leg.select("query_id", "doc_id", "rank"))
-    return ranked(out.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (F.lit(rrf_k) + F.col("rank"))), 9).alias("score")), k)
+    return fused(out, k, rrf_k)
+
+
+def fused(hits: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
+    """Reciprocal rank fusion of hits (query_id, doc_id, rank) of any number of legs."""
+    return ranked(hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (F.lit(rrf_k) + F.col("rank"))), 9).alias("score")), k)
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:
@@ -202,9 +182,10 @@ def _bm25(spark, d, k=K):
 
 
 def _legs(spark, d, k):
-    """A BM25 leg of whole passages and one of their first eight words."""
-    short = _passages(spark, d).withColumn("text", F.array_join(F.slice(words(F.col("text")), 1, 8), " "))
-    return bm25(_corpus(spark, d), _passages(spark, d), k), bm25(_corpus(spark, d), short, k)
+    """Leg 0 of whole passages and leg 1 of their first eight words, in one pass over the corpus."""
+    q = _passages(spark, d).select("query_id", "text", F.lit(0).alias("leg"))
+    short = q.withColumn("text", F.array_join(F.slice(words(F.col("text")), 1, 8), " ")).withColumn("leg", F.lit(1))
+    return bm25(_corpus(spark, d), q.unionByName(short), k, by=("leg", "query_id"))
 
 
 def rt2_bm25(spark, d):
@@ -247,15 +228,13 @@ def rt1_dense_ip(spark, d):
 
 
 def rt3_rrf(spark, d):
-    a, b = _legs(spark, d, 30)
-    return reciprocal_rank_fusion([a, b], 15).select("query_id", "doc_id", "score", "rank")
+    return fused(_legs(spark, d, 30), 15).select("query_id", "doc_id", "score", "rank")
 
 
 def wn1_dedupe(spark, d):
-    a, b = _legs(spark, d, 30)
-    hits = a.select("query_id", F.col("doc_id").alias("key"), F.col("rank").alias("pos"), "score", F.lit(None).cast("double").alias("rerank_score"))
-    more = b.select("query_id", F.col("doc_id").alias("key"), (F.col("rank") + 30).alias("pos"), "score", F.when(F.col("doc_id") % 2 == 0, F.col("score") / 10).alias("rerank_score"))
-    return dedupe_hits(hits.unionByName(more))
+    second = F.col("leg") == 1
+    hits = _legs(spark, d, 30).select("query_id", F.col("doc_id").alias("key"), (F.col("rank") + F.when(second, 30).otherwise(0)).alias("pos"), "score", F.when(second & (F.col("doc_id") % 2 == 0), F.col("score") / 10).alias("rerank_score"))
+    return dedupe_hits(hits)
 
 
 def wn2_version_dedupe(spark, d):
@@ -267,8 +246,8 @@ def wn2_version_dedupe(spark, d):
 def wn3_auto_merge(spark, d):
     """Chunks of 100 words are children of the documents; a query's best 20 chunks are merged where two or more share a document."""
     chunks = read(spark, d, "documents").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 100).cast("int")), lambda i: F.array_join(F.slice("w", i * 100 + 1, 100), " "))).alias("n", "text"))
-    chunks = chunks.select((F.col("doc_id") * 1000 + F.col("n")).alias("doc_id"), "text").where("text <> ''")
-    hits = bm25(chunks, _passages(spark, d), 20).select("query_id", F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 1000)).alias("parent_id"), F.col("rank").alias("pos"), "score")
+    chunks = chunks.select((F.col("doc_id") * 1_000_000 + F.col("n")).alias("doc_id"), "text").where("text <> ''")
+    hits = bm25(chunks, _passages(spark, d), 20).select("query_id", F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 1_000_000)).alias("parent_id"), F.col("rank").alias("pos"), "score")
     return merge_to_parents(hits).select("query_id", "chunk_id", "pos", "score", "merged")
 
 
@@ -278,16 +257,13 @@ def fl5_threshold(spark, d):
 
 
 def rt8_fallback_ladder(spark, d):
-    a, b = _legs(spark, d, 10)
-    strict = reciprocal_rank_fusion([a.where("score > 60"), b.where("score > 60")], 5)
-    return fallback([("hybrid", strict), ("sparse", a.where("score > 30 and rank <= 5"))], _passages(spark, d))
+    both = _legs(spark, d, 10)
+    return fallback([("hybrid", fused(both.where("score > 60"), 5)), ("sparse", both.where("leg = 0 and score > 30 and rank <= 5"))], _passages(spark, d))
 
 
 def rt7_production(spark, d):
     """Recall, merge of legs, truncation and threshold in one plan."""
-    a, b = _legs(spark, d, 30)
-    fused = reciprocal_rank_fusion([a, b], 15)
-    top = ranked(fused.drop("rank"), 5)
+    top = ranked(fused(_legs(spark, d, 30), 15).drop("rank"), 5)
     return top.where(meets_min_score(F.col("score"), 0.02)).select("query_id", "doc_id", "score", "rank")
 
 
@@ -346,9 +322,9 @@ SQL = {
         n AS (SELECT *, min(pos) OVER (PARTITION BY query_id, doc_key) AS slot FROM h QUALIFY row_number() OVER (PARTITION BY query_id, doc_key ORDER BY version DESC, pos) = 1)
         SELECT query_id, doc_key, slot, version, pos, row_number() OVER (PARTITION BY query_id ORDER BY slot) AS rank FROM n QUALIFY rank <= 3""",
     "wn3_auto_merge": f"""
-        WITH ch AS (SELECT doc_id * 1000 + n AS doc_id, array_to_string(w[n * 100 + 1 : n * 100 + 100], ' ') AS text FROM (SELECT doc_id, {_W.format("text")} AS w FROM documents), unnest(range(0, len(w) // 100 + 1)) AS t(n)),
+        WITH ch AS (SELECT doc_id * 1000000 + n AS doc_id, array_to_string(w[n * 100 + 1 : n * 100 + 100], ' ') AS text FROM (SELECT doc_id, {_W.format("text")} AS w FROM documents), unnest(range(0, len(w) // 100 + 1)) AS t(n)),
         {bm25_sql("a", "SELECT * FROM ch WHERE text <> ''", _Q, 20)},
-        h AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, 'd' || (doc_id // 1000) AS parent_id, rank AS pos, score FROM a),
+        h AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS chunk_id, 'd' || (doc_id // 1000000) AS parent_id, rank AS pos, score FROM a),
         g AS (SELECT query_id, parent_id, count(*) AS n, min(pos) AS pos, max(score) AS score FROM h GROUP BY ALL HAVING count(*) >= 2)
         SELECT query_id, parent_id AS chunk_id, pos, score, n AS merged FROM g UNION ALL SELECT query_id, chunk_id, pos, score, 0 FROM h ANTI JOIN g USING (query_id, parent_id)""",
     "fl5_threshold": f"WITH {bm25_sql('a', _D, _Q, 8)}, s AS (SELECT query_id, doc_id, CASE WHEN rank % 4 <> 0 THEN score END AS score FROM a) SELECT query_id, doc_id, coalesce(score >= 25, false) AS passes, coalesce(score >= 0, true) AS passes_without FROM s",

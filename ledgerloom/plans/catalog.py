@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerloom.functions import normalize, rules
-from ledgerloom.operators import chunking, evaluate, evidence, observability, ranking, records, retrieval, versions
+from ledgerloom.functions import normalize, planning, rules
+from ledgerloom.operators import chunking, evaluate, evidence, hybrid, observability, ranking, records, retrieval, versions
 from ledgerloom.sources import readers
 from ledgerloom.streaming import state
 
-MODULES = [retrieval, normalize, chunking, evidence, rules, observability, records, versions, evaluate, ranking, state, readers]
+MODULES = [retrieval, hybrid, normalize, planning, chunking, evidence, rules, observability, records, versions, evaluate, ranking, state, readers]
 
 
 def queries() -> dict:
