@@ -31,7 +31,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import fresh, release
+from ledgerloom.llm.common import fresh, release, small_batches
 
 #: Characters of a text that are read at once.
 SLICE = 1 << 16
@@ -293,15 +293,17 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     One row for each row; null and empty texts give no tokens and the digest of
     nothing. Other columns are ignored.
     """
+    small_batches(df.sparkSession)
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("text_sha256", pa.string())])
 
     def run(batches):
-        release()
         t = transducer(path)
         for b in batches:
             rows = [_digests(t, x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, list(schema)[1:]))], schema=schema)
+        t.known.clear()  # a worker lives on after its task
+        release()
 
     return src.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string").withColumnRenamed("id", id_col)
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Spark's setting that removes shuffle files when a statement has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Paths of the tables in the shared folder, for `remove_written`.
 TABLES: list[str] = []
 
@@ -86,6 +87,12 @@ def remove_written(spark: SparkSession) -> int:
     return n
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most BATCH_ROWS rows in an Arrow batch from now on in this session, unless it has a smaller setting: rows hold whole texts, and Spark's default is for narrow rows."""
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def release() -> None:
     """Gives freed memory back to the system. Python workers live on between stages, and what they hold counts against their executor."""
     pa.default_memory_pool().release_unused()

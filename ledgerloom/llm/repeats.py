@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import text_bytes, written
+from ledgerloom.llm.common import small_batches, text_bytes, written
 
 U = np.uint64
 LENGTH = 50
@@ -215,6 +215,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a null id stay and remove nothing. kept_text leaves out characters that were cut. Very long texts are
     worked on in parts. An empty table gives an empty result, and other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     blocks = max(1, math.ceil(text_bytes(src) / BLOCK))
     src = src.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))

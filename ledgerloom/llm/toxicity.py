@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import release, written
+from ledgerloom.llm.common import release, small_batches, written
 
 MAX_TRAIN = 20_000
 #: Pseudo-counts of the prior in each class, as a share of all counts.
@@ -124,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
     An id with several labels is toxic if one of them says so. Documents that share an id share its label, and equal texts of one id
     count once. Null texts are empty. The choice of ids depends on their hashes alone; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
