@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from ledgerloom.functions import normalize, planning, rules
-from ledgerloom.operators import cases, chunking, evaluate, evidence, facts, hybrid, observability, ranking, records, retrieval, versions
-from ledgerloom.sources import readers
-from ledgerloom.streaming import state
+from ledgerloom.operators import cases, chunking, evaluate, evidence, facts, hybrid, observability, packing, ranking, records, retrieval, versions
+from ledgerloom.sources import readers, rows
+from ledgerloom.streaming import progress, state
 
-MODULES = [retrieval, hybrid, cases, facts, normalize, planning, chunking, evidence, rules, observability, records, versions, evaluate, ranking, state, readers]
+MODULES = [retrieval, hybrid, cases, facts, normalize, planning, chunking, evidence, rules, observability, records, versions, evaluate, ranking, packing, state, progress, readers, rows]
 
 
 def queries() -> dict:
