@@ -241,7 +241,7 @@ def _legacy(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.concat(F.col("source"), F.lit(" "), F.col("doc_id")).alias("filename"), F.col("text").alias("body"))
     hits = _hits(spark, d, 5).join(docs, "doc_id").select("query_id", "rank", F.array(F.concat_ws("|", "filename", F.lit("0")), "filename", "body").alias("haystacks"))
     q = retrieval._passages(spark, d)
-    return hits, q.select("query_id", F.explode(F.array(F.upper("text"), F.left("text", F.lit(20)), F.lit("web 3"))).alias("item"))
+    return hits, q.select("query_id", F.explode(F.array(F.translate("text", "aeiost", "AEIOST"), F.left("text", F.lit(20)), F.lit("web 3"))).alias("item"))
 
 
 def ag21_legacy(spark, d):
@@ -317,7 +317,7 @@ QUERIES = {f.__name__: f for f in (tx5_normalizers, ev3_choice, ev5_scored, ev6_
 _S = r"regexp_replace({}, '\s+', '{}', 'g')"
 _H = f"h AS (SELECT a.query_id, rank, source || ' ' || doc_id AS f, text FROM a JOIN documents d USING (doc_id))"
 _K = lambda c: rf"regexp_replace(lower(coalesce({c}, '')), '\s+', '', 'g')"
-_LEGACY = f"""{retrieval.bm25_sql("a", retrieval._D, retrieval._Q, 5)}, {_H}, x AS (SELECT item_id AS query_id, unnest([upper(text), left(text, 20), 'web 3']) AS item FROM benchmark),
+_LEGACY = f"""{retrieval.bm25_sql("a", retrieval._D, retrieval._Q, 5)}, {_H}, x AS (SELECT item_id AS query_id, unnest([translate(text, 'aeiost', 'AEIOST'), left(text, 20), 'web 3']) AS item FROM benchmark),
     n AS (SELECT *, {_K("item")} AS k FROM x), hk AS (SELECT query_id, rank, list_filter([{_K("f || '|0'")}, {_K("f")}, {_K("text")}], lambda h: h <> '') AS hs FROM h),
     m AS (SELECT query_id, item, min(rank) AS rank FROM n JOIN hk USING (query_id) WHERE k <> '' AND len(list_filter(hs, lambda h: contains(h, k) OR contains(k, h))) > 0 GROUP BY ALL),
     lg AS (SELECT query_id, round(count(m.item) / count(*), 6) AS recall_at_k, CASE WHEN count(m.item) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS hit_rate, round(coalesce(1.0::DOUBLE / min(rank), 0), 6) AS mrr FROM (SELECT DISTINCT query_id, item FROM n) LEFT JOIN m USING (query_id, item) GROUP BY 1)"""
