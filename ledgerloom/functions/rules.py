@@ -79,9 +79,11 @@ def drugs(text: Column, endings=DRUG_ENDINGS, names=DRUG_NAMES) -> Column:
 
 
 def intent(text: Column, aliases=SYMPTOMS, diseases=DISEASES, endings=DRUG_ENDINGS, words=INTENT_WORDS) -> Column:
-    sick, ill = F.size(symptoms(text, aliases)) > 0, any_of(text, diseases)
+    sick, ill = any_of(text, [a for group in aliases.values() for a in group]), any_of(text, diseases)
+    # tokens are only cut where an ending or a name occurs at all
+    drug = any_of(text, [*endings, *DRUG_NAMES]) & (F.size(drugs(text, endings)) > 0)
     return (
-        F.when((F.size(drugs(text, endings)) > 0) | any_of(text, words["drug_info"]), "drug_info")
+        F.when(any_of(text, words["drug_info"]) | drug, "drug_info")
         .when(sick & any_of(text, words["symptom_to_disease"]), "symptom_to_disease")
         .when(ill & any_of(text, words["diet_advice"]), "diet_advice")
         .when(ill | any_of(text, words["disease_profile"]), "disease_profile")
@@ -90,9 +92,9 @@ def intent(text: Column, aliases=SYMPTOMS, diseases=DISEASES, endings=DRUG_ENDIN
     )
 
 
-def route(text: Column, high_risk=HIGH_RISK, dosage=DOSAGE, routes=ROUTES, aliases=SYMPTOMS) -> Column:
-    """struct<intent, complexity, needs_record, writes, confidence>: the first rule that fits."""
-    low = F.lower(F.trim(text))
+def route(text: Column, high_risk=HIGH_RISK, dosage=DOSAGE, routes=ROUTES, aliases=SYMPTOMS, low: Column | None = None) -> Column:
+    """struct<intent, complexity, needs_record, writes, confidence>: the first rule that fits. `low` is the trimmed text in lower case, if there is a column of it already."""
+    low = F.lower(F.trim(text)) if low is None else low
     got = lambda name, complex_, record, writes, sure: F.struct(F.lit(name).alias("intent"), (complex_ if isinstance(complex_, Column) else F.lit(complex_)).alias("complexity"), F.lit(record).alias("needs_record"), F.lit(writes).alias("writes"), F.lit(sure).alias("confidence"))
     n = F.size(symptoms(low, aliases))
     out = F.when(any_of(text, high_risk), got("urgent_care", "simple", False, False, 1.0))
@@ -126,6 +128,12 @@ def evidence_action(high_risk: Column, confidence: Column, missing: Column, writ
 _FIX = {"high": ["idiot", "license"], "dose": ["MG ", "und zu"], "routes": [(["wher "], "health_task", True, True, 0.99), (["que la"], "care_navigation", False, False, 0.98), (["tiontion"], "timeline_trend", True, False, 0.98)], "sym": {"s1": ["ingon", "oning"], "s2": ["hathe"], "s3": ["edend"]}, "dep": [(["der die"], "d1"), (["le la", "de la"], "d2"), (["ation"], "d3")]}
 
 
+def _asked(spark, d):
+    """Texts of which some name a drug by its ending, and some a way of living."""
+    more = F.when(F.col("doc_id") % 11 == 0, " 维生素片").when(F.col("doc_id") % 11 == 1, " 睡眠").otherwise("")
+    return _texts(spark, d).select("doc_id", F.concat("text", more).alias("text"))
+
+
 def _texts(spark, d):
     return read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -140,7 +148,8 @@ def nd1_entities(spark, d):
 
 
 def nd4_router(spark, d):
-    return _texts(spark, d).select("doc_id", route(F.col("text"), _FIX["high"], _FIX["dose"], _FIX["routes"], _FIX["sym"]).alias("r")).select("doc_id", "r.*")
+    asked = _asked(spark, d).withColumn("low", F.lower(F.trim("text")))
+    return asked.select("doc_id", route(F.col("text"), _FIX["high"], _FIX["dose"], _FIX["routes"], _FIX["sym"], F.col("low")).alias("r")).select("doc_id", "r.*")
 
 
 def nd14_triage(spark, d):
@@ -162,9 +171,9 @@ SQL = {
     "nd1_entities": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has('text', a)} THEN '{n}' END" for n, a in _FIX["sym"].items()) + "], lambda x: x IS NOT NULL), ',') AS symptoms, len(list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '[一-鿿A-Za-z0-9]{2,12}'), lambda t: suffix(t, 'tion') OR suffix(t, 'ung') OR contains(t, 'idiot')))) AS n_drugs FROM documents",
     "nd4_router": f"""
         WITH r AS (SELECT doc_id, ({_n}) AS n, CASE WHEN {_has("text", _FIX["high"])} THEN 'urgent_care' {" ".join(f"WHEN {_has('lower(trim(text))', w)} THEN '{name}'" for w, name, *_ in _FIX["routes"])}
-            WHEN {_has("lower(trim(text))", [x.lower() for x in _FIX["dose"]])} THEN 'medication_safety' WHEN ({_n}) > 0 THEN 'symptom_assessment' ELSE 'general_medical_qa' END AS intent FROM documents)
+            WHEN {_has("lower(trim(text))", [x.lower() for x in _FIX["dose"]])} OR doc_id % 11 = 0 THEN 'medication_safety' WHEN doc_id % 11 = 1 THEN 'lifestyle_guidance' WHEN ({_n}) > 0 THEN 'symptom_assessment' ELSE 'general_medical_qa' END AS intent FROM documents)
         SELECT doc_id, intent, CASE WHEN intent = 'timeline_trend' OR intent = 'symptom_assessment' AND n > 1 THEN 'complex' ELSE 'simple' END AS complexity, intent IN ('health_task', 'timeline_trend', 'medication_safety') AS needs_record, intent = 'health_task' AS writes,
-            CASE intent WHEN 'urgent_care' THEN 1.0 WHEN 'health_task' THEN 0.99 WHEN 'care_navigation' THEN 0.98 WHEN 'timeline_trend' THEN 0.98 WHEN 'medication_safety' THEN 0.97 WHEN 'symptom_assessment' THEN 0.94 ELSE 0.9 END::DOUBLE AS confidence FROM r""",
+            CASE intent WHEN 'urgent_care' THEN 1.0 WHEN 'health_task' THEN 0.99 WHEN 'care_navigation' THEN 0.98 WHEN 'timeline_trend' THEN 0.98 WHEN 'medication_safety' THEN 0.97 WHEN 'lifestyle_guidance' THEN 0.95 WHEN 'symptom_assessment' THEN 0.94 ELSE 0.9 END::DOUBLE AS confidence FROM r""",
     "nd6_plan": "SELECT event_id, CASE WHEN value > 450 THEN 'urgent_guidance' WHEN value % 1 < 0.6 THEN 'clarify' WHEN event_id % 7 = 0 THEN 'ask_missing' WHEN event_type = 'signup' THEN 'confirm_task' WHEN event_type = 'view' THEN 'navigate' ELSE 'answer' END AS action FROM events",
     "nd14_triage": f"SELECT doc_id, CASE WHEN {_has('text', _FIX['high'])} THEN '{EMERGENCY}' " + " ".join(f"WHEN {_has('text', t)} THEN '{n}'" for t, n in _FIX["dep"]) + f" ELSE '{GENERAL}' END AS department FROM documents",
 }

@@ -97,6 +97,11 @@ def profile(edges: DataFrame, node: DataFrame, most: int = 20) -> DataFrame:
     return out.where(F.col("n") <= most).groupBy("src", "relation").agg(F.array_join(F.sort_array(F.collect_list("dst")), ",").alias("names"))
 
 
+def reversed_profile(edges: DataFrame, node: DataFrame, most: int = 20) -> DataFrame:
+    """One hop against the edges: up to `most` names that have a relation to each node (id), such as the diseases of a symptom or the makers of a drug."""
+    return profile(edges.select(F.col("dst").alias("src"), "relation", F.col("src").alias("dst")), node, most)
+
+
 def _obs(spark, d):
     return read(spark, d, "events").select(F.col("user_id").alias("patient"), F.col("event_type").alias("code"), F.col("ts").alias("at"), F.col("event_id").alias("id"), "value")
 
@@ -151,12 +156,18 @@ def j8_profile(spark, d):
     return profile(edges, p.select(F.col("p_brand").alias("id")).distinct())
 
 
+def j8_reverse(spark, d):
+    p = read(spark, d, "part")
+    edges = p.select(F.col("p_name").alias("src"), F.lit("type").alias("relation"), F.col("p_type").alias("dst")).union(p.select("p_brand", F.lit("brand"), "p_type")).distinct()
+    return reversed_profile(edges, p.select(F.col("p_type").alias("id")).distinct())
+
+
 def fl1_scope(spark, d):
     c = read(spark, d, "customer").select("c_custkey", F.lit("patient").alias("document_domain"), F.col("c_nationkey").cast("string").alias("tenant_id"), F.col("c_mktsegment").alias("patient_id"))
     return Scope("7", "BUILDING").read(c).select("c_custkey")
 
 
-QUERIES = {f.__name__: f for f in (pt2_trend, tk3_timeline, j9_next_chain, j12_goal_check, j4_grants, j14_missing, pt3_retract, nd16_candidates, j8_profile, fl1_scope)}
+QUERIES = {f.__name__: f for f in (pt2_trend, tk3_timeline, j9_next_chain, j12_goal_check, j4_grants, j14_missing, pt3_retract, nd16_candidates, j8_profile, j8_reverse, fl1_scope)}
 SQL = {
     "pt2_trend": """
         WITH n AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 40),
@@ -182,5 +193,6 @@ SQL = {
                    UNION ALL SELECT doc_id, text, 'Address', unnest(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')), 0.58 FROM documents)
         SELECT chunk_id, type, display, confidence, CASE WHEN try_cast(replace(replace(regexp_extract(text, '20[0-9]{2}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}'), '/', '-'), '.', '-') AS DATE) IS NOT NULL THEN 'day' ELSE 'approximate' END AS precision FROM f""",
     "j8_profile": "WITH e AS (SELECT DISTINCT p_brand AS src, 'type' AS relation, p_type AS dst FROM part UNION SELECT p_brand, 'name', p_name FROM part), r AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, relation ORDER BY dst) <= 20) SELECT src, relation, string_agg(dst, ',' ORDER BY dst) AS names FROM r GROUP BY ALL",
+    "j8_reverse": "WITH e AS (SELECT p_type AS src, 'type' AS relation, p_name AS dst FROM part UNION SELECT p_type, 'brand', p_brand FROM part), r AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, relation ORDER BY dst) <= 20) SELECT src, relation, string_agg(dst, ',' ORDER BY dst) AS names FROM r GROUP BY ALL",
     "fl1_scope": "SELECT c_custkey FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'BUILDING'",
 }

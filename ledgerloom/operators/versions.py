@@ -8,16 +8,24 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.tables import read
 
 
-def reuse_plan(new: DataFrame, old: DataFrame) -> DataFrame:
+def reuse_plan(new: DataFrame, old: DataFrame, normalization: str | None = None) -> DataFrame:
     """new (chunk_id, fingerprint), old (old_id, fingerprint): the n-th new chunk of a fingerprint takes the vector of the n-th old one.
 
+    With `normalization`, old rows must also have (normalization, vector), and count only with this normalization and a vector that isn't empty.
     Occurrences are numbered within a fingerprint; a very common one is numbered by a window of its own rows.
     """
+    if normalization is not None:
+        old = old.where((F.col("normalization") == normalization) & (F.size("vector") > 0)).select("old_id", "fingerprint")
     nth = lambda c: F.row_number().over(Window.partitionBy("fingerprint").orderBy(c))
     a, b = new.withColumn("nth", nth("chunk_id")), old.withColumn("nth", nth("old_id"))
     return a.join(b, ["fingerprint", "nth"], "left").select("chunk_id", "fingerprint", "old_id", F.col("old_id").isNotNull().alias("reused"))
 
 
+def reuse_counts(plan: DataFrame) -> DataFrame:
+    """One row: chunks that take an old vector, and those to embed."""
+    return plan.agg(F.count_if("reused").alias("reused"), F.count_if(~F.col("reused")).alias("embedded"))
+
+
 def apply_version(active: DataFrame, archive: DataFrame, new: DataFrame, now: Column, retention_days: int) -> tuple[DataFrame, DataFrame]:
     """(active, archive) after new versions of documents.
 
@@ -97,6 +105,13 @@ def j3_reuse_plan(spark, d):
     return reuse_plan(f(1996), f(1995).withColumnRenamed("chunk_id", "old_id"))
 
 
+def iv2_counts(spark, d):
+    f = lambda y: _chunks(spark, d, y).select("chunk_id", F.concat_ws("|", "document_id", "fingerprint").alias("fingerprint"))
+    old = f(1995).withColumnRenamed("chunk_id", "old_id").withColumn("normalization", F.when(F.col("old_id") % 3 > 0, "v1").otherwise("v0"))
+    old = old.withColumn("vector", F.when(F.col("old_id") % 4 > 0, F.array(F.lit(1.0))).when(F.col("old_id") % 8 == 0, F.array().cast("array<double>")))
+    return reuse_counts(reuse_plan(f(1996), old, "v1"))
+
+
 def iv3_apply(spark, d):
     active, new = _with_sha(_chunks(spark, d, 1995)), _with_sha(_chunks(spark, d, 1996))
     none = active.withColumn("retention_until", F.lit(None).cast("date")).limit(0)
@@ -131,10 +146,11 @@ def wn11_archive_dedup(spark, d):
     return archive_dedup(o, ["o_custkey", "o_orderpriority"], "o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (j3_reuse_plan, iv3_apply, iv6_gc, iv8_golden_import, wn6_stratified_split, sc22_upsert, wn11_archive_dedup)}
+QUERIES = {f.__name__: f for f in (j3_reuse_plan, iv2_counts, iv3_apply, iv6_gc, iv8_golden_import, wn6_stratified_split, sc22_upsert, wn11_archive_dedup)}
 _C = "SELECT o_custkey AS document_id, o_orderkey AS chunk_id, o_orderpriority AS fingerprint FROM orders WHERE year(o_orderdate) = "
 SQL = {
     "j3_reuse_plan": f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY document_id, fingerprint ORDER BY chunk_id) AS nth FROM ({_C} 1996)), o AS (SELECT *, row_number() OVER (PARTITION BY document_id, fingerprint ORDER BY chunk_id) AS nth FROM ({_C} 1995)) SELECT n.chunk_id, n.document_id || '|' || n.fingerprint AS fingerprint, o.chunk_id AS old_id, o.chunk_id IS NOT NULL AS reused FROM n LEFT JOIN o USING (document_id, fingerprint, nth)",
+    "iv2_counts": f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY document_id, fingerprint ORDER BY chunk_id) AS nth FROM ({_C} 1996)), o AS (SELECT *, row_number() OVER (PARTITION BY document_id, fingerprint ORDER BY chunk_id) AS nth FROM ({_C} 1995) WHERE chunk_id % 3 > 0 AND chunk_id % 4 > 0) SELECT count(o.chunk_id) AS reused, count(*) - count(o.chunk_id) AS embedded FROM n LEFT JOIN o USING (document_id, fingerprint, nth)",
     "iv3_apply": f"""
         WITH o AS ({_C} 1995), n AS ({_C} 1996), os AS (SELECT document_id, string_agg(fingerprint, '|' ORDER BY fingerprint) AS s FROM o GROUP BY 1), ns AS (SELECT document_id, string_agg(fingerprint, '|' ORDER BY fingerprint) AS s FROM n GROUP BY 1),
         ch AS (SELECT document_id, os.s IS NULL AS fresh FROM ns LEFT JOIN os USING (document_id) WHERE ns.s IS DISTINCT FROM os.s)

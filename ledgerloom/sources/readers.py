@@ -63,6 +63,14 @@ def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (r.schema(schema) if schema else r).csv(path)
 
 
+def record_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a CSV file with a header, a JSON list or JSON lines, as the file begins; what doesn't parse is skipped."""
+    if path.lower().endswith(".csv"):
+        return csv_rows(spark, path, schema)
+    begins = spark.read.text(path).where("trim(value) <> ''").select(F.left(F.trim("value"), F.lit(1))).first()
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", bool(begins) and begins[0] == "[").json(path)
+
+
 def sparse_pages(pages: DataFrame, least: int = 80, mode: str = "auto", most: int = 8) -> DataFrame:
     """pages (doc_id, page, text) with `route`: ocr for pages with fewer than `least` characters that are not space, up to `most` of a document."""
     thin = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "")) < least
@@ -104,10 +112,42 @@ def audit(spark: SparkSession, events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
+#: Fields of a parser's JSON output that hold text, in the order in which an object's are taken.
+TEXT_FIELDS = ["text", "content", "md", "markdown", "html"]
+
+
+def json_text(c: Column, fields: list[str] = TEXT_FIELDS) -> Column:
+    """Texts below a JSON value, each once, parents before children; empty where there are none or it isn't JSON."""
+
+    @F.pandas_udf("string")
+    def texts(values):
+        import json
+
+        def one(value):
+            try:
+                left, seen = [json.loads(value or "null")], {}
+            except ValueError:
+                return ""
+            while left:
+                node = left.pop()
+                if isinstance(node, dict):
+                    seen |= {node[f].strip(): None for f in fields if isinstance(node.get(f), str) and node[f].strip()}
+                below = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
+                left.extend(reversed(below))
+            return "\n\n".join(seen)
+
+        return values.map(one)
+
+    return texts(c)
+
+
 def best_output(files: DataFrame) -> DataFrame:
-    """files (doc_id, path, text): the largest markdown file of a document, else the largest other that has text."""
-    order = F.struct(F.endswith("path", F.lit(".md")).alias("md"), F.length("text").alias("n"), F.col("path"))
-    return files.where("trim(text) <> ''").groupBy("doc_id").agg(F.max_by("text", order).alias("text"))
+    """files (doc_id, path, text): the largest markdown file of a document, else the text of the largest JSON that has some, else an empty text. Among equal sizes the last path."""
+    md = F.endswith("path", F.lit(".md"))
+    text = F.when(md, F.col("text")).when(F.endswith("path", F.lit(".json")), json_text(F.col("text")))
+    f = files.select("doc_id", "path", F.octet_length("text").alias("size"), md.alias("md"), text.alias("text"))
+    usable = F.col("md") | (F.trim("text") != "")
+    return f.groupBy("doc_id").agg(F.coalesce(F.max_by(F.when(usable, F.col("text")), F.when(usable, F.struct("md", "size", "path"))), F.lit("")).alias("text"))
 
 
 def ocr_blocks(results: DataFrame) -> DataFrame:
@@ -142,13 +182,24 @@ def sc31_session(spark, d):
     return replace_session(c, c.where("conv_id % 10 = 0 and turn < 2").withColumn("role", F.upper("role")), "conv_id")
 
 
+def sc5_outputs(spark, d):
+    p, name = read(spark, d, "part"), F.col("p_name")
+    file = lambda path, text: F.struct(F.lit(path).alias("path"), text.alias("text"))
+    md = F.array(file("a/x.md", F.lit("short")), file("b.md", F.concat(F.lit("longer "), name)), file("z.json", F.concat(F.lit('{"text": "'), F.repeat(name, F.lit(9)), F.lit('"}'))))
+    nested = F.concat(F.lit('{"pages": [{"text": " '), name, F.lit(' "}, {"md": "B", "text": "'), name, F.lit('"}, [{"content": "C"}]]}'))
+    js = F.array(file("big.json", F.concat(F.lit('{"note": "'), F.repeat(name, F.lit(9)), F.lit('"}'))), file("some.json", nested), file("bad.json", F.lit("{")))
+    files = F.when(F.col("p_partkey") % 3 == 0, md).when(F.col("p_partkey") % 3 == 1, js).otherwise(F.slice(js, 1, 1))
+    return best_output(p.select(F.col("p_partkey").alias("doc_id"), F.explode(files).alias("f")).select("doc_id", "f.path", "f.text"))
+
+
 def sc17_scan(spark, d):
     return read(spark, d, "embeddings").where("label = 3").orderBy("vec_id").offset(5).limit(20).select("vec_id", "label")
 
 
-QUERIES = {f.__name__: f for f in (sc1_kinds, sc4_page_routes, sc11_questions, sc17_scan, sc21_progressive, sc31_session)}
+QUERIES = {f.__name__: f for f in (sc1_kinds, sc5_outputs, sc4_page_routes, sc11_questions, sc17_scan, sc21_progressive, sc31_session)}
 SQL = {
     "sc1_kinds": "SELECT p_partkey, ['pdf', 'word', 'html', 'unsupported', 'image', 'unsupported'][p_partkey % 6 + 1] AS kind FROM part",
+    "sc5_outputs": "SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'longer ' || p_name WHEN 1 THEN p_name || chr(10) || chr(10) || 'B' || chr(10) || chr(10) || 'C' ELSE '' END AS text FROM part",
     "sc4_page_routes": r"WITH p AS (SELECT doc_id % 40 AS doc_id, doc_id AS page, length(regexp_replace(left(text, 95), '\s+', '', 'g')) < 80 AS n FROM documents) SELECT doc_id, page, CASE WHEN n AND sum(n::INT) OVER (PARTITION BY doc_id ORDER BY page) <= 8 THEN 'ocr' ELSE 'native' END AS route FROM p",
     "sc11_questions": "SELECT p_partkey, 'p_brand' AS field, 'What is the brand of ' || p_name || '?' AS question, p_brand AS answer FROM part UNION ALL SELECT p_partkey, 'p_type', 'Of which type is ' || p_name || '?', p_type FROM part WHERE p_size > 25",
     "sc17_scan": "SELECT vec_id, label FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 20 OFFSET 5",

@@ -182,3 +182,7 @@ def test_readers(spark, tmp_path):
     raw = spark.createDataFrame([("m", '{"q1": {"question": "?", "options": {"b": "2", "a": "1"}, "answer": "B"}, "q2": {"question": "?", "options": {"a": "1"}, "answer": "Z"}}')], "dataset string, json string")
     got = readers.benchmark_cases(raw, "map<string, struct<question:string, options:map<string,string>, answer:string>>").collect()
     assert [(r.raw_id, [o.key for o in r.options], r.answer) for r in got] == [("q1", ["A", "B"], "B")]
+    (tmp_path / "list.json").write_text('\n [{"a": 1},\n 3, {"a": 2}]')
+    (tmp_path / "y.csv").write_text("a\n1\n2\n")
+    rows = lambda name: sorted(r.a for r in readers.record_rows(spark, str(tmp_path / name), "a int").collect())
+    assert rows("list.json") == rows("y.csv") == [1, 2] and rows("x.jsonl") == [1]
