@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.normalize import json_array_in
 from ledgerloom.functions.tables import read
 
 KINDS = {"pdf": ["pdf"], "word": ["doc", "docx"], "sheet": ["xls", "xlsx"], "html": ["html", "htm"], "image": ["png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp"]}
@@ -64,11 +65,14 @@ def csv_rows(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def record_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a CSV file with a header, a JSON list or JSON lines, as the file begins; what doesn't parse is skipped."""
+    """Rows of a CSV file with a header, a JSON list or JSON lines, as the file begins; what isn't an object is skipped. A list is read by one task, so large inputs should be lines."""
     if path.lower().endswith(".csv"):
         return csv_rows(spark, path, schema)
     begins = spark.read.text(path).where("trim(value) <> ''").select(F.left(F.trim("value"), F.lit(1))).first()
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", bool(begins) and begins[0] == "[").json(path)
+    if begins and begins[0] == "[":
+        objects = spark.read.text(path, wholetext=True).select(F.explode(json_array_in(F.col("value"))).alias("o"))
+        return objects.select(F.from_json("o", schema).alias("r")).select("r.*")
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 def sparse_pages(pages: DataFrame, least: int = 80, mode: str = "auto", most: int = 8) -> DataFrame:
