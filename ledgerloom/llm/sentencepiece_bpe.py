@@ -121,8 +121,8 @@ class PrefixTable:
         classes: dict[str, list[str]] = {}
         for c in root:
             classes.setdefault(find(c), []).append(c)
-        spaced = {p.lstrip(SPACE)[:1] for p in self.score if p[0] == SPACE}
-        runs = ["".join(map(re.escape, sorted(x))) for x in sorted(classes.values(), key=len, reverse=True) if len(x) > 1 or spaced & set(x)]
+        more = {c for p in self.score if len(p) > 1 for c in p}  # others are always alone, without the spaces before them
+        runs = ["".join(map(re.escape, sorted(x))) for x in sorted(classes.values(), key=len, reverse=True) if more & set(x)]
         return re.compile("|".join([*(f"{SPACE}*[{x}]+" for x in runs), f"{SPACE}+", f"[^{SPACE}]"]), re.S).findall
 
     # encoding
