@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import bpe, decontaminate, exact_dedup, hmm, near_dedup, pii, repeats, secrets, sentencepiece_bpe, toxicity, url_filter
+from ledgerloom.llm import bpe, centroids, decontaminate, exact_dedup, hmm, merkle, near_dedup, pii, repeats, secrets, sentencepiece_bpe, toxicity, url_filter
 
-MODULES = [bpe, url_filter, near_dedup, exact_dedup, pii, secrets, hmm, repeats, toxicity, decontaminate, sentencepiece_bpe]
+MODULES = [bpe, url_filter, near_dedup, exact_dedup, pii, secrets, hmm, repeats, toxicity, decontaminate, sentencepiece_bpe, centroids, merkle]
 
 
 def queries() -> dict:
