@@ -5,9 +5,9 @@ matches and `regexp_extract_all` the matches, so the start of a match is the sum
 the lengths of all before it. Offsets count code points; ends are exclusive.
 
 Entropy: candidates are runs of at least WINDOW characters of the base64 and url
-alphabets, without what base spans cover. A window moves over each one; the entering and the leaving character change
-only their own counts, so sum(c * log2(c)) is kept up to date in two steps, and the
-entropy is log2(w) minus that sum over w. The threshold depends on the character class
+alphabets, without what base spans cover. A window moves over each one with the counts of its characters as state: the
+entering and the leaving character change only their own counts, so sum(c * log2(c)) is kept up to date in two steps, and
+the entropy is log2(w) minus that sum over w. The threshold depends on the character class
 of the candidate. The span reaches from the first window over the threshold to the end
 of the last one. Candidates on the allow-list are left out.
 
@@ -30,15 +30,17 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits per character from which a window counts, by class of the candidate: only digits, hexadecimal, and anything else with digits.
-LIMITS = {"digits": 2.9, "hex": 3.0, "mixed": 3.6}
-#: Candidates that are no secrets: words without digits, UUIDs, one character or pair of characters repeated, date and number lists, paths.
+#: Bits per character from which a window counts, by class of the candidate: only digits, hexadecimal, none of the digits, and anything else.
+LIMITS = {"digits": 2.9, "hex": 3.0, "letters": 3.8, "mixed": 3.6}
+#: Candidates without digits are words, unless a small letter stands before a capital at least once in so many characters.
+CHANGE, CASE = 7, r"(?<=[a-z])(?=[A-Z])"
+#: Candidates that are no secrets: UUIDs, one character or pair of characters repeated, date and number lists, paths. Repeated groups are
+#: possessive: Java's others recurse, and a long candidate would overflow the stack.
 ALLOW = [
-    r"^[^0-9]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(.{1,2})\1+.?$",
-    r"^[0-9]{1,4}([/_=-][0-9]{1,4})+$",
-    r"^/?([A-Za-z]+/)+[A-Za-z]*[0-9]{0,4}$",
+    r"^[0-9]{1,4}(?:[/_=-][0-9]{1,4})++$",
+    r"^/?(?:[A-Za-z]++/)++[A-Za-z]*+[0-9]{0,4}$",
 ]
 BLOCK = 256
 KINDS = ["assign", "access", "hex", "entropy"]
@@ -82,29 +84,34 @@ def _spans(found: Column, kind: int) -> Column:
 
 def _hot(s: Column) -> Column:
     """(first, last): starts of the first and last window of `s` whose entropy reaches the limit of its class, or nulls."""
-    limit = F.when(s.rlike("^[0-9]+$"), F.lit(LIMITS["digits"])).when(s.rlike("^[0-9a-fA-F]+$"), F.lit(LIMITS["hex"])).otherwise(F.lit(LIMITS["mixed"]))
-    return let(F.transform(F.split(s, ""), lambda c: F.ascii(c)), lambda codes: _scan(codes, limit))
+    limit = F.when(s.rlike("^[0-9]+$"), F.lit(LIMITS["digits"])).when(s.rlike("^[0-9a-fA-F]+$"), F.lit(LIMITS["hex"])).when(~s.rlike("[0-9]"), F.lit(LIMITS["letters"])).otherwise(F.lit(LIMITS["mixed"]))
+    return let(limit, lambda least: let(F.transform(F.split(s, ""), lambda c: F.ascii(c)), lambda codes: _scan(codes, least)))  # bound once: it reads the whole candidate
+
+
+#: The counts of a window are a string with a character for each code from that of "+" to that of "z": ZERO, and the next ones for higher counts.
+FIRST, LAST, ZERO = ord("+"), ord("z"), ord("A")
 
 
 def _scan(codes: Column, limit: Column) -> Column:
-    """One fold over the characters. The state holds sum(c * log2(c)) of the window; the counts of the entering and the leaving character, which are
-    all that a step changes, are read off the window itself."""
+    """One fold over the characters. The state holds the counts of the window's characters and sum(c * log2(c)) of them."""
     part = lambda k: k * F.log2(F.greatest(k, F.lit(1)))
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    count = lambda window, c: F.size(F.filter(window, lambda x: x == c))
+    none = F.lit(chr(ZERO) * (LAST - FIRST + 1))
+    state = F.struct(none.alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    count = lambda counts, c: F.ascii(F.substring(counts, c - (FIRST - 1), F.lit(1))) - ZERO
+    put = lambda counts, c, n: F.overlay(counts, F.char(n + ZERO), c - (FIRST - 1), 1)
 
     def step(acc, i):
         enters, leaves = F.get(codes, i), F.when(i >= WINDOW, F.get(codes, F.greatest(i - WINDOW, F.lit(0))))
-        before = F.slice(codes, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i, F.lit(WINDOW)))  # the window that ends before this character
-
-        def moved(w):
-            less = F.when(leaves.isNull(), 0).otherwise(count(w, leaves))
-            more = count(w, enters) - F.when(enters == leaves, 1).otherwise(0)
-            return let(F.struct(less.alias("less"), more.alias("more")), lambda k: acc["sum"] - part(k["less"]) + part(F.greatest(k["less"] - 1, F.lit(0))) - part(k["more"]) + part(k["more"] + 1))
-
+        without = F.when(leaves.isNull(), F.struct(acc["counts"].alias("counts"), acc["sum"].alias("sum"))).otherwise(
+            let(count(acc["counts"], leaves), lambda n: F.struct(put(acc["counts"], leaves, n - 1).alias("counts"), (acc["sum"] - part(n) + part(n - 1)).alias("sum")))
+        )
+        window = let(without, lambda w: let(count(w["counts"], enters), lambda n: F.struct(put(w["counts"], enters, n + 1).alias("counts"), (w["sum"] - part(n) + part(n + 1)).alias("sum"))))
         at = i - WINDOW + 1
         hot = lambda total: (at >= 0) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit - 1e-9)
-        return let(let(before, moved), lambda total: F.struct(total.alias("sum"), F.coalesce(acc["first"], F.when(hot(total), at)).alias("first"), F.when(hot(total), at).otherwise(acc["last"]).alias("last")))
+        return let(
+            window,
+            lambda w: F.struct(w["counts"].alias("counts"), w["sum"].alias("sum"), F.coalesce(acc["first"], F.when(hot(w["sum"]), at)).alias("first"), F.when(hot(w["sum"]), at).otherwise(acc["last"]).alias("last")),
+        )
 
     return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
@@ -122,7 +129,8 @@ def _left_by(base: Column, at: Column, hit: Column) -> Column:
 
 def _entropy_spans(text: Column, base: Column) -> Column:
     found = matches(text, CANDIDATE)
-    allowed = lambda s: reduce(lambda a, b: a | b, [s.rlike(p) for p in ALLOW])
+    words = lambda s: ~s.rlike("[0-9]") & ((F.size(F.split(s, CASE)) - 1) * CHANGE < F.length(s))
+    allowed = lambda s: reduce(lambda a, b: a | b, [words(s), *[s.rlike(p) for p in ALLOW]])
     free = F.filter(F.flatten(F.transform(found, lambda m: _left_by(base, m["at"], m["hit"]))), lambda m: ~allowed(m["hit"]))
     hot = F.transform(free, lambda m: F.struct(m["at"].alias("at"), _hot(m["hit"]).alias("w")))
     return F.transform(

@@ -32,8 +32,9 @@ def brute(text):
 
 def entropy(at, s):
     w = secrets.WINDOW
-    if not any(p.search(s) for p in ALLOW):
-        limit = secrets.LIMITS["digits" if re.fullmatch("[0-9]+", s) else "hex" if re.fullmatch("[0-9a-fA-F]+", s) else "mixed"]
+    words = not re.search("[0-9]", s) and len(re.findall("[a-z](?=[A-Z])", s)) * secrets.CHANGE < len(s)
+    if not words and not any(p.search(s) for p in ALLOW):
+        limit = secrets.LIMITS["digits" if re.fullmatch("[0-9]+", s) else "hex" if re.fullmatch("[0-9a-fA-F]+", s) else "mixed" if re.search("[0-9]", s) else "letters"]
         hot = [i for i in range(len(s) - w + 1) if -sum(c / w * math.log2(c / w) for c in Counter(s[i : i + w]).values()) >= limit - 1e-9]
         if hot:
             yield at + hot[0], 3, at + hot[-1] + w
@@ -79,3 +80,17 @@ def test_long_candidate(spark):
     text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(100_000))
     row = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert [s.kind for s in row.all_spans if s.kind == 3]
+
+
+def test_long_repetitions(spark):
+    texts = ["usr/" * 100_000 + "Q1x", "a/" * 100_000, "12-" * 100_000 + "7", "Ab" * 100_000, "ab" * 100_000 + "c1", "password=" * 20_000, "AKIA" * 100_000 + "z"]
+    got = secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert len(got) == len(texts) and not got[1].all_spans and not got[2].all_spans
+
+
+def test_secret_without_digits(spark):
+    rnd = random.Random(8)
+    key = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40))
+    rows = [(1, f"x sk_live_{key} y"), (2, "someLongIdentifierOfAnInterface and ANOTHER_LONG_CONSTANT_NAME_HERE/WithWords"), (3, "just-some-words-with-dashes_and_underscores")]
+    got = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [bool(r.all_spans) for r in got] == [True, False, False]
