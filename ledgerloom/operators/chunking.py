@@ -14,7 +14,8 @@ from ledgerloom.functions.text import collapsed
 
 # Words of headings, and the patterns of headings and list items.
 HEADING_WORDS = ["摘要", "引言", "背景", "目的", "方法", "结果", "结论", "讨论", "诊断", "治疗", "症状", "病因", "检查", "用药", "预防", "参考文献"]
-HEADING = r"^(#{1,6}\s+|第[一二三四五六七八九十百千0-9]+[章节篇部分]\s*|(\p{Nd}+|[一二三四五六七八九十]+)([.．、]\p{Nd}+)*[.．、]\s*)\S+"
+# Further numbers after the first one (1.2.3) need no part of their own: they begin with the separator that has to follow it.
+HEADING = r"^(#{1,6}\s+|第[一二三四五六七八九十百千0-9]+[章节篇部分]\s*|(\p{Nd}+|[一二三四五六七八九十]+)[.．、]\s*)\S+"
 LIST = r"^(\p{Nd}+[.)、]|[-*•·])\s*\S+"
 #: (size, overlap) of the three levels.
 LEVELS = [(2400, 400), (1600, 200), (800, 100)]

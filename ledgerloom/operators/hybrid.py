@@ -138,7 +138,8 @@ def funnel(questions: DataFrame, chunks: DataFrame, k: int, markers, lexicon: li
 
     questions (query_id, text, patient), chunks (doc_id, text, domain, patient, document_id, chunk_level, section_path). The scope decides which domains are searched, and private
     chunks are seen only by questions of their patient. A question whose text holds terms of the lexicon sees only chunks that hold one of them, and, where
-    documents have such a term in an upper section, only those documents. `scored(chunks, questions, k)` ranks (bm25 with tags and scope, for instance).
+    documents have such a term in an upper section, only those documents. `scored(chunks, questions, k)` ranks what its `tags`, `documents` and `scope` let a question see (`bm25`,
+    for instance): all filters come before the ranking, and only k hits of each question leave a task.
     """
     has = found_in(F.col("text"), lexicon)
     q = stage_scope(questions, markers, lexicon, {}).withColumn("terms", has)
@@ -150,11 +151,9 @@ def funnel(questions: DataFrame, chunks: DataFrame, k: int, markers, lexicon: li
         upper = chunks.where(F.col("domain") == domain)
         scope = F.lit("all") if domain == "public" else F.col("patient")
         narrowed = document_ids(upper.select("document_id", "chunk_level", "section_path", F.col("doc_id").alias("pos")), own.select("query_id", "terms"))
-        wide = scored(rows.withColumn("scope", scope), own.select("query_id", "text", F.col("terms").alias("tags"), scope.alias("scope")), None)
-        named = wide.drop("rank").join(rows.select("doc_id", "document_id"), "doc_id")
-        some = narrowed.select("query_id", F.lit(True).alias("has_documents")).distinct()
-        named = named.join(some, "query_id", "left").join(narrowed.select("query_id", "document_id", F.lit(True).alias("in_documents")), ["query_id", "document_id"], "left")
-        hits = ranked(named.where(F.col("has_documents").isNull() | F.col("in_documents")).select("query_id", "doc_id", "score"), k)
+        within = narrowed.groupBy("query_id").agg(F.collect_set("document_id").alias("documents"))  # document_ids gives so many at most
+        asking = own.select("query_id", "text", F.col("terms").alias("tags"), scope.alias("scope")).join(within, "query_id", "left")
+        hits = scored(rows.withColumn("scope", scope).withColumn("documents", F.array("document_id")), asking, k)
         parts.append(hits.select("query_id", "doc_id", "score", F.struct(F.lit(order).alias("domain"), "rank").alias("pos")))
     hits = merged(parts[0].unionByName(parts[1]))
     found = hits.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -218,8 +217,9 @@ def rt9_patient_ladder(spark, d):
     docs = _docs(spark, d).withColumn("scope", (F.col("doc_id") % 7).cast("string"))
     asked = _questions(spark, d).withColumn("scope", (F.col("query_id") % 9).cast("string"))
     sparse = bm25(docs, asked, 2 * _N)
-    mine = asked.select("query_id", "scope")
-    dense = ranked(_dense(spark, d, 1_000_000).drop("rank").withColumn("scope", (F.col("doc_id") % 7).cast("string")).join(mine, ["query_id", "scope"], "left_semi").drop("scope"), 2 * _N)
+    v = read(spark, d, "embeddings")
+    mine = v.join(asked.select(F.col("query_id").alias("vec_id"), "scope"), "vec_id")
+    dense = retrieval.inner_product(v.withColumn("scope", (F.col("vec_id") % 7).cast("string")), mine, 2 * _N)
     good = sparse.where("score > 12")
     return _ladder_rows(ladder({"hybrid": fused(tagged({"dense": dense.where("score > 0.4"), "sparse": good}), _N).where("score > 0.032"), "dense": dense.where("score > 0.42"), "sparse": good}, asked, _N))
 
@@ -233,7 +233,7 @@ def _funnel(spark, d):
         F.when(F.col("doc_id") % 4 == 0, 1).otherwise(3).alias("chunk_level"), F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("section_path"),
     )
     q = _questions(spark, d).withColumn("patient", F.when(F.col("query_id") % 4 > 0, (F.col("query_id") % 5).cast("string")))
-    return funnel(q, docs, _N, ["el", "ta"], LEX, lambda c, a, k: bm25(c, a, k or 1_000_000))
+    return funnel(q, docs, _N, ["el", "ta"], LEX, bm25)
 
 
 def rt10_funnel(spark, d):

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.tables import small
 from ledgerloom.functions.text import words
+from ledgerloom.operators.topk import Asks, Best, restriction, scope_codes
 
 K1, B = 1.2, 0.75
 #: Distinct (query, term) pairs, and bytes of terms, up to which the queries are sent to all tasks.
 MAX_PAIRS, MAX_BYTES = 2_000_000, 32_000_000
-#: Rows of documents, and cells of a score matrix, that are worked on together.
-ROWS, CELLS = 512, 4_000_000
+#: Rows of documents that are worked on together.
+ROWS = 512
+#: Arrays of documents and queries that restrict what a query sees: terms of a lexicon, and document ids.
+LISTS = ("tags", "documents")
 #: Types of a query's key.
 ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
@@ -30,28 +33,21 @@ def ranked(hits: DataFrame, k: int | None, *order, by=("query_id",)) -> DataFram
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """docs (doc_id, text), queries (*by, text): the best k documents (*by, doc_id, score, rank) of each query by BM25.
 
-    A term counts once for a query. If `docs` and `queries` have arrays `tags`, a query with tags sees only documents that share one;
-    if both have a column `scope`, a query sees only documents of its scope; statistics are of all documents.
+    A term counts once for a query. If `docs` and `queries` both have an array of LISTS, a query with values in it sees only documents
+    that share one; if both have a column `scope`, a query sees only documents of its scope; statistics are of all documents.
     Queries whose terms are small in bytes go to all tasks: document frequencies are counted in one pass; in the other each
-    task sums scores inside its documents and keeps its own best k, so only those are shuffled, however common a term is.
-    Larger query sets are joined with the postings by term.
+    task sums the weights of the (document, query) pairs that share a term and keeps its own best k, so only those are shuffled,
+    however common a term is. Larger query sets are joined with the postings by term.
     """
     by = tuple(by)
-    asked = queries.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list(words(F.coalesce("text", F.lit("")))))).alias("terms"), *[F.first(c).alias(c) for c in ("tags", "scope") if c in queries.columns and c in docs.columns])
-    size = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.array_join("terms", " "))), F.lit(0))).first()
-    sized = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("w"), *[c for c in ("tags", "scope") if c in asked.columns])
-    if size[0] > MAX_PAIRS or size[1] > MAX_BYTES:
+    lists = [c for c in LISTS if c in queries.columns and c in docs.columns]
+    scoped = "scope" in queries.columns and "scope" in docs.columns
+    asked = asked_terms(queries, by, lists, scoped)
+    sized = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("w"), *lists, *(["scope"] if scoped else []))
+    if too_many(asked):
         return _joined(sized, asked, k, k1, b, by)
-    kinds = dict(asked.dtypes)
-    out = ", ".join([f"{c} {kinds[c]}" for c in by] + ["doc_id long", "score double"])
-    rows = asked.orderBy(*by).collect()  # MAX_PAIRS terms at most
-    terms = sorted({t for r in rows for t in r["terms"]})
-    at = {t: i for i, t in enumerate(terms)}
-    pairs = np.array([(at[t], q) for q, r in enumerate(rows) for t in r["terms"]], np.int64).reshape(-1, 2)
-    keys = [pa.array([r[c] for r in rows], ARROW[kinds[c]]) for c in by]
-    tags = _mask_codes([r["tags"] for r in rows]) if "tags" in asked.columns else None
-    scope = [r["scope"] for r in rows] if "scope" in asked.columns else None
-    sent = docs.sparkSession.sparkContext.broadcast((terms, pairs, keys, tags, scope))
+    sent, terms, keys, out = sent_queries(asked, by, lists, scoped)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(terms)
 
     def placed(column, value_set):
         """(document, term) of the words that are asked for, and the documents' lengths."""
@@ -63,7 +59,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
         return doc[code >= 0], code[code >= 0].astype(np.int64), length
 
     def count(batches):
-        value_set, df, n, total = pa.array(sent.value[0], pa.string()), np.zeros(len(sent.value[0]), np.int64), 0, 0
+        value_set, df, n, total = pa.array(vocabulary.value, pa.string()), np.zeros(len(vocabulary.value), np.int64), 0, 0
         for batch in batches:
             doc, code, length = placed(batch.column(0), value_set)
             df += np.bincount(np.unique(doc * max(1, len(df)) + code) % max(1, len(df)), minlength=len(df))
@@ -77,55 +73,57 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     average = total / n if n else 1.0
 
     def score(batches):
-        terms_, pairs_, keys_, tags_, scope_ = sent.value
-        value_set, idf = pa.array(terms_, pa.string()), weights.value
-        asks = np.zeros((len(terms_), len(keys_[0])), np.float64)
-        asks[pairs_[:, 0], pairs_[:, 1]] = 1
+        asks, value_set, idf = sent.value, pa.array(vocabulary.value, pa.string()), weights.value
+        best, width = Best(asks.n, k), max(1, len(idf))
         for whole in batches:
             for begin in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(begin, ROWS)
                 doc, code, length = placed(batch.column(1), value_set)
-                key, tf = np.unique(doc * max(1, len(terms_)) + code, return_counts=True)
-                d, t = key // max(1, len(terms_)), key % max(1, len(terms_))
-                m = np.zeros((batch.num_rows, len(terms_)))
-                m[d, t] = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / max(average, 1e-300)))
+                key, tf = np.unique(doc * width + code, return_counts=True)
+                d, t = key // width, key % width
+                w = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / max(average, 1e-300)))
                 ids = batch.column(0).cast(pa.int64()).to_numpy()
-                step = max(1, CELLS // max(1, batch.num_rows))
-                for q in range(0, asks.shape[1], step):
-                    part = np.round(m @ asks[:, q : q + step], 6)
-                    hit = (m > 0).astype(np.float32) @ asks[:, q : q + step].astype(np.float32) > 0
-                    if tags_ is not None:
-                        hit &= _seen(batch.column(batch.schema.get_field_index("tags")).to_pylist(), tags_, q, part.shape[1])
-                    if scope_ is not None:
-                        own = batch.column(batch.schema.get_field_index("scope")).to_pylist()
-                        hit &= np.array([[x == y and x is not None for y in scope_[q : q + step]] for x in own], bool).reshape(part.shape)
-                    part = np.where(hit, part, -np.inf)
-                    order = np.lexsort((np.broadcast_to(ids[:, None], part.shape), -part), axis=0)[:k]
-                    best = np.take_along_axis(part, order, 0)
-                    row, col = np.nonzero(np.isfinite(best))
-                    yield pa.RecordBatch.from_arrays([*(x.take(pa.array(q + col)) for x in keys_), pa.array(ids[order[row, col]]), pa.array(best[row, col])], names=[*by, "doc_id", "score"])
+                values = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in lists}
+                scopes = batch.column(batch.schema.get_field_index("scope")).to_pylist() if scoped else None
+                for docs_, queries_, sums in asks.scores(d, t, w):
+                    ok = asks.seen(docs_, queries_, values, scopes)
+                    best.add(queries_[ok], ids[docs_[ok]], np.round(sums[ok], 6))
+        yield from best_rows(best, keys, by)
 
     return ranked(sized.mapInArrow(score, out), k, by=by)
 
 
-def _mask_codes(tags: list) -> tuple[dict, np.ndarray, np.ndarray]:
-    """Codes of the tags, a matrix (tags, queries), and whether a query has tags."""
-    code = {t: i for i, t in enumerate(sorted({t for x in tags for t in x or []}))}
-    m = np.zeros((len(code), len(tags)), np.float32)
-    for q, x in enumerate(tags):
-        for t in x or []:
-            m[code[t], q] = 1
-    return code, m, m.sum(0) > 0
+def asked_terms(queries: DataFrame, by, lists=(), scoped: bool = False) -> DataFrame:
+    """(*by, terms, ...): the distinct terms of each query."""
+    return queries.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list(words(F.coalesce("text", F.lit("")))))).alias("terms"), *[F.first(c).alias(c) for c in [*lists, *(["scope"] if scoped else [])]])
+
+
+def too_many(asked: DataFrame) -> bool:
+    """Whether a query set is too large to be sent to all tasks, by pairs or by bytes."""
+    lists = [c for c in LISTS if c in asked.columns]
+    pairs = F.size("terms") + sum((F.greatest(F.size(c), F.lit(0)) for c in lists), F.lit(0))
+    text = lambda c: F.coalesce(F.octet_length(F.array_join(c, " ")), F.lit(0))
+    size = asked.agg(F.coalesce(F.sum(pairs), F.lit(0)), F.coalesce(F.sum(text("terms") + sum((text(c) for c in lists), F.lit(0))), F.lit(0))).first()
+    return size[0] > MAX_PAIRS or size[1] > MAX_BYTES
+
+
+def sent_queries(asked: DataFrame, by, lists=(), scoped: bool = False):
+    """(broadcast Asks, sorted terms, key columns, schema of the hits) of a query set that isn't `too_many`."""
+    kinds = dict(asked.dtypes)
+    rows = asked.orderBy(*by).collect()  # MAX_PAIRS terms at most
+    terms = sorted({t for r in rows for t in r["terms"]})
+    at = {t: i for i, t in enumerate(terms)}
+    pairs = np.array([(at[t], q) for q, r in enumerate(rows) for t in r["terms"]], np.int64).reshape(-1, 2)
+    keys = [pa.array([r[c] for r in rows], ARROW[kinds[c]]) for c in by]
+    asks = Asks(pairs, len(terms), len(rows), {c: restriction([r[c] for r in rows]) for c in lists}, scope_codes([r["scope"] for r in rows]) if scoped else None)
+    return asked.sparkSession.sparkContext.broadcast(asks), terms, keys, ", ".join([f"{c} {kinds[c]}" for c in by] + ["doc_id long", "score double"])
 
 
-def _seen(own: list, codes, q: int, n: int) -> np.ndarray:
-    code, m, limited = codes
-    have = np.zeros((len(own), len(code)), np.float32)
-    for i, x in enumerate(own):
-        for t in x or []:
-            if t in code:
-                have[i, code[t]] = 1
-    return (have @ m[:, q : q + n] > 0) | ~limited[q : q + n]
+def best_rows(best: Best, keys: list[pa.Array], by):
+    query, ids, score = best.hits()
+    for at in range(0, len(query), 10_000):
+        q = pa.array(query[at : at + 10_000])
+        yield pa.RecordBatch.from_arrays([*(x.take(q) for x in keys), pa.array(ids[at : at + 10_000]), pa.array(score[at : at + 10_000])], names=[*by, "doc_id", "score"])
 
 
 def _joined(sized: DataFrame, asked: DataFrame, k: int, k1: float, b: float, by: tuple[str, ...]) -> DataFrame:
@@ -136,8 +134,9 @@ def _joined(sized: DataFrame, asked: DataFrame, k: int, k1: float, b: float, by:
     weights = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row beside each term
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = terms.join(postings, "term").join(weights, "term").groupBy(*by, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    if "tags" in asked.columns:
-        scores = scores.join(asked.select(*by, F.col("tags").alias("_q")), list(by)).join(sized.select("doc_id", F.col("tags").alias("_d")), "doc_id").where((F.coalesce(F.size("_q"), F.lit(0)) <= 0) | F.arrays_overlap("_q", "_d")).drop("_q", "_d")
+    for c in LISTS:
+        if c in asked.columns:
+            scores = scores.join(asked.select(*by, F.col(c).alias("_q")), list(by)).join(sized.select("doc_id", F.col(c).alias("_d")), "doc_id").where((F.coalesce(F.size("_q"), F.lit(0)) <= 0) | F.arrays_overlap("_q", "_d")).drop("_q", "_d")
     if "scope" in asked.columns:
         scores = scores.join(asked.select(*by, F.col("scope").alias("_q")), list(by)).join(sized.select("doc_id", F.col("scope").alias("_d")), "doc_id").where(F.col("_q") == F.col("_d")).drop("_q", "_d")
     return ranked(scores, k, by=by)

@@ -14,53 +14,78 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.tables import read, small
 from ledgerloom.functions.text import words
 from ledgerloom.operators.lexical import K1, B, bm25, ranked
+from ledgerloom.operators.topk import Best, scope_codes
 
 RRF_K = 60
 
 
-def inner_product(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, max_queries: int = 20_000) -> DataFrame:
-    """vectors and queries (vec_id, embedding): best k by exact inner product.
+#: Rows and bytes of query vectors up to which they are sent to all tasks, and queries that are multiplied together.
+MAX_QUERIES, MAX_VECTOR_BYTES, COLUMNS = 20_000, 64_000_000, 256
 
-    Queries must be at most `max_queries`; they are sent to all tasks as one matrix, and each batch of
-    vectors gives its own best k of each query, so only those are shuffled.
+
+def inner_product(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, max_queries: int = MAX_QUERIES) -> DataFrame:
+    """vectors and queries (vec_id, embedding): best k by exact inner product. If both have a column `scope`, a query meets only vectors of its scope.
+
+    Queries must be at most `max_queries` and MAX_VECTOR_BYTES; they are sent to all tasks as one matrix, and each task keeps its own
+    best k of each query, so only those are shuffled.
     """
-    rows = queries.select("vec_id", "embedding").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; run them in blocks")
+    scoped = "scope" in vectors.columns and "scope" in queries.columns
+    cols = ["vec_id", "embedding", *(["scope"] if scoped else [])]
+    size = queries.agg(F.count("*"), F.coalesce(F.sum(8 * F.size("embedding")), F.lit(0))).first()
+    if size[0] > max_queries or size[1] > MAX_VECTOR_BYTES:
+        raise ValueError(f"more than {max_queries} queries or {MAX_VECTOR_BYTES} bytes; run them in blocks")
+    rows = queries.select(*cols).collect()
     ids = np.array([r[0] for r in rows], np.int64)
     matrix = np.array([r[1] for r in rows], np.float64)
-    sent = queries.sparkSession.sparkContext.broadcast((ids, matrix))
+    sent = queries.sparkSession.sparkContext.broadcast((ids, matrix, scope_codes([r[2] for r in rows]) if scoped else None))
 
     def best(frames):
-        import pandas as pd
-
-        qid, q = sent.value
+        qid, q, scopes = sent.value
+        top = Best(len(qid), k)
         for f in frames:
             if not len(f) or not len(qid):
                 continue
-            vid = f["vec_id"].to_numpy()
-            score = np.round(np.stack(f["embedding"].to_numpy()).astype(np.float64) @ q.T, 6)
-            if exclude_self:
-                score[vid[:, None] == qid[None, :]] = -np.inf
-            for at in range(0, len(qid), 256):  # blocks of queries bound the memory of sorting
-                part = score[:, at : at + 256]
-                order = np.lexsort((np.broadcast_to(vid[:, None], part.shape), -part), axis=0)[:k]
-                got = np.take_along_axis(part, order, 0)
-                out = pd.DataFrame({"query_id": np.broadcast_to(qid[at : at + 256], got.shape).ravel(), "doc_id": vid[order].ravel(), "score": got.ravel()})
-                yield out[np.isfinite(out["score"])]
+            vid, v = f["vec_id"].to_numpy(), np.stack(f["embedding"].to_numpy()).astype(np.float64)
+            if scopes is None:
+                top_of_block(top, qid, q, np.arange(len(qid)), vid, v, exclude_self)
+                continue
+            of = f["scope"].map(scopes[0]).fillna(-1).to_numpy(np.int64)
+            for code in np.unique(of[of >= 0]):  # rows of a scope meet its queries only
+                own = of == code
+                top_of_block(top, qid, q, np.nonzero(scopes[1] == code)[0], vid[own], v[own], exclude_self)
+        yield from _hit_frames(top, qid)
+
+    return ranked(vectors.select(*cols).mapInPandas(best, "query_id long, doc_id long, score double"), k)
+
+
+def top_of_block(top: Best, qid, q, asking, vid, v, exclude_self: bool) -> None:
+    """Adds the products of vectors with the queries at the places `asking`, COLUMNS of them at a time."""
+    for at in range(0, len(asking), COLUMNS):
+        some = asking[at : at + COLUMNS]
+        score = np.round(v @ q[some].T, 6)
+        if exclude_self:
+            score[vid[:, None] == qid[some][None, :]] = -np.inf
+        top.add_block(some, vid, score)
+
+
+def _hit_frames(top: Best, qid):
+    import pandas as pd
 
-    return ranked(vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, doc_id long, score double"), k)
+    query, ids, score = top.hits()
+    yield pd.DataFrame({"query_id": qid[query] if len(qid) else query, "doc_id": ids, "score": score})
 
 
-def inner_product_blocks(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, max_queries: int = 20_000) -> DataFrame:
-    """As inner_product, for any number of queries: beyond `max_queries`, hash blocks of queries meet hash blocks of vectors in tasks of their own.
+def inner_product_blocks(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, max_queries: int = MAX_QUERIES) -> DataFrame:
+    """As inner_product, for any number of queries: beyond its bounds, hash blocks of queries meet hash blocks of vectors in tasks of their own.
 
     Each pair of blocks gives its best k of each query. A block has about half of `max_queries` rows; each vector is shuffled once for each block of queries, and each query once for each block of vectors.
     """
-    n = queries.count()
-    if n <= max_queries:
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(8 * F.size("embedding")), F.lit(0))).first()
+    if n <= max_queries and size <= MAX_VECTOR_BYTES:
         return inner_product(vectors, queries, k, exclude_self, max_queries)
-    most = max(1, max_queries // 2)
+    if "scope" in vectors.columns and "scope" in queries.columns:
+        raise ValueError("scoped queries beyond the bounds: run them in blocks")
+    most = max(1, min(max_queries // 2, MAX_VECTOR_BYTES * n // (2 * max(1, size))))
     q_blocks, v_blocks = -(-n // most), -(-max(1, vectors.count()) // most)
     block = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -70,21 +95,12 @@ def inner_product_blocks(vectors: DataFrame, queries: DataFrame, k: int, exclude
     def best(vs, qs):
         import pandas as pd
 
-        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(vs) or not len(qs):
-            return none
-        vid, v = vs["vec_id"].to_numpy(), np.stack(vs["embedding"].to_numpy()).astype(np.float64)
-        out = [none]
-        for at in range(0, len(qs), 256):  # blocks of queries bound the memory of scores
-            qid = qs["vec_id"].to_numpy()[at : at + 256]
-            score = np.round(v @ np.stack(qs["embedding"].to_numpy()[at : at + 256]).astype(np.float64).T, 6)
-            if exclude_self:
-                score[vid[:, None] == qid[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(vid[:, None], score.shape), -score), axis=0)[:k]
-            got = np.take_along_axis(score, order, 0)
-            rows = pd.DataFrame({"query_id": np.broadcast_to(qid, got.shape).ravel(), "doc_id": vid[order].ravel(), "score": got.ravel()})
-            out.append(rows[np.isfinite(rows["score"])])
-        return pd.concat(out)
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "doc_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        stack = lambda f: np.stack(f["embedding"].to_numpy()).astype(np.float64)
+        qid, top = qs["vec_id"].to_numpy(), Best(len(qs), k)
+        top_of_block(top, qid, stack(qs), np.arange(len(qs)), vs["vec_id"].to_numpy(), stack(vs), exclude_self)
+        return next(_hit_frames(top, qid))
 
     pairs = left.groupBy("q", "v").cogroup(right.groupBy("q", "v"))
     return ranked(pairs.applyInPandas(best, "query_id long, doc_id long, score double"), k)

@@ -162,7 +162,7 @@ def ocr_blocks(results: DataFrame) -> DataFrame:
 
 
 def sc4_page_routes(spark, d):
-    p = read(spark, d, "documents").select((F.col("doc_id") % 40).alias("doc_id"), F.col("doc_id").alias("page"), F.left("text", F.lit(95)).alias("text"))
+    p = read(spark, d, "documents").select((F.col("doc_id") % 40).alias("doc_id"), F.col("doc_id").alias("page"), "text")
     return sparse_pages(p).select("doc_id", "page", "route")
 
 
@@ -204,7 +204,7 @@ QUERIES = {f.__name__: f for f in (sc1_kinds, sc5_outputs, sc4_page_routes, sc11
 SQL = {
     "sc1_kinds": "SELECT p_partkey, ['pdf', 'word', 'html', 'unsupported', 'image', 'unsupported'][p_partkey % 6 + 1] AS kind FROM part",
     "sc5_outputs": "SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'longer ' || p_name WHEN 1 THEN p_name || chr(10) || chr(10) || 'B' || chr(10) || chr(10) || 'C' ELSE '' END AS text FROM part",
-    "sc4_page_routes": r"WITH p AS (SELECT doc_id % 40 AS doc_id, doc_id AS page, length(regexp_replace(left(text, 95), '\s+', '', 'g')) < 80 AS n FROM documents) SELECT doc_id, page, CASE WHEN n AND sum(n::INT) OVER (PARTITION BY doc_id ORDER BY page) <= 8 THEN 'ocr' ELSE 'native' END AS route FROM p",
+    "sc4_page_routes": r"WITH p AS (SELECT doc_id % 40 AS doc_id, doc_id AS page, length(regexp_replace(text, '\s+', '', 'g')) < 80 AS n FROM documents) SELECT doc_id, page, CASE WHEN n AND sum(n::INT) OVER (PARTITION BY doc_id ORDER BY page) <= 8 THEN 'ocr' ELSE 'native' END AS route FROM p",
     "sc11_questions": "SELECT p_partkey, 'p_brand' AS field, 'What is the brand of ' || p_name || '?' AS question, p_brand AS answer FROM part UNION ALL SELECT p_partkey, 'p_type', 'Of which type is ' || p_name || '?', p_type FROM part WHERE p_size > 25",
     "sc17_scan": "SELECT vec_id, label FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 20 OFFSET 5",
     "sc21_progressive": "WITH c AS (SELECT l_suppkey % 20 AS doc_id, l_orderkey * 10 + l_linenumber AS pos, l_partkey % 60 AS page FROM lineitem) SELECT doc_id, pos, CASE WHEN page < 20 OR row_number() OVER (PARTITION BY doc_id ORDER BY pos) <= 200 THEN 0 ELSE 1 END AS batch FROM c",

@@ -186,3 +186,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "y.csv").write_text("a\n1\n2\n")
     rows = lambda name: sorted(r.a for r in readers.record_rows(spark, str(tmp_path / name), "a int").collect())
     assert rows("list.json") == rows("y.csv") == [1, 2] and rows("x.jsonl") == [1]
+
+
+def test_line_of_very_many_numbers(spark):
+    lines = ["1" + ".1" * 100_000, "1.2.3 Title", "1.2.3", "1 Title", "第三章 x", "一、x"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").select("i", chunking.line_kind(F.col("t"))).orderBy("i").collect()
+    assert [r[1] for r in got] == ["heading", "heading", "heading", "paragraph", "heading", "heading"]
