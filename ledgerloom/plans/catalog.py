@@ -5,9 +5,9 @@ from __future__ import annotations
 from ledgerloom.functions import normalize, planning, rules
 from ledgerloom.operators import cases, chunking, evaluate, evidence, facts, hybrid, observability, packing, postings, ranking, records, retrieval, vector_index, versions
 from ledgerloom.sources import readers, rows
-from ledgerloom.streaming import progress, state
+from ledgerloom.streaming import jobs, progress, state
 
-MODULES = [retrieval, vector_index, postings, hybrid, cases, facts, normalize, planning, chunking, evidence, rules, observability, records, versions, evaluate, ranking, packing, state, progress, readers, rows]
+MODULES = [retrieval, vector_index, postings, hybrid, cases, facts, normalize, planning, chunking, evidence, rules, observability, records, versions, evaluate, ranking, packing, state, jobs, progress, readers, rows]
 
 
 def queries() -> dict:
