@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.tables import read
+from ledgerloom.operators.prefix import running_before
 from ledgerloom.operators.retrieval import ranked
 
 
@@ -34,9 +35,9 @@ def rank_places(places: DataFrame, department: str) -> DataFrame:
 
 
 def budget(parts: DataFrame, by: str, pos: str, most: int) -> DataFrame:
-    """Parts (text) of each owner in order until `most` characters; the last one is cut, and those after it go."""
-    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy(by).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("_before", before).where(F.col("_before") < most).withColumn("text", F.left("text", (F.lit(most) - F.col("_before")).cast("int"))).drop("_before")
+    """Parts (text) of each owner in order until `most` characters; the last one is cut, and those after it go. An owner of any size is in many tasks."""
+    near = running_before(parts, by, pos, F.coalesce(F.length("text"), F.lit(0)), "_before", below=most)
+    return near.withColumn("text", F.left("text", (F.lit(most) - F.col("_before")).cast("int"))).drop("_before")
 
 
 def first_distinct(items: Column, most: int = 5) -> Column:

@@ -87,6 +87,51 @@ def candidates(chunks: DataFrame, patterns: list[tuple[str, str, float]]) -> Dat
     return chunks.select("chunk_id", when.alias("date"), F.explode(found).alias("f")).select("chunk_id", "f.type", F.left(F.trim("f.display"), F.lit(500)).alias("display"), "f.confidence", F.when(F.col("date").isNotNull(), "day").otherwise("approximate").alias("precision"))
 
 
+# The lines and observations that hold facts, their types and confidences.
+LINE_FACTS = [
+    ("AllergyIntolerance", r"(?:过敏史|药物过敏)\s*[:：]\s*([^\n。；;]{2,120})", 0.58),
+    ("MedicationStatement", r"(?:当前用药|服用药物|用药)\s*[:：]\s*([^\n。；;]{2,160})", 0.58),
+    ("Condition", r"(?:诊断|既往史|疾病史)\s*[:：]\s*([^\n。；;]{2,160})", 0.58),
+    ("Procedure", r"(?:手术史|操作)\s*[:：]\s*([^\n。；;]{2,160})", 0.58),
+    ("Immunization", r"(?:疫苗|免疫接种)\s*[:：]\s*([^\n。；;]{2,160})", 0.58),
+]
+PRESSURE = r"(?iU)血压\s*[:：]?\s*(\d{2,3})\s*[/／]\s*(\d{2,3})\s*(mmHg)?"
+SUGAR = r"(?iU)(?:空腹)?血糖\s*[:：]?\s*(\d+(?:\.\d+)?)\s*(mmol/L)?"
+OBSERVED = 0.72
+DATE = r"(20\d{2})[-/.年](\d{1,2})[-/.月](\d{1,2})日?"
+
+
+def fact_candidates(chunks: DataFrame) -> DataFrame:
+    """chunks (chunk_id, page, text): candidates (chunk_id, page, resource_type, display, value, effective_start, time_precision, confidence, evidence_text).
+
+    Facts of lines and observations of pressure and sugar, with the chunk's first date. A chunk whose date doesn't exist (13/45) has none;
+    value is a map, empty for facts of lines.
+    """
+    found = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    none = F.create_map().cast("map<string,string>")
+    row = lambda kind, display, value, sure, hit: F.struct(F.lit(kind).alias("resource_type"), display.alias("display"), value.alias("value"), F.lit(sure).alias("confidence"), hit.alias("evidence_text"))
+
+    def line(kind: str, pattern: str, sure: float) -> Column:
+        return F.transform(found(pattern), lambda m: row(kind, F.regexp_replace(F.regexp_extract(m, pattern, 1), r"(?U)^\s+|\s+$", ""), none, sure, m))
+
+    lines = [line(*x) for x in LINE_FACTS]
+    unit = lambda m, p, i, usual: F.coalesce(F.nullif(F.regexp_extract(m, p, i), F.lit("")), F.lit(usual))
+    number = lambda m, p, i: F.regexp_extract(m, p, i).cast("double").cast("string")
+    whole = lambda m, p, i: F.regexp_extract(m, p, i).cast("int").cast("string")
+    pressure = F.transform(found(PRESSURE), lambda m: row("Observation", F.lit("血压"), F.create_map(F.lit("systolic"), whole(m, PRESSURE, 1), F.lit("diastolic"), whole(m, PRESSURE, 2), F.lit("unit"), unit(m, PRESSURE, 3, "mmHg")), OBSERVED, m))
+    sugar = F.transform(found(SUGAR), lambda m: row("Observation", F.lit("血糖"), F.create_map(F.lit("value"), number(m, SUGAR, 1), F.lit("unit"), unit(m, SUGAR, 2, "mmol/L")), OBSERVED, m))
+    part = lambda i: F.regexp_extract("text", DATE, i)
+    date = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")).try_cast("date")
+    out = chunks.select("chunk_id", "page", date.alias("effective_start"), F.explode(F.flatten(F.array(*lines, pressure, sugar))).alias("f"))
+    return out.select("chunk_id", "page", "f.resource_type", "f.display", "f.value", "effective_start", F.when(F.col("effective_start").isNotNull(), "day").otherwise("approximate").alias("time_precision"), "f.confidence", "f.evidence_text")
+
+
+def candidate_key(document_id: Column, resource_type: Column, display: Column, effective_start: Column, chunk_id: Column) -> Column:
+    """Digest by which a candidate is known again; nulls are empty."""
+    start = F.coalesce(F.concat(effective_start.cast("string"), F.lit(" 00:00:00")), F.lit(""))
+    return F.sha2(F.concat_ws("|", document_id, F.coalesce(resource_type, F.lit("")), F.lower(F.trim(F.coalesce(display, F.lit("")))), start, F.coalesce(chunk_id, F.lit(""))), 256)
+
+
 def _facts(kind: str, pattern: str, confidence: float) -> Column:
     return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda m: F.struct(F.lit(kind).alias("type"), m.alias("display"), F.lit(confidence).alias("confidence")))
 
@@ -150,6 +195,18 @@ def nd16_candidates(spark, d):
     return candidates(chunks, [("Phone", r"(\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4})", 0.72), ("Address", r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\b", 0.58)])
 
 
+def nd16_facts(spark, d):
+    """Notes made of suppliers: a line of each kind in turn, a pressure, a sugar and a date."""
+    n, name = F.col("s_suppkey"), F.col("s_name")
+    word = F.get(F.array(*[F.lit(x) for x in ("过敏史", "用药", "既往史", "手术史", "疫苗")]), (n % 5).cast("int"))
+    date = F.concat(F.lit("日期 2024年"), (n % 14).cast("string"), F.lit("月"), (n % 33).cast("string"), F.lit("日"))
+    text = F.concat(date, F.lit("\n"), word, F.lit(" ： "), name, F.lit(" ；血压:"), (n % 60 + 90).cast("string"), F.lit("／"), (n % 30 + 60).cast("string"), F.when(n % 2 == 0, " MMHG").otherwise(""), F.lit("，空腹血糖 "), (n % 9).cast("string"), F.lit(".5"))
+    c = fact_candidates(read(spark, d, "supplier").select(F.concat(F.lit("c"), n).alias("chunk_id"), (n % 7).cast("int").alias("page"), text.alias("text")))
+    key = candidate_key(F.lit("doc"), F.col("resource_type"), F.col("display"), F.col("effective_start"), F.col("chunk_id"))
+    v = lambda k: F.try_element_at("value", F.lit(k)).alias(k)
+    return c.select("chunk_id", "page", "resource_type", "display", v("systolic"), v("diastolic"), v("value"), v("unit"), F.col("effective_start").cast("string").alias("effective_start"), "time_precision", "confidence", "evidence_text", key.alias("key"))
+
+
 def j8_profile(spark, d):
     p = read(spark, d, "part")
     edges = p.select(F.col("p_brand").alias("src"), F.explode(F.array(F.struct(F.lit("type").alias("relation"), F.col("p_type").alias("dst")), F.struct(F.lit("name").alias("relation"), F.col("p_name").alias("dst")))).alias("e")).select("src", "e.*").distinct()
@@ -167,7 +224,7 @@ def fl1_scope(spark, d):
     return Scope("7", "BUILDING").read(c).select("c_custkey")
 
 
-QUERIES = {f.__name__: f for f in (pt2_trend, tk3_timeline, j9_next_chain, j12_goal_check, j4_grants, j14_missing, pt3_retract, nd16_candidates, j8_profile, j8_reverse, fl1_scope)}
+QUERIES = {f.__name__: f for f in (pt2_trend, tk3_timeline, j9_next_chain, j12_goal_check, j4_grants, j14_missing, pt3_retract, nd16_candidates, nd16_facts, j8_profile, j8_reverse, fl1_scope)}
 SQL = {
     "pt2_trend": """
         WITH n AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 40),
@@ -192,6 +249,14 @@ SQL = {
         WITH f AS (SELECT doc_id AS chunk_id, text, 'Phone' AS type, unnest(regexp_extract_all(text, '\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}')) AS display, 0.72::DOUBLE AS confidence FROM documents
                    UNION ALL SELECT doc_id, text, 'Address', unnest(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')), 0.58 FROM documents)
         SELECT chunk_id, type, display, confidence, CASE WHEN try_cast(replace(replace(regexp_extract(text, '20[0-9]{2}[-/.年][0-9]{1,2}[-/.月][0-9]{1,2}'), '/', '-'), '.', '-') AS DATE) IS NOT NULL THEN 'day' ELSE 'approximate' END AS precision FROM f""",
+    "nd16_facts": """
+        WITH s AS (SELECT s_suppkey AS n, 'c' || s_suppkey AS chunk_id, (s_suppkey % 7)::INTEGER AS page, s_name, try_cast('2024-' || lpad((s_suppkey % 14)::VARCHAR, 2, '0') || '-' || lpad((s_suppkey % 33)::VARCHAR, 2, '0') AS DATE) AS day FROM supplier),
+        f AS (SELECT s.*, ['AllergyIntolerance', 'MedicationStatement', 'Condition', 'Procedure', 'Immunization'][n % 5 + 1] AS resource_type, trim(s_name) AS display, NULL::VARCHAR AS systolic, NULL::VARCHAR AS diastolic, NULL::VARCHAR AS value, NULL::VARCHAR AS unit, 0.58::DOUBLE AS confidence,
+                ['过敏史', '用药', '既往史', '手术史', '疫苗'][n % 5 + 1] || ' ： ' || s_name || ' ' AS evidence_text FROM s
+            UNION ALL SELECT s.*, 'Observation', '血压', (n % 60 + 90)::VARCHAR, (n % 30 + 60)::VARCHAR, NULL, CASE WHEN n % 2 = 0 THEN 'MMHG' ELSE 'mmHg' END, 0.72, '血压:' || (n % 60 + 90) || '／' || (n % 30 + 60) || CASE WHEN n % 2 = 0 THEN ' MMHG' ELSE '' END FROM s
+            UNION ALL SELECT s.*, 'Observation', '血糖', NULL, NULL, (n % 9) || '.5', 'mmol/L', 0.72, '空腹血糖 ' || (n % 9) || '.5' FROM s)
+        SELECT chunk_id, page, resource_type, display, systolic, diastolic, value, unit, day::VARCHAR AS effective_start, CASE WHEN day IS NULL THEN 'approximate' ELSE 'day' END AS time_precision, confidence, evidence_text,
+            sha256('doc|' || resource_type || '|' || lower(display) || '|' || coalesce(day || ' 00:00:00', '') || '|' || chunk_id) AS key FROM f""",
     "j8_profile": "WITH e AS (SELECT DISTINCT p_brand AS src, 'type' AS relation, p_type AS dst FROM part UNION SELECT p_brand, 'name', p_name FROM part), r AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, relation ORDER BY dst) <= 20) SELECT src, relation, string_agg(dst, ',' ORDER BY dst) AS names FROM r GROUP BY ALL",
     "j8_reverse": "WITH e AS (SELECT p_type AS src, 'type' AS relation, p_name AS dst FROM part UNION SELECT p_type, 'brand', p_brand FROM part), r AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src, relation ORDER BY dst) <= 20) SELECT src, relation, string_agg(dst, ',' ORDER BY dst) AS names FROM r GROUP BY ALL",
     "fl1_scope": "SELECT c_custkey FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'BUILDING'",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.normalize import json_array_in
 from ledgerloom.functions.tables import read
+from ledgerloom.operators.prefix import running_before
 
 KINDS = {"pdf": ["pdf"], "word": ["doc", "docx"], "sheet": ["xls", "xlsx"], "html": ["html", "htm"], "image": ["png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp"]}
 
@@ -27,29 +31,26 @@ def folder(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", kind.alias("kind"), "length", "content", F.when(kind == "unsupported", F.lit("unsupported file type")).alias("error"))
 
 
+def decoded_html(content: bytes) -> str:
+    """Text of a page's bytes: a byte-order mark, else the charset named in the first 8 KiB, else UTF-8, else GB18030."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if content.startswith(mark):
+            return content.decode(name, "replace")
+    named = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", content[:8192])
+    for name in [*([named[1].decode()] if named else []), "utf-8", "gb18030"]:
+        try:
+            return content.decode(name)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return content.decode("utf-8", "replace")
+
+
 def html_text(content: Column) -> Column:
-    """Bytes of a page as text: a byte-order mark, else the charset named in the first 8 KiB, else UTF-8, else GB18030."""
+    """Bytes of pages as text, by `decoded_html`; null stays null."""
 
     @F.pandas_udf("string")
     def decode(pages):
-        import codecs
-        import re
-
-        def one(b):
-            if b is None:
-                return None
-            for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
-                if b.startswith(mark):
-                    return b.decode(name, "replace")
-            named = re.search(rb"charset=[\"']?([A-Za-z0-9_-]+)", b[:8192])
-            for name in [named[1].decode()] * bool(named) + ["utf-8", "gb18030"]:
-                try:
-                    return b.decode(name)
-                except (LookupError, UnicodeDecodeError):
-                    continue
-            return b.decode("utf-8", "replace")
-
-        return pages.map(one)
+        return pages.map(lambda b: None if b is None else decoded_html(b))
 
     return decode(content)
 
@@ -99,12 +100,9 @@ def benchmark_cases(raw: DataFrame, schema: str) -> DataFrame:
 
 
 def progressive(chunks: DataFrame, pages: int = 20, first: int = 200) -> DataFrame:
-    """chunks (doc_id, pos, page) with `batch`: those of early pages go first, and as many of the others as places are left."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    early = F.col("page") < pages
-    # others are accepted while fewer than `first` chunks have been accepted before: early ones always count
-    out = chunks.withColumn("_early", F.sum(early.cast("int")).over(w)).withColumn("_other", F.sum((~early).cast("int")).over(w))
-    return out.withColumn("batch", F.when(early | (F.col("_early") + F.col("_other") <= first), 0).otherwise(1)).drop("_early", "_other")
+    """chunks (doc_id, pos, page) with `batch`: those of early pages go first, and of the others those with less than `first` chunks of the document before them. A document of any size is in many tasks."""
+    counted = running_before(chunks, "doc_id", "pos", F.lit(1), "_before")
+    return counted.withColumn("batch", F.when((F.col("page") < pages) | (F.col("_before") < first), 0).otherwise(1)).drop("_before")
 
 
 def replace_session(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
