@@ -45,3 +45,11 @@ def committed(spark: SparkSession, path: str) -> tuple[int, list[str]]:
 def commit(spark: SparkSession, path: str, number: int, names: list[str]) -> None:
     """Makes `names` the content at `path` in one step. Fails if that manifest exists already, so of two writers one loses."""
     spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, n int").coalesce(1).write.mode("error").parquet(f"{path}/manifests/{number:010d}")
+
+
+def saved(df, name: str):
+    """`df` written once below the shared folder, and read again."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -15,6 +15,7 @@ from ledgerloom.functions.tables import read
 from ledgerloom.functions.text import any_of, found_in
 from ledgerloom.operators import retrieval
 from ledgerloom.operators.lexical import bm25, ranked
+from ledgerloom.operators.lexicon import matches
 from ledgerloom.operators.retrieval import fused
 
 VERIFIED = ["user_confirmed", "clinician_verified"]
@@ -108,11 +109,11 @@ def expanded(strategy: Column, hyde: DataFrame, step_back: DataFrame, queries: D
 def document_ids(sections: DataFrame, topics: DataFrame, most: int = 100) -> DataFrame:
     """sections (document_id, chunk_level, section_path, pos), topics (query_id, terms): up to `most` documents of each query, in first-seen order.
 
-    Only upper levels count. The terms come from a lexicon, so each section is matched once with the lexicon of all queries, and meets them by term.
+    Only upper levels count. Each section is searched once for the terms of all queries, however many, and meets the queries by term.
     """
     asked = topics.select("query_id", F.explode("terms").alias("term")).distinct()
-    words_ = [r[0] for r in asked.select("term").distinct().orderBy("term").collect()]  # of the lexicon
-    paths = sections.where(F.col("chunk_level").isin(1, 2) & (F.coalesce("document_id", F.lit("")) != "")).select("document_id", "pos", F.explode(found_in(F.col("section_path"), words_) if words_ else F.array().cast("array<string>")).alias("term"))
+    upper = sections.where(F.col("chunk_level").isin(1, 2) & (F.coalesce("document_id", F.lit("")) != "")).select(F.struct("document_id", "pos").alias("id"), "section_path")
+    paths = matches(upper, "id", "section_path", asked).select("id.document_id", "id.pos", "term")
     seen = paths.groupBy("document_id", "term").agg(F.min("pos").alias("pos")).join(asked, "term").groupBy("query_id", "document_id").agg(F.min("pos").alias("pos"))
     return ranked(seen, most, F.asc("pos"), F.asc("document_id"))
 

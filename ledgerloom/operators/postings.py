@@ -19,7 +19,7 @@ from ledgerloom.functions.storage import commit, committed, shared_folder
 from ledgerloom.functions.tables import read, small
 from ledgerloom.functions.text import words
 from ledgerloom.operators import retrieval
-from ledgerloom.operators.lexical import K1, B, asked_terms, best_rows, ranked, sent_queries, too_many
+from ledgerloom.operators.lexical import K1, ROWS, B, asked_terms, best_rows, ranked, sent_queries, too_many
 from ledgerloom.operators.topk import Best
 
 #: Buckets of terms of a new index, and tasks that write one bucket: postings of a term that all documents have are in so many files.
@@ -30,7 +30,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf, dl) of docs (doc_id, text), counted inside each document and without a shuffle."""
 
     def count(batches):
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):  # a document gives many postings
             col = b.column(1)
             offset = col.offsets.to_numpy()
             flat = col.values.slice(offset[0], offset[-1] - offset[0]).dictionary_encode()

@@ -2,7 +2,8 @@
 
 A cell is what is nearest to one of the centroids. Centroids are fitted on a bounded sample; every vector is in the
 index. A query probes the cells whose centroids have the greatest inner products with it: the scan is pruned to the cells
-that any query probes, and in each cell only the queries that probe it are multiplied. The index keeps each cell's radius and
+that any query probes, and in each cell only the queries that probe it are multiplied. The best FIRST cells of all queries are
+scanned before the others. The index keeps each cell's radius and
 greatest norm. They bound the inner products in it, so `exact` can go on with just the cells that may still hold a better hit.
 """
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.storage import shared_folder
+from ledgerloom.functions.storage import saved, shared_folder
 from ledgerloom.functions.tables import read
 from ledgerloom.operators import retrieval
 from ledgerloom.operators.lexical import ranked
@@ -24,6 +25,8 @@ from ledgerloom.operators.topk import Best
 SAMPLE, SAMPLE_BYTES = 20_000, 64_000_000
 #: Cells at most, and rounds of fitting.
 MAX_CELLS, ROUNDS = 4096, 10
+#: Cells that are probed first: the scores found there are what hits of the others have to reach, so that tasks give few rows.
+FIRST = 2
 #: Rows of a cell in one file, about: larger cells are written by several tasks.
 FILE_ROWS = 500_000
 
@@ -88,8 +91,8 @@ class VectorIndex:
 
         kind = dict(vectors.dtypes)["vec_id"]
         placed = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(place, f"vec_id {kind}, embedding array<double>, distance double, norm double, cell int")
-        # a cell with very many rows is dealt to several tasks, and files end at FILE_ROWS
-        dealt = placed.repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
+        # small cells share a task, a cell with very many rows is dealt to several, and files end at FILE_ROWS
+        dealt = placed.hint("rebalance", "cell")
         dealt.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).partitionBy("cell").parquet(f"{self.path}/vectors")
 
     def vectors(self) -> DataFrame:
@@ -119,30 +122,39 @@ class VectorIndex:
         ids = np.array([r[0] for r in rows], np.int64)
         q = np.array([r[1] for r in rows], np.float64)
         near = np.argsort(-(q @ self.centroids.T), 1, kind="stable")[:, :probes]
-        hits = ranked(self._scan(ids, q, near, k, exclude_self), k)
+        hits, floor = self._floors(self._scan(ids, q, near[:, :FIRST], k, exclude_self), ids, k)
+        if near.shape[1] > FIRST:
+            more = self._scan(ids, q, near[:, FIRST:], k, exclude_self, floor)
+            if not exact:
+                return ranked(hits.unionByName(more), k)
+            hits, floor = self._floors(hits.unionByName(more), ids, k)
         if not exact:
-            return hits
-        got = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last")).collect()  # a row for each query of the block
-        last = {r[0]: r[2] for r in got if r[1] >= k}
+            return ranked(hits, k)
         known = {r["cell"]: (r["radius"], r["norm"]) for r in self.cells().collect()}
         radius, norm = (np.array([known.get(c, (0, 0))[i] for c in range(len(self.centroids))]) for i in (0, 1))
         length = np.sqrt((q**2).sum(1))[:, None]
         bound = np.minimum(q @ self.centroids.T + length * radius, length * norm) * (1 + 1e-12) + 1e-6
-        may = (bound >= np.array([last.get(i, -np.inf) for i in ids])[:, None]) & np.array([c in known for c in range(len(self.centroids))])
+        may = (bound >= floor[:, None]) & np.array([c in known for c in range(len(self.centroids))])
         np.put_along_axis(may, near, False, 1)
-        more = [np.nonzero(m)[0] for m in may]
-        return ranked(hits.drop("rank").unionByName(self._scan(ids, q, more, k, exclude_self)), k)
+        return ranked(hits.unionByName(self._scan(ids, q, [np.nonzero(m)[0] for m in may], k, exclude_self, floor)), k)
+
+    def _floors(self, found: DataFrame, ids: np.ndarray, k: int) -> tuple[DataFrame, np.ndarray]:
+        """The best k so far, written once, and for each query the score that a further hit has to reach."""
+        hits = saved(ranked(found, k).drop("rank"), "hits")
+        got = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last")).collect()  # a row for each query of the block
+        last = {r[0]: r[2] for r in got if r[1] >= k}
+        return hits, np.array([last.get(i, -np.inf) for i in ids.tolist()])
 
-    def _scan(self, ids: np.ndarray, q: np.ndarray, near, k: int, exclude_self: bool) -> DataFrame:
-        """Each task's best k of each query among the vectors of the cells that it probes."""
+    def _scan(self, ids: np.ndarray, q: np.ndarray, near, k: int, exclude_self: bool, floor: np.ndarray | None = None) -> DataFrame:
+        """Each task's best k of each query among the vectors of the cells that it probes, as far as they reach the query's `floor`."""
         by_cell: dict[int, list[int]] = {}
         for i, cells in enumerate(near):
             for c in cells:
                 by_cell.setdefault(int(c), []).append(i)
-        sent = self.spark.sparkContext.broadcast((ids, q, {c: np.array(x) for c, x in by_cell.items()}))
+        sent = self.spark.sparkContext.broadcast((ids, q, {c: np.array(x) for c, x in by_cell.items()}, floor))
 
         def best(batches):
-            qid, matrix, asking = sent.value
+            qid, matrix, asking, least = sent.value
             top = Best(len(qid), k)
             for b in batches:
                 cells = b.column(0).to_numpy()
@@ -155,6 +167,8 @@ class VectorIndex:
                         score = np.round(v @ matrix[some].T, 6)
                         if exclude_self:
                             score[vid[:, None] == qid[some][None, :]] = -np.inf
+                        if least is not None:
+                            score[score < least[some][None, :]] = -np.inf
                         top.add_block(some, vid, score)
             query, doc, score = top.hits()
             yield pa.RecordBatch.from_arrays([pa.array(qid[query]), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"])

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.functions.storage import shared_folder
 from ledgerloom.operators import retrieval
@@ -70,11 +71,12 @@ def test_search_against_all_vectors(spark, vectors):
 
 def test_only_probed_cells_are_read(spark, vectors):
     index = vi.VectorIndex.build(vectors, shared_folder(spark, "v"), cells=30)
-    out = index.search(vectors.where("vec_id = 5"), 3, 2)
-    files = {f.split("cell=")[1].split("/")[0] for f in out.inputFiles()}
-    plan = out._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(cell" in plan or "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert len(files) <= 30 and index.vectors().where("cell = 3").count() < 2200
+    row = vectors.where("vec_id = 5").first()
+    out = index._scan(np.array([5]), np.array([row.embedding]), [[3, 4]], 3, True)
+    assert "cell#" in out._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+    cells = dict(index.cells().select("cell", "n").collect())
+    read = index.vectors().where("cell in (3, 4)").select(F.input_file_name()).distinct().collect()
+    assert {f[0].split("cell=")[1].split("/")[0] for f in read} == {"3", "4"} and out.count() == min(3, cells[3] + cells[4])
 
 
 def test_rows_are_added(spark, vectors):
