@@ -1,9 +1,11 @@
-"""BM25 over postings that are written once: an inverted index in segments, bucketed by term.
-
-A segment holds postings (term, doc_id, tf, dl) in a folder for each bucket of terms, the terms' document frequencies in the
-same buckets, the documents' lengths, and the documents that it replaces or deletes in earlier segments. The manifest names the segments
-in force, and is written last, so a write that fails leaves the index as it was. A search reads the buckets of its terms and
-nothing of the texts; each task keeps its own best k of each query.
+"""BM25 over postings that are written once: an inverted index in segments of blocks, bucketed by term.
+
+A block is a run of documents of one task, of about POSTINGS postings; inside it a document is a slot. A row has all postings of a
+term in a block: gaps between slots and counts, as numbers of base 128. The row of a block without a term, in bucket -1, has its
+documents' ids and lengths. A segment holds the rows in a folder for each bucket of terms, the terms' document frequencies in the same
+buckets, and the slots of earlier segments that it replaces or deletes. The manifest names the segments in force, and is written last,
+so a write that fails leaves the index as it was. A search reads the buckets of its terms, 16 bytes for each document and nothing of
+the texts; rows of one block meet in one task, and each task keeps its own best k of each query.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,33 +27,163 @@ from ledgerloom.operators.topk import Best
 
 #: Buckets of terms of a new index, and tasks that write one bucket: postings of a term that all documents have are in so many files.
 BUCKETS, WRITERS = 256, 16
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, dl) of docs (doc_id, text), counted inside each document and without a shuffle."""
-
-    def count(batches):
+#: Postings and documents after which a block ends; a single document is never cut.
+POSTINGS, SLOTS = 1_000_000, 65_536
+#: Rows of a block that are handed on together.
+TERMS = 50_000
+PACKED = "term string, block long, n int, slots binary, tfs binary"
+
+
+def encoded(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A row of bytes from each place of `first` on: whole numbers below 2^35 in base 128, low digits first, the high bit on all but the last."""
+    width = np.ones(len(values), np.int64)
+    for digits in range(1, 5):
+        width += values >= 1 << 7 * digits
+    end = np.cumsum(width)
+    at, out = end - width, np.zeros(end[-1] if len(end) else 0, np.uint8)
+    for i in range(5):
+        has = width > i
+        out[at[has] + i] = ((values[has] >> 7 * i) & 127) | ((width[has] > i + 1).astype(np.int64) << 7)
+    offsets = np.r_[at[first], len(out)].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
+def decoded(rows: pa.Array) -> np.ndarray:
+    """All numbers of rows that `encoded` made."""
+    data = np.frombuffer(b"".join(rows.to_pylist()), np.uint8)
+    end = np.nonzero(data < 128)[0]
+    if not len(end):
+        return np.zeros(0, np.int64)
+    begin = np.r_[0, end[:-1] + 1]
+    digit = np.arange(len(data)) - np.repeat(begin, end - begin + 1)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * digit, begin)
+
+
+class _Packer:
+    """Collects documents and makes blocks of them."""
+
+    def __init__(self, most: int):
+        self.part, self.made, self.most = TaskContext.get().partitionId(), 0, most
+        self._clear()
+
+    def _clear(self):
+        self.ids, self.lengths, self.terms, self.slots, self.tfs, self.docs, self.size = [], [], [], [], [], 0, 0
+
+    def add(self, ids, lengths, terms: pa.DictionaryArray, slots, tfs):
+        """Documents, and their postings with the place of the document in `ids`. Blocks that are full come out."""
+        self.ids.append(ids)
+        self.lengths.append(lengths)
+        self.terms.append(terms)
+        self.slots.append(slots + self.docs)
+        self.tfs.append(tfs)
+        self.docs, self.size = self.docs + len(ids), self.size + len(slots)
+        if self.size >= self.most or self.docs >= SLOTS:
+            yield from self.flush()
+
+    def flush(self):
+        if not self.docs:
+            return
+        block = self.part << 24 | self.made
+        self.made += 1
+        raw = lambda parts: pa.array([np.concatenate(parts).astype("<i8").tobytes()], pa.binary())
+        yield _packed(pa.array([None], pa.string()), block, np.array([self.docs]), raw(self.ids), raw(self.lengths))
+        terms = pa.chunked_array(self.terms).unify_dictionaries().combine_chunks()
+        terms = terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms
+        code, slot, tf = terms.indices.to_numpy().astype(np.int64), np.concatenate(self.slots), np.concatenate(self.tfs)
+        self._clear()
+        order = np.argsort(code * (int(slot.max(initial=0)) + 1) + slot)
+        code, slot, tf = code[order], slot[order], tf[order]
+        first = np.nonzero(np.diff(code, prepend=-1))[0]
+        gap = np.diff(slot, prepend=0)
+        gap[first] = slot[first]
+        n = np.diff(np.r_[first, len(code)])
+        rows = _packed(terms.dictionary.take(pa.array(code[first])), block, n, encoded(gap, first), encoded(tf, first))
+        yield from (rows.slice(at, TERMS) for at in range(0, rows.num_rows, TERMS))
+
+
+def _packed(term, block, n, slots, tfs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([term, pa.array(np.full(len(n), block)), pa.array(n.astype(np.int32)), slots, tfs], names=["term", "block", "n", "slots", "tfs"])
+
+
+def packed(docs: DataFrame, most: int = POSTINGS) -> DataFrame:
+    """Rows (term, block, n, slots, tfs) of docs (doc_id, text) in blocks of about `most` postings, counted inside each document and without a shuffle."""
+
+    def pack(batches):
+        packer = _Packer(most)
         for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):  # a document gives many postings
             col = b.column(1)
             offset = col.offsets.to_numpy()
             flat = col.values.slice(offset[0], offset[-1] - offset[0]).dictionary_encode()
-            length = np.diff(offset)
+            length = np.diff(offset).astype(np.int64)
             width = max(1, len(flat.dictionary))
             key, tf = np.unique(np.repeat(np.arange(len(length)), length) * width + flat.indices.to_numpy(), return_counts=True)
-            doc = key // width
-            yield pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(key % width)), b.column(0).take(pa.array(doc)), pa.array(tf), pa.array(length[doc].astype(np.int64))], names=["term", "doc_id", "tf", "dl"])
+            terms = pa.DictionaryArray.from_arrays(pa.array((key % width).astype(np.int32)), flat.dictionary)
+            yield from packer.add(b.column(0).cast(pa.int64()).to_numpy(), length, terms, key // width, tf)
+        yield from packer.flush()
+
+    return docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("w")).mapInArrow(pack, PACKED)
+
+
+def _blocks(batches):
+    """(ids, lengths, living, slot, row, tf, rows) of each block; batches are sorted by (seg, block, code), with a block's documents (code -2) and dead slots (-1) first."""
+    held, name = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seg, block = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("seg", "block"))
+        cuts = np.r_[0, np.nonzero((np.diff(seg) != 0) | (np.diff(block) != 0))[0] + 1, len(seg)]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            if (seg[a], block[a]) != name:
+                if held:
+                    yield _block(held)
+                held, name = [], (seg[a], block[a])
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield _block(held)
+
+
+def _block(held):
+    rows = pa.Table.from_batches(held).combine_chunks()
+    code = rows["code"].to_numpy()
+    ids, lengths = (np.frombuffer(rows[c][0].as_py(), "<i8") for c in ("slots", "tfs"))
+    begin = int(np.searchsorted(code, 0))
+    living = np.ones(len(ids), bool)
+    for i in range(1, begin):
+        living[rows["dead"][i].as_py()] = False
+    rows = rows.slice(begin)
+    n = rows["n"].to_numpy()
+    gap, tf = decoded(rows["slots"]), decoded(rows["tfs"])
+    row, total = np.repeat(np.arange(len(n)), n), np.cumsum(gap)
+    first = np.cumsum(n) - n
+    slot = total - np.repeat(total[first] - gap[first], n) if len(n) else gap
+    ok = living[slot]
+    return ids, lengths, living, slot[ok], row[ok], tf[ok], rows
+
+
+def _unpack(batches):
+    for ids, lengths, _, slot, row, tf, rows in _blocks(batches):
+        for at in range(0, len(slot), TERMS):
+            s = slot[at : at + TERMS]
+            yield pa.RecordBatch.from_arrays([rows["term"].combine_chunks().take(pa.array(row[at : at + TERMS])), pa.array(ids[s]), pa.array(tf[at : at + TERMS]), pa.array(lengths[s])], names=["term", "doc_id", "tf", "dl"])
+
 
-    return docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("w")).mapInArrow(count, "term string, doc_id long, tf long, dl long")
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, dl) of docs (doc_id, text): the postings one by one."""
+    return _dealt(packed(docs).select(F.lit(0).alias("seg"), "block", F.when(F.col("term").isNull(), -2).otherwise(0).alias("code"), "term", "n", "slots", "tfs", F.lit(None).cast("array<int>").alias("dead"))).mapInArrow(_unpack, "term string, doc_id long, tf long, dl long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("seg", "block").sortWithinPartitions("seg", "block", "code", "term")
 
 
 class Postings:
     """An index at `path`; documents (doc_id, text) are distinct by id. An index keeps the `buckets` that it was begun with."""
 
-    POSTINGS, TERMS = "term string, doc_id long, tf long, dl long, bucket int", "term string, df long, bucket int"
-    DOCS, GONE = "doc_id long, dl long", "doc_id long"
+    ROWS, TERMS = f"{PACKED}, bucket int", "term string, df long, bucket int"
+    GONE = "segment string, block long, dead array<int>"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, writers: int = WRITERS):
-        self.spark, self.path, self.writers = spark, path, writers
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, writers: int = WRITERS, most: int = POSTINGS):
+        self.spark, self.path, self.writers, self.most = spark, path, writers, most
         self.number, names = committed(spark, path)
         self.buckets = int(names[0]) if names else buckets
         self.segments = names[1:]
@@ -65,48 +198,86 @@ class Postings:
             out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{what}").withColumn("seg", F.lit(i)))
         return out
 
-    def _living(self, rows: DataFrame) -> DataFrame:
-        """rows (doc_id, seg, ...) that no later segment replaces or deletes."""
-        if len(self.segments) < 2:
-            return rows
-        gone = self._all("gone", self.GONE).groupBy(F.col("doc_id").alias("g")).agg(F.max("seg").alias("by"))
-        return rows.join(small(gone), (F.col("doc_id") == F.col("g")) & (F.col("seg") < F.col("by")), "left_anti")
+    def _gone(self) -> DataFrame:
+        """(seg, block, dead) of slots that later segments replace or delete."""
+        names = F.array(*[F.lit(x) for x in self.segments])
+        return self._all("gone", self.GONE).select((F.array_position(names, F.col("segment")) - 1).cast("int").alias("seg"), "block", "dead").where("seg >= 0")
+
+    def _documents(self) -> DataFrame:
+        """Rows of the blocks' documents and of their dead slots, as `_blocks` takes them."""
+        docs = self._all("postings", self.ROWS).where("bucket = -1")
+        docs = docs.select("seg", "block", F.lit(-2).alias("code"), "term", "n", "slots", "tfs", F.lit(None).cast("array<int>").alias("dead"))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("term", "string"), ("n", "int"), ("slots", "binary"), ("tfs", "binary"))]
+        return docs.unionByName(self._gone().select("seg", "block", F.lit(-1).alias("code"), *none, "dead"))
 
     def documents(self) -> DataFrame:
-        return self._living(self._all("docs", self.DOCS)).select("doc_id", "dl")
+        """(doc_id, dl) of the documents in force."""
 
-    def postings(self, buckets: list[int] | None = None) -> DataFrame:
-        rows = self._all("postings", self.POSTINGS)
-        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+        def living(batches):
+            for ids, lengths, ok, *_ in _blocks(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(lengths[ok])], names=["doc_id", "dl"])
+
+        return _dealt(self._documents()).mapInArrow(living, "doc_id long, dl long")
 
-    def _segment(self, counts: DataFrame | None, docs: DataFrame | None, gone: DataFrame) -> str:
+    def postings(self, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of terms in blocks, of all buckets or of some."""
+        rows = self._all("postings", self.ROWS)
+        return rows.where(F.col("bucket") >= 0 if buckets is None else F.col("bucket").isin(buckets))
+
+    def _coded(self, rows: DataFrame) -> DataFrame:
+        """Rows of terms with `code`, beside those of their documents, dealt by block."""
+        return _dealt(self._documents().unionByName(rows.select("seg", "block", "code", "term", "n", "slots", "tfs", F.lit(None).cast("array<int>").alias("dead"))))
+
+    def _dead(self, ids: DataFrame) -> DataFrame:
+        """(segment, block, dead) of the documents with ids (doc_id)."""
+
+        def places(batches):
+            for b in batches:
+                for seg, block, ids_ in zip(b.column(0), b.column(1), b.column(2)):
+                    at = np.frombuffer(ids_.as_py(), "<i8")
+                    yield pa.RecordBatch.from_arrays([pa.array([seg.as_py()] * len(at), pa.int32()), pa.array(np.full(len(at), block.as_py())), pa.array(np.arange(len(at), dtype=np.int32)), pa.array(at)], names=["seg", "block", "slot", "doc_id"])
+
+        if not self.segments:
+            return self.spark.createDataFrame([], self.GONE)
+        rows = self._documents().where("code = -2").select("seg", "block", "slots").mapInArrow(places, "seg int, block long, slot int, doc_id long")
+        names = F.array(*[F.lit(x) for x in self.segments])
+        found = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("seg", "block").agg(F.collect_list("slot").alias("dead"))  # at most a block's documents
+        return found.select(F.element_at(names, F.col("seg") + 1).alias("segment"), "block", "dead")
+
+    def _segment(self, rows: DataFrame | None, gone: DataFrame) -> str:
         name = f"segment-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
-        none = lambda schema: self.spark.createDataFrame([], schema)
-        counts = none("term string, doc_id long, tf long, dl long") if counts is None else counts
-        dealt = counts.withColumn("bucket", self.bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(self.writers))).sortWithinPartitions("bucket", "term", "doc_id")
-        dealt.write.partitionBy("bucket").parquet(f"{at}/postings")
-        written = self.spark.read.schema(self.POSTINGS).parquet(f"{at}/postings")
-        written.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/terms")
-        (none(self.DOCS) if docs is None else docs).write.parquet(f"{at}/docs")
+        rows = self.spark.createDataFrame([], PACKED) if rows is None else rows
+        rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(self.bucket(F.col("term"))))
+        rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(self.writers))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
+        written = self.spark.read.schema(self.ROWS).parquet(f"{at}/postings").where("bucket >= 0")
+        written.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/terms")
         gone.write.parquet(f"{at}/gone")
         return name
 
     def upsert(self, docs: DataFrame) -> None:
         """Adds documents; those whose id is there already are replaced."""
         rows = docs.select("doc_id", "text")
-        old = self.documents().select("doc_id").join(rows.select("doc_id"), "doc_id", "left_semi") if self.segments else self.spark.createDataFrame([], self.GONE)
-        lengths = rows.select("doc_id", F.size(words(F.coalesce("text", F.lit("")))).cast("bigint").alias("dl"))
-        self._commit([*self.segments, self._segment(term_counts(rows), lengths, old)])
+        self._commit([*self.segments, self._segment(packed(rows, self.most), self._dead(rows))])
 
     def delete(self, ids: DataFrame) -> None:
         """Deletes documents by ids (doc_id)."""
-        self._commit([*self.segments, self._segment(None, None, self.documents().select("doc_id").join(ids, "doc_id", "left_semi"))])
+        self._commit([*self.segments, self._segment(None, self._dead(ids))])
 
     def compact(self) -> None:
-        """One segment of all that is in force. Earlier ones stay in the folder for readers that are at work."""
-        living = self._living(self.postings()).select("term", "doc_id", "tf", "dl")
-        self._commit([self._segment(living, self.documents(), self.spark.createDataFrame([], self.GONE))])
+        """One segment of all that is in force, small blocks joined. Earlier ones stay in the folder for readers that are at work."""
+        most = self.most
+
+        def pack(batches):
+            packer = _Packer(most)
+            for ids, lengths, living, slot, row, tf, rows in _blocks(batches):
+                place = np.cumsum(living) - 1
+                terms = pa.DictionaryArray.from_arrays(pa.array(row.astype(np.int32)), rows["term"].combine_chunks())
+                yield from packer.add(ids[living], lengths[living], terms, place[slot], tf)
+            yield from packer.flush()
+
+        rows = self._coded(self.postings().withColumn("code", F.lit(0))).mapInArrow(pack, PACKED)
+        self._commit([self._segment(rows, self.spark.createDataFrame([], self.GONE))])
 
     def _commit(self, segments: list[str]) -> None:
         commit(self.spark, self.path, self.number + 1, [str(self.buckets), *segments])
@@ -116,44 +287,56 @@ class Postings:
         """The best k documents (*by, doc_id, score, rank) of queries (*by, text); the same as `bm25` over the documents in force."""
         by = tuple(by)
         asked = asked_terms(queries, by)
-        one = self.documents().agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        n, average = one[0], max(one[1] / one[0] if one[0] else 1.0, 1e-300)
         terms = asked.select(F.explode("terms").alias("term")).distinct()
         wanted = sorted(r[0] for r in terms.select(self.bucket(F.col("term"))).distinct().collect())  # as many as buckets at most
-        postings = self._living(self.postings(wanted)).join(small(terms), "term", "left_semi")
-        dead = self._all("terms", self.TERMS).where(F.col("bucket").isin(wanted)).groupBy("term").agg(F.sum("df").alias("df")) if len(self.segments) < 2 else postings.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
-        weights = dead.join(small(terms), "term", "left_semi").select("term", idf.alias("idf"))
         if too_many(asked):
-            pairs = asked.select(*by, F.explode("terms").alias("term"))
-            return ranked(pairs.join(postings, "term").join(weights, "term").groupBy(*by, "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k, by=by)
+            return self._joined(asked, terms, wanted, k, k1, b, by)
         sent, known, keys, out = sent_queries(asked, by)
-        codes = self.spark.createDataFrame([(t, i) for i, t in enumerate(known)], "term string, code long")  # bounded by too_many
-        rows = postings.join(F.broadcast(codes.join(weights, "term")), "term").select("doc_id", "code", part.alias("weight"))
-        rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "code")
+        codes = F.broadcast(self.spark.createDataFrame([(t, i) for i, t in enumerate(known)], "term string, code int"))  # bounded by too_many
+        rows = self._coded(self.postings(wanted).join(codes, "term"))
+        changed = bool(self._gone().take(1))
+
+        def count(batches):
+            n, total, df = 0, 0, np.zeros(len(known), np.int64)
+            for _, lengths, living, _, row, _, rows_ in _blocks(batches):
+                n, total = n + int(living.sum()), total + int(lengths[living].sum())
+                df += np.bincount(rows_["code"].to_numpy()[row], minlength=len(df))
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, np.arange(len(df))]), pa.array(np.r_[n, total, df])], names=["i", "x"])
+
+        # Without dead slots the frequencies are those that were written.
+        got = dict(map(tuple, (rows if changed else _dealt(self._documents())).mapInArrow(count, "i long, x long").groupBy("i").agg(F.sum("x")).collect()))  # a number for each term
+        if not changed:
+            got |= dict(map(tuple, self._all("terms", self.TERMS).where(F.col("bucket").isin(wanted)).join(codes, "term").groupBy(F.col("code").cast("long")).agg(F.sum("df")).collect()))
+        n, total = got.get(-2, 0), got.get(-1, 0)
+        df = np.array([got.get(i, 0) for i in range(len(known))], np.float64)
+        idf = self.spark.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))
+        average = max(total / n if n else 1.0, 1e-300)
 
         def score(batches):
             asks = sent.value
-            best, rest = Best(asks.n, k), None
-            for batch in batches:
-                d, c, w = (batch.column(i).to_numpy() for i in range(3))
-                if rest is not None:
-                    d, c, w = (np.r_[x, y] for x, y in zip(rest, (d, c, w)))
-                last = int(np.searchsorted(d, d[-1])) if len(d) else 0  # the last document may go on in the next batch
-                rest = d[last:], c[last:], w[last:]
-                _add(asks, best, d[:last], c[:last], w[:last])
-            if rest is not None:
-                _add(asks, best, *rest)
+            best = Best(asks.n, k)
+            for ids, lengths, _, slot, row, tf, rows_ in _blocks(batches):
+                code = rows_["code"].to_numpy()[row]
+                order = np.lexsort((code, slot))
+                slot, code, tf = slot[order], code[order], tf[order]
+                weight = idf.value[code] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[slot] / average))
+                for d, q, sums in asks.scores(slot, code, weight):
+                    best.add(q, ids[d], np.round(sums, 6))
             yield from best_rows(best, keys, by)
 
         return ranked(rows.mapInArrow(score, out), k, by=by)
 
-
-def _add(asks, best: Best, doc, code, weight) -> None:
-    ids, at = np.unique(doc, return_inverse=True)
-    for d, q, total in asks.scores(at, code, weight):
-        best.add(q, ids[d], np.round(total, 6))
+    def _joined(self, asked: DataFrame, terms: DataFrame, wanted: list[int], k: int, k1: float, b: float, by) -> DataFrame:
+        """The search for query sets that can't be sent to all tasks: postings one by one, joined with the queries by term."""
+        one = self.documents().agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        n, average = one[0], max(one[1] / one[0] if one[0] else 1.0, 1e-300)
+        rows = self.postings(wanted).join(small(terms), "term", "left_semi").withColumn("code", F.lit(0))
+        postings = self._coded(rows).mapInArrow(_unpack, "term string, doc_id long, tf long, dl long")
+        idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weights = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
+        pairs = asked.select(*by, F.explode("terms").alias("term"))
+        return ranked(pairs.join(postings, "term").join(weights, "term").groupBy(*by, "doc_id").agg(F.round(F.sum(part), 6).alias("score")), k, by=by)
 
 
 # queries

@@ -1,11 +1,14 @@
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.storage import commit, committed, shared_folder
 from ledgerloom.operators import lexical
-from ledgerloom.operators.postings import Postings, term_counts
+from ledgerloom.operators.postings import Postings, decoded, encoded, packed, term_counts
 
 DOCS, QUERIES = "doc_id long, text string", "query_id long, text string"
 
@@ -96,3 +99,29 @@ def test_empty_index_and_queries(spark, queries):
     index.upsert(spark.createDataFrame([(1, "a a b"), (2, None)], DOCS))
     assert [(r.query_id, r.doc_id) for r in index.search(queries, 3).collect()] == [(1, 1)] and index.search(queries.limit(0), 3).count() == 0
     assert sorted(map(tuple, term_counts(spark.createDataFrame([(1, "a a b"), (2, None)], DOCS)).collect())) == [("a", 1, 2, 3), ("b", 1, 1, 3)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**35 - 1)), min_size=1)))
+def test_numbers_come_back_from_base_128(rows):
+    flat = np.array([x for r in rows for x in r], np.int64)
+    first = np.cumsum([0, *(len(r) for r in rows)])[:-1].astype(np.int64)
+    got = encoded(flat, first)
+    assert len(got) == len(rows) and decoded(got).tolist() == flat.tolist() and [decoded(got.slice(i, 1)).tolist() for i in range(len(rows))] == rows
+
+
+def test_many_small_blocks_and_their_compaction(spark, queries):
+    rows = dict(rows_of(200, 5))
+    frame = lambda r: spark.createDataFrame(list(r.items()), DOCS).coalesce(1)
+    assert packed(frame(rows), 50).where("term is null").count() == 1  # a batch of documents isn't cut
+    index = Postings(spark, shared_folder(spark, "p"), 4, 2, most=50)
+    for part in range(4):
+        index.upsert(frame({i: t for i, t in rows.items() if i % 4 == part}))
+    new = {8: "a bb a bb", 9: None, 10: "c"}
+    index.upsert(frame(new))
+    before = same(index, frame(rows | new), queries)
+    assert index._gone().agg(F.sum(F.size("dead"))).first()[0] == 3 and index.documents().count() == 200
+    merged = Postings(spark, index.path)
+    merged.compact()
+    assert same(merged, frame(rows | new), queries) == before and merged._gone().count() == 0
+    assert merged.postings().agg(F.countDistinct("block")).first()[0] <= index.postings().select("seg", "block").distinct().count()
