@@ -2,9 +2,9 @@
 
 A block is a run of documents of one task, of about POSTINGS postings; inside it a document is a slot. A row has all postings of a
 term in a block: gaps between slots and counts, as numbers of base 128. The row of a block without a term, in bucket -1, has its
-documents' ids and lengths. A segment holds the rows in a folder for each bucket of terms, the terms' document frequencies in the same
-buckets, and the slots of earlier segments that it replaces or deletes. The manifest names the segments in force, and is written last,
-so a write that fails leaves the index as it was. A search reads the buckets of its terms, 16 bytes for each document and nothing of
+documents' ids and lengths. A segment holds the rows in a folder for each bucket of terms, the number and the length of its documents,
+and the slots of earlier segments that it replaces or deletes. Document frequencies are sums over a term's rows. The manifest names the
+segments in force, and is written last, so a write that fails leaves the index as it was. A search reads the buckets of its terms, 16 bytes for each document and nothing of
 the texts; rows of one block meet in one task, and each task keeps its own best k of each query.
 """
 
@@ -31,7 +31,7 @@ BUCKETS, WRITERS = 256, 16
 POSTINGS, SLOTS = 1_000_000, 65_536
 #: Rows of a block that are handed on together.
 TERMS = 50_000
-PACKED = "term string, block long, n int, slots binary, tfs binary"
+PACKED = "term string, block long, n int, data binary"
 
 
 def encoded(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -59,6 +59,26 @@ def decoded(rows: pa.Array) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * digit, begin)
 
 
+def interleaved(gap: np.ndarray, tf: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Rows of postings: twice the gap, plus one for a count of 1; another count follows as an odd number."""
+    more = tf != 1
+    at = np.cumsum(1 + more) - 1 - more
+    out = np.zeros(len(gap) + int(more.sum()), np.int64)
+    out[at] = gap << 1 | ~more
+    out[at[more] + 1] = tf[more] << 1 | 1
+    return encoded(out, at[first])
+
+
+def separated(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(gaps, counts) of rows that `interleaved` made: a number behind an even one is its count."""
+    x = decoded(rows)
+    even = x & 1 == 0
+    count = np.r_[False, even[:-1]] if len(x) else even
+    tf = np.ones(len(x), np.int64)
+    tf[even] = x[count] >> 1
+    return x[~count] >> 1, tf[~count]
+
+
 class _Packer:
     """Collects documents and makes blocks of them."""
 
@@ -85,8 +105,8 @@ class _Packer:
             return
         block = self.part << 24 | self.made
         self.made += 1
-        raw = lambda parts: pa.array([np.concatenate(parts).astype("<i8").tobytes()], pa.binary())
-        yield _packed(pa.array([None], pa.string()), block, np.array([self.docs]), raw(self.ids), raw(self.lengths))
+        raw = np.concatenate(self.ids + self.lengths).astype("<i8").tobytes()
+        yield _packed(pa.array([None], pa.string()), block, np.array([self.docs]), pa.array([raw], pa.binary()))
         terms = pa.chunked_array(self.terms).unify_dictionaries().combine_chunks()
         terms = terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms
         code, slot, tf = terms.indices.to_numpy().astype(np.int64), np.concatenate(self.slots), np.concatenate(self.tfs)
@@ -97,16 +117,16 @@ class _Packer:
         gap = np.diff(slot, prepend=0)
         gap[first] = slot[first]
         n = np.diff(np.r_[first, len(code)])
-        rows = _packed(terms.dictionary.take(pa.array(code[first])), block, n, encoded(gap, first), encoded(tf, first))
+        rows = _packed(terms.dictionary.take(pa.array(code[first])), block, n, interleaved(gap, tf, first))
         yield from (rows.slice(at, TERMS) for at in range(0, rows.num_rows, TERMS))
 
 
-def _packed(term, block, n, slots, tfs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([term, pa.array(np.full(len(n), block)), pa.array(n.astype(np.int32)), slots, tfs], names=["term", "block", "n", "slots", "tfs"])
+def _packed(term, block, n, data) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([term, pa.array(np.full(len(n), block)), pa.array(n.astype(np.int32)), data], names=["term", "block", "n", "data"])
 
 
 def packed(docs: DataFrame, most: int = POSTINGS) -> DataFrame:
-    """Rows (term, block, n, slots, tfs) of docs (doc_id, text) in blocks of about `most` postings, counted inside each document and without a shuffle."""
+    """Rows (term, block, n, data) of docs (doc_id, text) in blocks of about `most` postings, counted inside each document and without a shuffle."""
 
     def pack(batches):
         packer = _Packer(most)
@@ -142,17 +162,22 @@ def _blocks(batches):
         yield _block(held)
 
 
+def _places(data) -> np.ndarray:
+    """Ids and lengths of a block's documents."""
+    return np.frombuffer(data.as_py(), "<i8").reshape(2, -1)
+
+
 def _block(held):
     rows = pa.Table.from_batches(held).combine_chunks()
     code = rows["code"].to_numpy()
-    ids, lengths = (np.frombuffer(rows[c][0].as_py(), "<i8") for c in ("slots", "tfs"))
+    ids, lengths = _places(rows["data"][0])
     begin = int(np.searchsorted(code, 0))
     living = np.ones(len(ids), bool)
     for i in range(1, begin):
         living[rows["dead"][i].as_py()] = False
     rows = rows.slice(begin)
     n = rows["n"].to_numpy()
-    gap, tf = decoded(rows["slots"]), decoded(rows["tfs"])
+    gap, tf = separated(rows["data"])
     row, total = np.repeat(np.arange(len(n)), n), np.cumsum(gap)
     first = np.cumsum(n) - n
     slot = total - np.repeat(total[first] - gap[first], n) if len(n) else gap
@@ -169,7 +194,7 @@ def _unpack(batches):
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf, dl) of docs (doc_id, text): the postings one by one."""
-    return _dealt(packed(docs).select(F.lit(0).alias("seg"), "block", F.when(F.col("term").isNull(), -2).otherwise(0).alias("code"), "term", "n", "slots", "tfs", F.lit(None).cast("array<int>").alias("dead"))).mapInArrow(_unpack, "term string, doc_id long, tf long, dl long")
+    return _dealt(packed(docs).select(F.lit(0).alias("seg"), "block", F.when(F.col("term").isNull(), -2).otherwise(0).alias("code"), "term", "n", "data", F.lit(None).cast("array<int>").alias("dead"))).mapInArrow(_unpack, "term string, doc_id long, tf long, dl long")
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -179,7 +204,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 class Postings:
     """An index at `path`; documents (doc_id, text) are distinct by id. An index keeps the `buckets` that it was begun with."""
 
-    ROWS, TERMS = f"{PACKED}, bucket int", "term string, df long, bucket int"
+    ROWS, TOTALS = f"{PACKED}, bucket int", "n long, total long"
     GONE = "segment string, block long, dead array<int>"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, writers: int = WRITERS, most: int = POSTINGS):
@@ -206,8 +231,8 @@ class Postings:
     def _documents(self) -> DataFrame:
         """Rows of the blocks' documents and of their dead slots, as `_blocks` takes them."""
         docs = self._all("postings", self.ROWS).where("bucket = -1")
-        docs = docs.select("seg", "block", F.lit(-2).alias("code"), "term", "n", "slots", "tfs", F.lit(None).cast("array<int>").alias("dead"))
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("term", "string"), ("n", "int"), ("slots", "binary"), ("tfs", "binary"))]
+        docs = docs.select("seg", "block", F.lit(-2).alias("code"), "term", "n", "data", F.lit(None).cast("array<int>").alias("dead"))
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("term", "string"), ("n", "int"), ("data", "binary"))]
         return docs.unionByName(self._gone().select("seg", "block", F.lit(-1).alias("code"), *none, "dead"))
 
     def documents(self) -> DataFrame:
@@ -226,32 +251,38 @@ class Postings:
 
     def _coded(self, rows: DataFrame) -> DataFrame:
         """Rows of terms with `code`, beside those of their documents, dealt by block."""
-        return _dealt(self._documents().unionByName(rows.select("seg", "block", "code", "term", "n", "slots", "tfs", F.lit(None).cast("array<int>").alias("dead"))))
+        return _dealt(self._documents().unionByName(rows.select("seg", "block", "code", "term", "n", "data", F.lit(None).cast("array<int>").alias("dead"))))
 
     def _dead(self, ids: DataFrame) -> DataFrame:
         """(segment, block, dead) of the documents with ids (doc_id)."""
 
         def places(batches):
             for b in batches:
-                for seg, block, ids_ in zip(b.column(0), b.column(1), b.column(2)):
-                    at = np.frombuffer(ids_.as_py(), "<i8")
+                for seg, block, data in zip(b.column(0), b.column(1), b.column(2)):
+                    at = _places(data)[0]
                     yield pa.RecordBatch.from_arrays([pa.array([seg.as_py()] * len(at), pa.int32()), pa.array(np.full(len(at), block.as_py())), pa.array(np.arange(len(at), dtype=np.int32)), pa.array(at)], names=["seg", "block", "slot", "doc_id"])
 
         if not self.segments:
             return self.spark.createDataFrame([], self.GONE)
-        rows = self._documents().where("code = -2").select("seg", "block", "slots").mapInArrow(places, "seg int, block long, slot int, doc_id long")
+        rows = self._documents().where("code = -2").select("seg", "block", "data").mapInArrow(places, "seg int, block long, slot int, doc_id long")
         names = F.array(*[F.lit(x) for x in self.segments])
         found = rows.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("seg", "block").agg(F.collect_list("slot").alias("dead"))  # at most a block's documents
         return found.select(F.element_at(names, F.col("seg") + 1).alias("segment"), "block", "dead")
 
     def _segment(self, rows: DataFrame | None, gone: DataFrame) -> str:
+
+        def lengths(batches):
+            for b in batches:
+                dl = [_places(x)[1] for x in b.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in dl], pa.int64()), pa.array([int(x.sum()) for x in dl], pa.int64())], names=["n", "total"])
+
         name = f"segment-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
         rows = self.spark.createDataFrame([], PACKED) if rows is None else rows
         rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(self.bucket(F.col("term"))))
         rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(self.writers))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
-        written = self.spark.read.schema(self.ROWS).parquet(f"{at}/postings").where("bucket >= 0")
-        written.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").write.partitionBy("bucket").parquet(f"{at}/terms")
+        docs = self.spark.read.schema(self.ROWS).parquet(f"{at}/postings").where("bucket = -1").select("data")
+        docs.mapInArrow(lengths, self.TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).write.parquet(f"{at}/totals")
         gone.write.parquet(f"{at}/gone")
         return name
 
@@ -294,7 +325,6 @@ class Postings:
         sent, known, keys, out = sent_queries(asked, by)
         codes = F.broadcast(self.spark.createDataFrame([(t, i) for i, t in enumerate(known)], "term string, code int"))  # bounded by too_many
         rows = self._coded(self.postings(wanted).join(codes, "term"))
-        changed = bool(self._gone().take(1))
 
         def count(batches):
             n, total, df = 0, 0, np.zeros(len(known), np.int64)
@@ -303,10 +333,11 @@ class Postings:
                 df += np.bincount(rows_["code"].to_numpy()[row], minlength=len(df))
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, np.arange(len(df))]), pa.array(np.r_[n, total, df])], names=["i", "x"])
 
-        # Without dead slots the frequencies are those that were written.
-        got = dict(map(tuple, (rows if changed else _dealt(self._documents())).mapInArrow(count, "i long, x long").groupBy("i").agg(F.sum("x")).collect()))  # a number for each term
-        if not changed:
-            got |= dict(map(tuple, self._all("terms", self.TERMS).where(F.col("bucket").isin(wanted)).join(codes, "term").groupBy(F.col("code").cast("long")).agg(F.sum("df")).collect()))
+        if self._gone().take(1):
+            got = dict(map(tuple, rows.mapInArrow(count, "i long, x long").groupBy("i").agg(F.sum("x")).collect()))  # a number for each term
+        else:  # the written numbers hold
+            got = dict(map(tuple, self.postings(wanted).join(codes, "term").groupBy("code").agg(F.sum("n")).collect()))
+            got[-2], got[-1] = (x or 0 for x in self._all("totals", self.TOTALS).agg(F.sum("n"), F.sum("total")).first())
         n, total = got.get(-2, 0), got.get(-1, 0)
         df = np.array([got.get(i, 0) for i in range(len(known))], np.float64)
         idf = self.spark.sparkContext.broadcast(np.log(1 + (n - df + 0.5) / (df + 0.5)))

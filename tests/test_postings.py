@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.storage import commit, committed, shared_folder
 from ledgerloom.operators import lexical
-from ledgerloom.operators.postings import Postings, decoded, encoded, packed, term_counts
+from ledgerloom.operators.postings import Postings, decoded, encoded, interleaved, packed, separated, term_counts
 
 DOCS, QUERIES = "doc_id long, text string", "query_id long, text string"
 
@@ -110,6 +110,17 @@ def test_numbers_come_back_from_base_128(rows):
     assert len(got) == len(rows) and decoded(got).tolist() == flat.tolist() and [decoded(got.slice(i, 1)).tolist() for i in range(len(rows))] == rows
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 70_000), st.one_of(st.just(1), st.integers(1, 2**31))), min_size=1)))
+def test_gaps_and_counts_come_apart_again(rows):
+    gap, tf = (np.array([p[i] for r in rows for p in r], np.int64) for i in (0, 1))
+    first = np.cumsum([0, *(len(r) for r in rows)])[:-1].astype(np.int64)
+    got = interleaved(gap, tf, first)
+    assert len(got) == len(rows)
+    for part, of in ((got, [p for r in rows for p in r]), *((got.slice(i, 1), r) for i, r in enumerate(rows))):
+        assert list(zip(*(x.tolist() for x in separated(part)))) == of
+
+
 def test_many_small_blocks_and_their_compaction(spark, queries):
     rows = dict(rows_of(200, 5))
     frame = lambda r: spark.createDataFrame(list(r.items()), DOCS).coalesce(1)
