@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize, rules
-from ledgerloom.operators import chunking, evaluate, evidence, records, retrieval, versions
+from ledgerloom.operators import chunking, evaluate, evidence, ranking, records, retrieval, versions
 from ledgerloom.sources import readers
 from ledgerloom.streaming import state
 
@@ -192,3 +192,19 @@ def test_line_of_very_many_numbers(spark):
     lines = ["1" + ".1" * 100_000, "1.2.3 Title", "1.2.3", "1 Title", "第三章 x", "一、x"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").select("i", chunking.line_kind(F.col("t"))).orderBy("i").collect()
     assert [r[1] for r in got] == ["heading", "heading", "heading", "paragraph", "heading", "heading"]
+
+
+def test_protected_intents_stay_with_the_rules(spark):
+    model = lambda name: F.struct(F.lit(name).alias("intent"))
+    rule = lambda name, writes=False: F.struct(F.lit(name).alias("intent"), F.lit(writes).alias("writes"))
+    for name in rules.PROTECTED:
+        assert tuple(one(spark, rules.tiered_route(rule(name, True), model("general_medical_qa")))) == (name, True, "rules")
+    assert tuple(one(spark, rules.tiered_route(rule("general_medical_qa"), model("lifestyle_guidance")))) == ("lifestyle_guidance", False, "model")
+    none = F.lit(None).cast("struct<intent:string>")
+    assert tuple(one(spark, rules.tiered_route(rule("symptom_assessment"), none))) == ("symptom_assessment", False, "rules")
+
+
+def test_pool_size(spark):
+    null = F.lit(None).cast("int")
+    got = [one(spark, ranking.pool_size(F.lit(k), null if wanted is None else F.lit(wanted))) for k, wanted in ((5, None), (5, 20), (5, 3), (5, 5))]
+    assert got == [15, 20, 5, 5]
