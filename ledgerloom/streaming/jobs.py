@@ -107,7 +107,11 @@ def job_fold(events: DataFrame, rules: Rules | None = None, until: int | None =
 
 
 class _Jobs(StatefulProcessor):
-    """State: a job, and its events that the watermark hasn't passed."""
+    """State: a job, and its events that the watermark hasn't passed.
+
+    A job has a timer at its first waiting event and one at its deadline, not one for each event. A timer takes all events
+    that the watermark has passed, so that a job's events are read and sorted once a batch, however many they are.
+    """
 
     def __init__(self, rules: Rules):
         self.rules = rules
@@ -118,29 +122,29 @@ class _Jobs(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at long, seq long, event string, worker string, max_attempts int")
 
     def handleInputRows(self, key, rows, timerValues):
-        times = set()
-        for r in rows:
-            self.waiting.appendValue(tuple(r[c] for c in IN))
-            times.add(-(-r["at"] // 1000))
-        for t in times:
-            self.handle.registerTimer(t)
+        new = [tuple(r[c] for c in IN) for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(-(-min(r[0] for r in new) // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         from pyspark.sql import Row
 
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # events that come later are behind the watermark, so all up to it can be taken
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
         s = tuple(self.job.get()) if self.job.exists() else None
         waiting = sorted(tuple(w) for w in self.waiting.get()) if self.waiting.exists() else []
         out, rest = [], [w for w in waiting if w[0] > now]
         for at, _, event, worker, most in waiting[: len(waiting) - len(rest)]:
             s, more = self.rules.apply(s, at, event, worker, most)
             out += more
-        # a timer that is set behind the watermark would wait for the next batch
-        s, more = self.rules.settle(s, max(now, min([timerValues.getCurrentWatermarkInMs() * 1000, *(w[0] for w in rest)])))
+        s, more = self.rules.settle(s, now)
         out += more
         if rest:
-            self.waiting.put(rest)
+            if len(rest) < len(waiting):
+                self.waiting.put(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
         elif waiting:
             self.waiting.clear()
         if s is None:

@@ -108,3 +108,65 @@ def test_query_stream(spark):
     passed = spark.read.parquet(f"{d}/events.parquet").agg(F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()[0] - 3600 * jobs.SECOND
     got = {tuple(r) for r in jobs.ss2_job_stream(spark, d).collect()}
     assert got and {r for r in fold if r[1] < passed - jobs.SECOND} <= got
+
+
+class _Held:
+    """A state and its handle in memory, with the number of reads."""
+
+    def __init__(self):
+        self.states, self.timers, self.reads = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Cell(self))
+
+    getListState = getValueState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class _Cell:
+    def __init__(self, held):
+        self.held, self.value = held, None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.held.reads += 1
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def appendValue(self, v):
+        self.value = (self.value or []) + [v]
+
+    def appendList(self, v):
+        self.value = (self.value or []) + v
+
+    def put(self, v):
+        self.value = v
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+
+def test_stream_reads_a_jobs_events_once_a_batch():
+    class Now:
+        getExpiryTimeInMs = getCurrentWatermarkInMs = None
+
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    events = [(0, *e[1:]) for e in some_events(2000, hours=90)]
+    rows = [{"at": BASE + int((e[1] - START).total_seconds()) * jobs.SECOND, "seq": e[2], "event": e[3], "worker": e[4], "max_attempts": e[5]} for e in events]
+    held, p, got = _Held(), jobs._Jobs(RULES), []
+    p.init(held)
+    p.handleInputRows((0,), iter(rows), Now(0))
+    # two batches, the watermark at a third and behind the end
+    for mark in (BASE // 1000 + 30 * 3_600_000, BASE // 1000 + 100 * 3_600_000):
+        while due := sorted(t for t in held.timers if t <= mark):
+            held.timers.discard(due[0])
+            got += list(p.handleExpiredTimer((0,), Now(mark), Now(due[0])))
+    assert by_job(got) == plain(events, BASE + 100 * 3600 * jobs.SECOND)
+    assert held.reads <= 20
