@@ -33,6 +33,14 @@ def number(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"[-+]?[0-9]+(?:\.[0-9]+)?", 0), F.lit("")).try_cast("double")
 
 
+def rounded(c: Column, places: int) -> Column:
+    """A double rounded as SQL engines with binary arithmetic do: scaled, then halves away from zero. Spark's own round takes the shortest decimal, which can lie on the other side of a half."""
+    scaled = F.abs(c) * float(10**places)
+    whole = F.floor(scaled).cast("double")
+    out = F.signum(c) * (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / float(10**places)
+    return F.when(scaled < 2.0**52, out).otherwise(c)
+
+
 def trend(obs: DataFrame, code: str, limit: int = 200, by: str = "patient") -> DataFrame:
     """obs (by, code, at, id, value): per patient, the newest `limit` observations of any code, then those of `code`: count, extremes, change, direction, slope per day."""
     w = Window.partitionBy(by).orderBy(F.desc("at"), F.desc("id"))
@@ -43,7 +51,7 @@ def trend(obs: DataFrame, code: str, limit: int = 200, by: str = "patient") -> D
     days = F.timestamp_diff("SECOND", F.col("start"), F.col("end")) / 86400.0
     tolerance = F.greatest(F.abs("first") * 0.02, F.lit(0.01))
     direction = F.when(F.col("count") < 2, "insufficient_data").when(delta > tolerance, "rising").when(delta < -tolerance, "falling").otherwise("stable")
-    return g.select(by, "count", "first", "latest", "minimum", "maximum", F.round(delta, 4).alias("delta"), F.round(F.try_divide(delta, F.abs("first")) * 100, 2).alias("percent_change"), direction.alias("direction"), F.round(F.try_divide(delta, F.nullif(days, F.lit(0.0))), 4).alias("slope_per_day"))
+    return g.select(by, "count", "first", "latest", "minimum", "maximum", rounded(delta, 4).alias("delta"), rounded(F.try_divide(delta, F.abs("first")) * 100, 2).alias("percent_change"), direction.alias("direction"), rounded(F.try_divide(delta, F.nullif(days, F.lit(0.0))), 4).alias("slope_per_day"))
 
 
 def next_chain(events: DataFrame, by: str, at: str, id_: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,15 @@ def test_pool_size(spark):
     null = F.lit(None).cast("int")
     got = [one(spark, ranking.pool_size(F.lit(k), null if wanted is None else F.lit(wanted))) for k, wanted in ((5, None), (5, 20), (5, 3), (5, 5))]
     assert got == [15, 20, 5, 5]
+
+
+def test_trend_rounds_as_its_sql(spark):
+    # 14.62 - 80 is just above -65.38 and its share just above -81.725, though both print as the short decimals
+    day = datetime.datetime(2024, 1, 1)
+    rows = [("p", "bp", day, 1, 80.0), ("p", "bp", day + datetime.timedelta(days=1), 2, 14.62)]
+    r = records.trend(spark.createDataFrame(rows, "patient string, code string, at timestamp, id long, value double"), "bp").first()
+    want = duckdb.sql("select round(14.62::double - 80::double, 4), round((14.62::double - 80::double) / 80::double * 100, 2)").fetchall()[0]
+    assert (r["delta"], r["percent_change"]) == want
+    x = [0.5, -0.5, 1.005, -2.675, 740.625, -15.624999999999995, 184.32500000000002, 0.0, None, float("inf"), 1e300, 1e16 + 2]
+    got = [v[0] for v in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(records.rounded(F.col("x"), 2)).collect()]
+    assert got == [duckdb.execute("select round(?::double, 2)", [v]).fetchall()[0][0] for v in x]
