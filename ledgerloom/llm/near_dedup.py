@@ -6,8 +6,9 @@ threshold (`banding`), so that two sets just as similar share no band with a cha
 Links are verified without emitting all pairs of a bucket. First every member is
 compared with the bucket's hub, its least id, and components are formed. Buckets of more than
 two members that still hold several components are open. Open buckets with very many members outside their largest
-component are banded once more, inside the bucket, by each other band, and their members compared with the new hubs: a pair
-above the threshold shares a second band but with a chance of about twenty times MISSED. What is
+component are replaced by finer ones that lose no pair: a member is in the bucket of each shingle of its prefix, the
+rarest ones of its set, so many that two sets above the threshold have one of them in common. Only those with several components
+count, and their members are compared with the new hubs. What is
 still open is cut into parts: those of the largest component, and those of all others. Each part of the others meets
 each part, in a task that compares full sets and emits only the links that join components. Parts of the largest component
 don't meet each other, so a large group of copies with some stragglers is sent once for each part of stragglers.
@@ -39,8 +40,10 @@ MISSED, UNLIKE = 1e-6, 1e-10
 COORDINATES = 128
 #: Most rows and shingles of one part of a bucket; parts meet in pairs.
 PART_ROWS, PART_SHINGLES = 512, 400_000
-#: Parts of others in an open bucket from which it is banded again.
+#: Parts of others in an open bucket from which it is replaced by buckets of prefixes.
 AGAIN = 5
+#: Slots in which the shingles of such buckets are counted, for an order that has rare ones first; a power of two.
+SLOTS = 1 << 18
 #: Copies of a set's class, so that the rows of a hot set meet it in several tasks.
 SALTS = 16
 
@@ -96,6 +99,44 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, items binary")
 
 
+def _slots(x: np.ndarray) -> np.ndarray:
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot are in `sets`, as powers of two; SLOTS bytes, whatever the size of `sets`."""
+
+    def run(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b.column("items"):
+                np.add.at(n, _slots(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+        release()
+
+    sums = sets.select("items").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros(SLOTS, np.uint8)
+    for r in sums.select("slot", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("n")).toLocalIterator():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def _prefixes(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+    """(key, id, n): the first shingles of each set in the order of their levels. Sets of which `percent` percent is common have one of them in common, whatever the order."""
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for i, x in zip(b.column("id").to_pylist(), b.column("items")):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                first = x[np.argsort(levels[_slots(x)], kind="stable")[: len(x) + -percent * len(x) // 100 + 1]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), i)), pa.array(np.full(len(first), len(x)))], schema=schema)
+        release()
+
+    return sets.select("id", "items").mapInArrow(run, "key long, id long, n long")
+
+
 def _alike(pairs: DataFrame, shorts: DataFrame, least: int) -> DataFrame:
     """Pairs whose sketches agree in at least `least` coordinates."""
     both = pairs.join(shorts.select(F.col("id").alias("a"), F.col("short").alias("x")), "a").join(shorts.select(F.col("id").alias("b"), F.col("short").alias("y")), "b")
@@ -211,12 +252,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named, open_ = _open(members, written(components(links)))
     big = open_.where(F.col("rest") >= AGAIN)
     if big.limit(1).count():
-        # members of both components, in more buckets: this one and each other band together
-        again = named.join(big.select("key"), "key", "left_semi").join(reps.select("id", F.explode("bands").alias("band")), "id")
-        again = written(again.where("band <> key").select(F.xxhash64("key", "band").alias("key"), "id", "n"))
-        hubs = written(again.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"))
-        again = written(again.join(hubs.hint("merge"), "key").select("key", "id", "n", "hub"))
-        links = written(links.union(_hub_links(again, sizes, shorts, sets, percent, least)))
+        hard = written(named.join(big.select("key"), "key", "left_semi").select("id", "c").distinct())
+        their = sets.join(hard, "id", "left_semi")
+        rare = written(_prefixes(their, _levels(their), percent).join(hard, "id"))
+        hubs = written(rare.groupBy("key").agg(F.min(F.struct("id", "c")).alias("hub"), F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("key", "hub"))
+        again = written(rare.join(hubs.hint("merge"), "key").select("key", "id", "n", "c", "hub"))
+        apart = again.where("c <> hub.c").select("key", "id", "n", F.col("hub.id").alias("hub"))
+        links = written(links.union(_hub_links(apart, sizes, shorts, sets, percent, least)))
         done = members.join(open_.where(F.col("rest") < AGAIN).select("key"), "key", "left_semi")
         named, open_ = _open(done.select("key", "id", "n").union(again.select("key", "id", "n")), written(components(links)))
 

@@ -76,6 +76,59 @@ def test_large_group_in_parts(spark, monkeypatch):
     assert 5 < len({g[1] for g in want.values()}) < 80
 
 
+def test_wide_buckets_keep_pairs_of_one_band(spark, monkeypatch):
+    """Similar pairs that share a single band, in buckets with many parts of others."""
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 3)
+    monkeypatch.setattr(near_dedup, "AGAIN", 1)
+    monkeypatch.setattr(near_dedup, "banding", lambda percent: (2, 1, 0))
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(0, 120, 2):
+        w = list(base)
+        for _ in range(9):
+            w[rnd.randrange(200)] = f"x{rnd.randrange(5000)}"
+        docs.append((i, " ".join(w)))
+        w[rnd.randrange(200)] = f"y{rnd.randrange(5000)}"
+        w[rnd.randrange(200)] = f"y{rnd.randrange(5000)}"
+        docs.append((i + 1, " ".join(w)))
+    sets = {d: shingles(t) for d, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bands = {r.id: set(r.bands) for r in near_dedup._sketched(df, 5, 2, 1).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df).collect()}
+    similar = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    single = [(a, b) for a, b in similar if len(bands[a] & bands[b]) == 1]
+    assert len(single) > 5
+    assert [p for p in similar if bands[p[0]] & bands[p[1]] and got[p[0]] != got[p[1]]] == []
+    want = brute(docs)
+    assert all(want[d][1] == want[c][1] for d, c in got.items())
+
+
+def test_prefixes_meet(spark):
+    """Sets at the threshold share a shingle of their prefixes, whatever the levels."""
+    import numpy as np
+
+    rnd = random.Random(2)
+    rows, pairs = [], []
+    for i in range(0, 200, 2):
+        n = rnd.randrange(1, 120)
+        same = rnd.randrange(n + 1)
+        x, extra = rnd.sample(range(1 << 40), n), rnd.sample(range(1 << 41, 1 << 42), rnd.randrange(10))
+        y = x[:same] + extra
+        if y and 100 * same >= 85 * len({*x, *y}):
+            pairs.append((i, i + 1))
+        rows += [(i, x), (i + 1, y)]
+    rows = [(i, bytearray(np.sort(np.array(x, np.uint64)).tobytes())) for i, x in rows if x]
+    df = spark.createDataFrame(rows, "id long, items binary")
+    levels = near_dedup._levels(df)
+    assert levels.sum() >= 0 and len(levels) == near_dedup.SLOTS
+    for lv in (levels, np.random.default_rng(1).integers(0, 9, near_dedup.SLOTS).astype(np.uint8)):
+        keys = {}
+        for r in near_dedup._prefixes(df, lv, 85).collect():
+            keys.setdefault(r.id, set()).add(r.key)
+        assert pairs and all(keys[a] & keys[b] for a, b in pairs)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 105), (105, 103), (7, 3), (200, 200)]
     random.Random(1).shuffle(edges)
