@@ -15,6 +15,8 @@ from ledgerloom.operators.topk import Asks, Best, restriction, scope_codes
 K1, B = 1.2, 0.75
 #: Distinct (query, term) pairs, and bytes of terms, up to which the queries are sent to all tasks.
 MAX_PAIRS, MAX_BYTES = 2_000_000, 32_000_000
+#: Scopes of a query set up to which it is sent to all tasks; beyond, documents meet only the queries of their own scope, by a join.
+MAX_SCOPES = 200
 #: Rows of documents that are worked on together.
 ROWS = 512
 #: Arrays of documents and queries that restrict what a query sees: terms of a lexicon, and document ids.
@@ -37,14 +39,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     that share one; if both have a column `scope`, a query sees only documents of its scope; statistics are of all documents.
     Queries whose terms are small in bytes go to all tasks: document frequencies are counted in one pass; in the other each
     task sums the weights of the (document, query) pairs that share a term and keeps its own best k, so only those are shuffled,
-    however common a term is. Larger query sets are joined with the postings by term.
+    however common a term is. Larger query sets are joined with the postings by term, and those of many scopes by term and scope.
     """
     by = tuple(by)
     lists = [c for c in LISTS if c in queries.columns and c in docs.columns]
     scoped = "scope" in queries.columns and "scope" in docs.columns
     asked = asked_terms(queries, by, lists, scoped)
     sized = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("w"), *lists, *(["scope"] if scoped else []))
-    if too_many(asked):
+    if too_many(asked) or scoped and asked.select("scope").distinct().limit(MAX_SCOPES + 1).count() > MAX_SCOPES:
         return _joined(sized, asked, k, k1, b, by)
     sent, terms, keys, out = sent_queries(asked, by, lists, scoped)
     vocabulary = docs.sparkSession.sparkContext.broadcast(terms)
@@ -127,16 +129,15 @@ def best_rows(best: Best, keys: list[pa.Array], by):
 
 
 def _joined(sized: DataFrame, asked: DataFrame, k: int, k1: float, b: float, by: tuple[str, ...]) -> DataFrame:
-    terms = asked.select(*by, F.explode("terms").alias("term"))
+    own = ["scope"] if "scope" in asked.columns else []
+    terms = asked.select(*by, *own, F.explode("terms").alias("term"))
     sized = sized.withColumn("dl", F.size("w"))
     corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = sized.select("doc_id", "dl", F.explode("w").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    postings = sized.select("doc_id", "dl", *own, F.explode("w").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "doc_id", "dl", *own).agg(F.count("*").alias("tf"))
     weights = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))  # one row beside each term
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = terms.join(postings, "term").join(weights, "term").groupBy(*by, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scores = terms.join(postings, ["term", *own]).join(weights, "term").groupBy(*by, "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     for c in LISTS:
         if c in asked.columns:
             scores = scores.join(asked.select(*by, F.col(c).alias("_q")), list(by)).join(sized.select("doc_id", F.col(c).alias("_d")), "doc_id").where((F.coalesce(F.size("_q"), F.lit(0)) <= 0) | F.arrays_overlap("_q", "_d")).drop("_q", "_d")
-    if "scope" in asked.columns:
-        scores = scores.join(asked.select(*by, F.col("scope").alias("_q")), list(by)).join(sized.select("doc_id", F.col("scope").alias("_d")), "doc_id").where(F.col("_q") == F.col("_d")).drop("_q", "_d")
     return ranked(scores, k, by=by)

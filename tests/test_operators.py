@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import normalize, rules
-from ledgerloom.operators import chunking, evaluate, evidence, ranking, records, retrieval, versions
+from ledgerloom.operators import chunking, evaluate, evidence, lexical, ranking, records, retrieval, versions
 from ledgerloom.sources import readers
 from ledgerloom.streaming import state
 
@@ -221,3 +221,14 @@ def test_trend_rounds_as_its_sql(spark):
     x = [0.5, -0.5, 1.005, -2.675, 740.625, -15.624999999999995, 184.32500000000002, 0.0, None, float("inf"), 1e300, 1e16 + 2]
     got = [v[0] for v in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(records.rounded(F.col("x"), 2)).collect()]
     assert got == [duckdb.execute("select round(?::double, 2)", [v]).fetchall()[0][0] for v in x]
+
+
+def test_many_scopes_join_by_scope(spark, monkeypatch):
+    """Beyond MAX_SCOPES documents meet the queries of their scope alone, with the same hits."""
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 7} x", None if i == 9 else f"s{i % 12}") for i in range(120)], "doc_id long, text string, scope string")
+    asks = spark.createDataFrame([(q, f"w{q % 5} x w{q % 3}", f"s{q}") for q in range(14)] + [(20, "x", None)], "query_id long, text string, scope string")
+    sent = sorted(map(tuple, lexical.bm25(docs, asks, 4).collect()))
+    used, joined = [], lexical._joined
+    monkeypatch.setattr(lexical, "MAX_SCOPES", 5)
+    monkeypatch.setattr(lexical, "_joined", lambda *a: used.append(1) or joined(*a))
+    assert sorted(map(tuple, lexical.bm25(docs, asks, 4).collect())) == sent and len(sent) == 48 and used
