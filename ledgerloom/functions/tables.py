@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of a lookup side up to which it is broadcast; beyond, Spark shuffles both sides.
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 200_000, 32_000_000
+#: Rows of a task in `dealt`.
+TASK_ROWS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,3 +20,11 @@ def small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS, size: int = MAX_BROADCA
     one = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
     got = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(one), F.lit(0))).first()
     return F.broadcast(df) if got[0] <= rows and got[1] <= size else df
+
+
+def dealt(df: DataFrame, key: str, rows: int, most: int = TASK_ROWS) -> DataFrame:
+    """`df`, of about `rows` rows, dealt by a key to as many tasks as keep one at about `most` rows.
+
+    Spark sizes tasks by compressed bytes; narrow rows compress so well that a task would sort many millions of them. Few rows are left to Spark.
+    """
+    return df.repartition(-(-rows // most), key) if rows > most else df

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.tables import read
+from ledgerloom.functions.storage import saved
+from ledgerloom.functions.tables import dealt, read
 
 
 def reuse_plan(new: DataFrame, old: DataFrame, normalization: str | None = None) -> DataFrame:
@@ -30,14 +31,19 @@ def apply_version(active: DataFrame, archive: DataFrame, new: DataFrame, now: Co
     """(active, archive) after new versions of documents.
 
     active and new (document_id, version, chunk_id, fingerprint, content_sha), archive with retention_until as well. A document
-    whose content is the same stays as it is; a changed one's old chunks are archived and its new ones become the next version.
+    whose content is the same stays as it is; a changed one's old chunks are archived and its new ones become the next version. Both
+    tables are dealt together by document in tasks of bounded rows, and written once with what becomes of each row; this runs when it is called.
     """
-    head = active.groupBy("document_id").agg(F.max("version").alias("current"), F.max("content_sha").alias("old_sha"))
-    plan = new.select("document_id", "content_sha").distinct().join(head, "document_id", "left")
-    changed = plan.where(~F.col("content_sha").eqNullSafe(F.col("old_sha"))).select("document_id", (F.coalesce("current", F.lit(0)) + 1).alias("next"))
-    incoming = new.drop("version").join(changed, "document_id").withColumnRenamed("next", "version").select(*active.columns)
-    leaving = active.join(changed.select("document_id"), "document_id", "left_semi").withColumn("retention_until", F.date_add(now.cast("date"), retention_days))
-    return active.join(changed.select("document_id"), "document_id", "left_anti").unionByName(incoming), archive.unionByName(leaving.select(*archive.columns))
+    both = active.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+    rows, own = active.count() + new.count(), Window.partitionBy("document_id")
+    old = lambda c: F.max(F.when(~F.col("_new"), F.col(c))).over(own)
+    both = dealt(both, "document_id", rows).withColumns({"_current": old("version"), "_old": old("content_sha")})
+    both = both.withColumn("_changed", F.coalesce(F.max(F.when(F.col("_new"), ~F.col("content_sha").eqNullSafe(F.col("_old")))).over(own), F.lit(False)) & F.col("document_id").isNotNull())
+    both = saved(both, "versions")
+    incoming = both.where(F.col("_new") & F.col("_changed")).withColumn("version", F.coalesce("_current", F.lit(0)) + 1)
+    staying, leaving = both.where(~F.col("_new") & ~F.col("_changed")), both.where(~F.col("_new") & F.col("_changed"))
+    leaving = leaving.withColumn("retention_until", F.date_add(now.cast("date"), retention_days))
+    return staying.select(*active.columns).unionByName(incoming.select(*active.columns)), archive.unionByName(leaving.select(*archive.columns))
 
 
 def rollback(active: DataFrame, archive: DataFrame, targets: DataFrame) -> DataFrame:
@@ -96,8 +102,9 @@ def _chunks(spark, d, year):
 
 
 def _with_sha(c):
-    sha = c.groupBy("document_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("fingerprint")), "|"), 256).alias("content_sha"))
-    return c.join(sha, "document_id").select("document_id", "version", "chunk_id", "fingerprint", "content_sha")
+    prints = F.collect_list("fingerprint").over(Window.partitionBy("document_id"))
+    sha = F.sha2(F.array_join(F.sort_array(prints), "|"), 256).alias("content_sha")
+    return dealt(c, "document_id", c.count()).select("document_id", "version", "chunk_id", "fingerprint", sha)
 
 
 def j3_reuse_plan(spark, d):

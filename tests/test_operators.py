@@ -232,3 +232,20 @@ def test_many_scopes_join_by_scope(spark, monkeypatch):
     monkeypatch.setattr(lexical, "MAX_SCOPES", 5)
     monkeypatch.setattr(lexical, "_joined", lambda *a: used.append(1) or joined(*a))
     assert sorted(map(tuple, lexical.bm25(docs, asks, 4).collect())) == sent and len(sent) == 48 and used
+
+
+def test_versions_of_many_rows_are_dealt(spark, monkeypatch):
+    from ledgerloom.functions import tables
+
+    monkeypatch.setattr(tables.dealt, "__defaults__", (50,))
+    kind = "document_id long, version int, chunk_id long, fingerprint string, content_sha string"
+    rows = lambda n, sha, version: [(i % n if i else None, version, i, "f", sha(i % n)) for i in range(400)]
+    active, new = spark.createDataFrame(rows(40, lambda d: f"a{d}", 3), kind), spark.createDataFrame(rows(60, lambda d: f"a{d}" if d % 2 else None, 1), kind)
+    now, old = versions.apply_version(active, active.withColumn("retention_until", F.lit(None).cast("date")).limit(0), new, F.lit("2024-01-01"), 30)
+    got, gone = now.collect(), old.collect()
+    changed = {d for d in range(60) if (d >= 40) == (d % 2 == 1)}  # null is the same content as none
+    want = [(r[0], 3, r[2]) for r in active.collect() if r[0] is None or r[0] not in changed] + [(r[0], 4 if r[0] < 40 else 1, r[2]) for r in new.collect() if r[0] in changed]
+    assert sorted((str(r.document_id), r.version, r.chunk_id) for r in got) == sorted((str(d), v, c) for d, v, c in want)
+    assert sorted((r.document_id, r.chunk_id) for r in gone) == sorted((r[0], r[2]) for r in active.collect() if r[0] in changed) and {str(r.retention_until) for r in gone} == {"2024-01-31"}
+    many = tables.dealt(spark.range(401), "id", 401)
+    assert many.rdd.getNumPartitions() == 9 and tables.dealt(active, "document_id", 50) is active
