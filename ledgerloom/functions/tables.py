@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 200_000, 32_000_000
 #: Rows of a task in `dealt`.
 TASK_ROWS = 200_000
+#: Greatest Arrow batches that go to Python, by setting.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +30,11 @@ def dealt(df: DataFrame, key: str, rows: int, most: int = TASK_ROWS) -> DataFram
     Spark sizes tasks by compressed bytes; narrow rows compress so well that a task would sort many millions of them. Few rows are left to Spark.
     """
     return df.repartition(-(-rows // most), key) if rows > most else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session have at most the rows and bytes of BATCHES from now on, unless its settings are smaller: rows hold whole texts, and a task's Python has a batch in several copies."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in BATCHES.items():
+        if not 0 < size(spark.conf.get(name)) <= most:
+            spark.conf.set(name, str(most))

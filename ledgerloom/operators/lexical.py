@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.tables import small
+from ledgerloom.functions.tables import small, small_batches
 from ledgerloom.functions.text import words
 from ledgerloom.operators.topk import Asks, Best, restriction, scope_codes
 
@@ -42,6 +42,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     however common a term is. Larger query sets are joined with the postings by term, and those of many scopes by term and scope.
     """
     by = tuple(by)
+    small_batches(docs.sparkSession)
     lists = [c for c in LISTS if c in queries.columns and c in docs.columns]
     scoped = "scope" in queries.columns and "scope" in docs.columns
     asked = asked_terms(queries, by, lists, scoped)
@@ -62,7 +63,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
 
     def count(batches):
         value_set, df, n, total = pa.array(vocabulary.value, pa.string()), np.zeros(len(vocabulary.value), np.int64), 0, 0
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             doc, code, length = placed(batch.column(0), value_set)
             df += np.bincount(np.unique(doc * max(1, len(df)) + code) % max(1, len(df)), minlength=len(df))
             n, total = n + len(length), total + int(length.sum())

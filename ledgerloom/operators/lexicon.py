@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.tables import read
+from ledgerloom.functions.tables import read, small_batches
 from ledgerloom.functions.text import words
 
 #: Bytes of terms in one automaton; larger lexicons are searched for in several passes.
@@ -32,6 +32,7 @@ def matches(rows: DataFrame, id_col: str, text_col: str, lexicon: DataFrame, ter
 
 
 def _block(rows: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
+    small_batches(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(terms)
     src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     kind = dict(src.dtypes)["id"]

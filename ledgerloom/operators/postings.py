@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.storage import commit, committed, shared_folder
-from ledgerloom.functions.tables import read, small
+from ledgerloom.functions.tables import read, small, small_batches
 from ledgerloom.functions.text import words
 from ledgerloom.operators import retrieval
 from ledgerloom.operators.lexical import K1, ROWS, B, asked_terms, best_rows, ranked, sent_queries, too_many
@@ -128,6 +128,8 @@ def _packed(term, block, n, data) -> pa.RecordBatch:
 def packed(docs: DataFrame, most: int = POSTINGS) -> DataFrame:
     """Rows (term, block, n, data) of docs (doc_id, text) in blocks of about `most` postings, counted inside each document and without a shuffle."""
 
+    small_batches(docs.sparkSession)
+
     def pack(batches):
         packer = _Packer(most)
         for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):  # a document gives many postings
