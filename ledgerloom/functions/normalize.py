@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.tables import read
+from ledgerloom.functions.tables import read, small_batches
 from ledgerloom.functions.text import collapsed, compact, let
 
 # Zero-width, bidi and byte-order marks; control characters but tab, line feed and carriage return; private use.
@@ -24,13 +24,14 @@ EMAIL = REDACTIONS[2][0]
 
 
 def unicode_form(c: Column, form: str) -> Column:
-    """NFC or NFKC. ASCII texts are left alone, so only others go to Python."""
+    """NFC or NFKC. ASCII texts are left alone: Python gets nulls for them."""
+    small_batches(SparkSession.active())
 
     @F.pandas_udf("string")
     def normal(s):
         return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
-    return F.when(c.rlike(r"[^\x00-\x7F]"), normal(c)).otherwise(c)
+    return F.coalesce(normal(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def sanitize(c: Column) -> Column:
