@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.tables import read
+from ledgerloom.functions.tables import read, small_batches
 from ledgerloom.functions.text import collapsed
 
 # Words of headings, and the patterns of headings and list items.
@@ -103,6 +103,8 @@ def split_text(text: str, size: int, overlap: int, separators: list[str] = SEPAR
 def three_levels(pages: DataFrame, levels=LEVELS) -> DataFrame:
     """pages (doc_id, filename, page, text) -> chunks with chunk, parent and root ids, level and index in the page."""
 
+    small_batches(pages.sparkSession)
+
     def run(frames):
         import pandas as pd
 

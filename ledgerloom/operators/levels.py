@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.tables import read
+from ledgerloom.functions.tables import read, small_batches
 from ledgerloom.functions.text import words
 from ledgerloom.operators import retrieval
 from ledgerloom.operators.chunking import HEADING_WORDS, LEVELS, blocks, split_text
@@ -24,6 +24,7 @@ def ingested(pages: DataFrame, levels=LEVELS, heading_words: list[str] = HEADING
     scope = F.col("scope") if "scope" in pages.columns else F.lit("").alias("scope")
     keyed = pages.select(F.struct("doc_id", "filename", F.col("page").cast("int").alias("page"), scope).alias("doc_id"), "text")
     groups = blocks(keyed, heading_words).select("doc_id.*", "block", "kind", "path", F.posexplode(paragraph_groups(F.col("text"), levels[0][0])).alias("g", "text"))
+    small_batches(pages.sparkSession)
     rows = groups.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "filename", "scope", "block", "g")
 
     def cut(frames):

@@ -249,3 +249,31 @@ def test_versions_of_many_rows_are_dealt(spark, monkeypatch):
     assert sorted((r.document_id, r.chunk_id) for r in gone) == sorted((r[0], r[2]) for r in active.collect() if r[0] in changed) and {str(r.retention_until) for r in gone} == {"2024-01-31"}
     many = tables.dealt(spark.range(401), "id", 401)
     assert many.rdd.getNumPartitions() == 9 and tables.dealt(active, "document_id", 50) is active
+
+
+def test_batches_for_python_are_small(spark):
+    from ledgerloom.functions import tables
+
+    was = {k: spark.conf.get(k) for k in tables.BATCHES}
+    docs = spark.createDataFrame([(i, "x") for i in range(5000)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "x")], "query_id long, text string")
+    pages = docs.select("doc_id", F.lit("f").alias("filename"), F.lit(1).alias("page"), "text")
+    for build in (lambda: normalize.sanitize(F.col("text")), lambda: chunking.three_levels(pages), lambda: lexical.bm25(docs, asked, 2)):
+        for k in was:
+            spark.conf.unset(k)
+        build()
+        sizes = docs.coalesce(1).mapInPandas(lambda fs: (f.iloc[:1].assign(doc_id=len(f))[["doc_id"]] for f in fs), "doc_id long").collect()
+        assert len(sizes) >= 5 and max(r.doc_id for r in sizes) <= 1000
+    for k, v in {"spark.sql.execution.arrow.maxRecordsPerBatch": "10", "spark.sql.execution.arrow.maxBytesPerBatch": "1m"}.items():
+        spark.conf.set(k, v)
+        tables.small_batches(spark)
+        assert spark.conf.get(k) == v
+    for k, v in was.items():
+        spark.conf.set(k, v)
+
+
+def test_ascii_texts_stay_out_of_python(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(normalize.F, "pandas_udf", lambda kind: lambda f: lambda c: seen.append(c) or F.when(c.isNotNull(), F.concat(c, F.lit("!"))))
+    rows = spark.createDataFrame([("plain",), ("é",), (None,)], "t string").select(normalize.unicode_form(F.col("t"), "NFC").alias("x"))
+    assert [r.x for r in rows.collect()] == ["plain", "é!", None] and spark.createDataFrame([("plain",)], "t string").select(seen[0].alias("x")).first().x is None
