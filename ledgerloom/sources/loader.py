@@ -14,13 +14,15 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.tables import read
+from ledgerloom.functions.tables import read, small_batches
 from ledgerloom.operators.chunking import html_sections
 from ledgerloom.sources.readers import decoded_html, file_kind
 
 PAGE = "path string, kind string, page int, text string, error string"
 #: Greatest size of a file, and of what an archive unpacks to.
 MAX_BYTES, MAX_UNPACKED = 256 << 20, 1 << 30
+#: Rows, and characters of text, from which a batch of pages leaves a task.
+OUT_ROWS, OUT_CHARS = 1000, 1 << 20
 
 
 def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
@@ -100,14 +102,24 @@ def pages_of(files: DataFrame) -> DataFrame:
     usable = kind.isin("html", "word", "sheet") & (F.col("length") <= MAX_BYTES)
     src = files.select("path", kind.alias("kind"), F.when(usable, F.col("content")).alias("content"))
 
+    small_batches(files.sparkSession)
+
     def run(batches):
         import pyarrow as pa
 
         schema = pa.schema([("path", pa.string()), ("kind", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+        rows, chars, done = [], 0, 0
         for b in batches:
-            for i in range(b.num_rows):  # a batch out for each file: texts can be large
-                rows = parsed(*(b.column(c)[i].as_py() for c in range(3)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+            for i in range(b.num_rows):
+                rows += parsed(*(b.column(c)[i].as_py() for c in range(3)))
+                chars += sum(len(r[3] or "") for r in rows[done:])
+                done = len(rows)
+                if done >= OUT_ROWS or chars >= OUT_CHARS:  # texts can be large
+                    yield batch(rows)
+                    rows, chars, done = [], 0, 0
+        if rows:
+            yield batch(rows)
 
     return src.mapInArrow(run, PAGE)
 
@@ -126,7 +138,8 @@ def sc2_loaded(spark, d):
     ext = F.get(F.array(*[F.lit(x) for x in (".html", ".HTM", ".html", ".docx", ".xls", ".txt", ".pdf", ".html")]), n.cast("int"))
     page = F.concat(F.lit("<html><head><title>"), F.col("p_brand"), F.lit("</title><script>x = 1</script></head><body><h1>"), F.col("p_name"), F.lit("</h1><p>de "), F.col("p_type"), F.lit(" &amp; é</p></body></html>"))
     content = F.when(n == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(page, "UTF-16LE"))).when(n == 2, F.encode(F.concat(F.lit('<meta charset="iso-8859-1">'), page), "ISO-8859-1")).when(n == 7, F.encode(F.lit("<html></html>"), "UTF-8")).otherwise(F.encode(page, "UTF-8"))
-    files = read(spark, d, "part").select(F.concat(F.lit("/in/"), F.col("p_partkey"), ext).alias("path"), content.alias("content")).withColumn("length", F.length("content").cast("bigint"))
+    parts = read(spark, d, "part").repartition("p_partkey")  # many files of a small table, so that all tasks parse
+    files = parts.select(F.concat(F.lit("/in/"), F.col("p_partkey"), ext).alias("path"), content.alias("content")).withColumn("length", F.length("content").cast("bigint"))
     return pages_of(files)
 
 

@@ -55,3 +55,17 @@ def test_files_that_are_too_large(spark, monkeypatch):
     rows = loader.pages_of(files).collect()
     assert len(rows) == 2 and all(r.error for r in rows)
     assert loader.pages_of(files.limit(0)).count() == 0
+
+
+def test_small_files_share_batches(spark, monkeypatch):
+    monkeypatch.setattr(loader, "OUT_ROWS", 40)
+    files = spark.range(0, 100, 1, 1).selectExpr("concat('f', id, '.html') path", "9L length", "cast(concat('<p>', id, '</p>') as binary) content")
+    made = []
+    real = type(files).mapInArrow
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, schema: made.append(f) or real(self, f, schema))
+    rows = loader.pages_of(files).collect()
+    assert sorted(r.text for r in rows) == sorted(str(i) for i in range(100))
+    batches = [b.num_rows for b in made[0](files.selectExpr("path", "'html' kind", "content").toArrow().to_batches())]
+    assert sum(batches) == 100 and len(batches) == 3
+    monkeypatch.setattr(loader, "OUT_CHARS", 1)
+    assert len(list(made[0](files.selectExpr("path", "'html' kind", "content").toArrow().to_batches()))) == 100
