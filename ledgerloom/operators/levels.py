@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.tables import read, small_batches
+from ledgerloom.functions.storage import saved
+from ledgerloom.functions.tables import read, small, small_batches
 from ledgerloom.functions.text import words
 from ledgerloom.operators import retrieval
 from ledgerloom.operators.chunking import HEADING_WORDS, LEVELS, blocks, split_text
@@ -67,8 +68,10 @@ def merge_levels(hits: DataFrame, tree: DataFrame, threshold: int = 2, levels: i
     tree (chunk_id, parent_id) has all chunks that exist. `threshold` or more hits of a query with one parent that exists become the
     parent, at their first place with their greatest score; what came of a level merges again in the next one. `merged` is the number of hits
     that a hit was made of, 0 if it is an original one. The summary has for each query: chunks that were replaced, levels that merged any, and hits that are left.
+    Hits are written once when this is called, and so are the chunks above them, which are looked up level by level.
     """
-    up = tree.select(F.col("chunk_id").alias("_c"), F.nullif(F.col("parent_id"), F.lit("")).alias("parent_id"))
+    hits = saved(hits.select("query_id", "chunk_id", "pos", "score"), "hits")
+    up = _above(hits, tree.select(F.col("chunk_id").alias("_c"), F.nullif(F.col("parent_id"), F.lit("")).alias("parent_id")), levels)
     now = hits.select("query_id", "chunk_id", "pos", "score", F.lit(0).cast("bigint").alias("merged")).join(up, F.col("chunk_id") == F.col("_c"), "left").drop("_c")
     steps = []
     for _ in range(levels):
@@ -86,6 +89,15 @@ def merge_levels(hits: DataFrame, tree: DataFrame, threshold: int = 2, levels: i
     return out, left.select("query_id", F.coalesce("replaced", F.lit(0)).alias("replaced"), F.coalesce("steps", F.lit(0)).alias("steps"), "left")
 
 
+def _above(hits: DataFrame, up: DataFrame, levels: int) -> DataFrame:
+    """Rows of up (_c, parent_id) for the hits and for `levels` levels above them."""
+    asked, out = hits.select("chunk_id"), None
+    for _ in range(levels + 1):
+        some = saved(up.join(small(asked.where("chunk_id is not null").distinct()), F.col("_c") == F.col("chunk_id"), "left_semi"), "tree")
+        asked, out = some.select(F.col("parent_id").alias("chunk_id")), some if out is None else out.unionByName(some)
+    return out.distinct()
+
+
 def production(recalled: DataFrame, tree: DataFrame, rerank: Column, k: int, least: float, threshold: int = 2) -> DataFrame:
     """Recall, merge, rerank, threshold: recalled (query_id, chunk_id, pos, score) merged upwards, ordered by `rerank` (a column of the merged hits; null: their own score), cut to k, and then those with a score below `least` go."""
     merged, _ = merge_levels(recalled, tree, threshold)
@@ -100,18 +112,23 @@ def production(recalled: DataFrame, tree: DataFrame, rerank: Column, k: int, lea
 def _chunks(spark, d):
     """Leaves of 60 words, three of them in a chunk of the second level, and three of those in one of the first."""
     w = read(spark, d, "documents").select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
-    leaves = w.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 60).cast("int")), lambda i: F.array_join(F.slice("w", i * 60 + 1, 60), " "))).alias("n", "text")).where("text <> ''")
+    leaves = w.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 60).cast("int")), lambda i: F.slice("w", i * 60 + 1, 60))).alias("n", "words")).where("size(words) > 0")
+    leaves = leaves.select((F.col("doc_id") * 1_000_000 + F.col("n")).alias("doc_id"), "words")
+    # numbers of leaves, counted once: the tree follows from them
+    sizes = saved(w.groupBy("doc_id").agg(F.max(F.ceil(F.size("w") / 60)).alias("leaves")).where("leaves > 0"), "sizes")
     id_ = lambda level, n: F.concat(F.lit(f"{level}-"), F.col("doc_id"), F.lit("-"), F.floor(n).cast("string"))
-    leaves = leaves.select((F.col("doc_id") * 1_000_000 + F.col("n")).alias("doc_id"), "text", id_("c", F.col("n")).alias("c"), id_("b", F.col("n") / 3).alias("b"), id_("a", F.col("n") / 9).alias("a"))
+    numbered = lambda each: sizes.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("leaves") - 1) / each).cast("int"))).alias("n"))
+    n = F.col("n")
+    tree = numbered(1).select(id_("c", n).alias("chunk_id"), id_("b", n / 3).alias("parent_id")).union(numbered(3).select(id_("b", n), id_("a", n / 3)))
     # the parents of every fifth document's middle chunks are not there
-    tree = leaves.select(F.col("c").alias("chunk_id"), F.col("b").alias("parent_id")).union(leaves.select("b", "a").distinct()).union(leaves.where("floor(doc_id / 1000000) % 5 > 0").select("a", F.lit("")).distinct())
+    tree = tree.union(numbered(9).where("doc_id % 5 > 0").select(id_("a", n), F.lit("")))
     return leaves, tree
 
 
 def _recalled(spark, d):
     leaves, tree = _chunks(spark, d)
     q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    hits = bm25(leaves.select("doc_id", "text"), q, 30)
+    hits = bm25(leaves, q, 30)
     name = F.concat(F.lit("c-"), F.floor(F.col("doc_id") / 1_000_000), F.lit("-"), F.col("doc_id") % 1_000_000)
     return hits.select("query_id", name.alias("chunk_id"), F.col("rank").alias("pos"), "score"), tree
 

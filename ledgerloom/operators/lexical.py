@@ -33,7 +33,7 @@ def ranked(hits: DataFrame, k: int | None, *order, by=("query_id",)) -> DataFram
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """docs (doc_id, text), queries (*by, text): the best k documents (*by, doc_id, score, rank) of each query by BM25.
+    """docs (doc_id, text or words), queries (*by, text): the best k documents (*by, doc_id, score, rank) of each query by BM25.
 
     A term counts once for a query. If `docs` and `queries` both have an array of LISTS, a query with values in it sees only documents
     that share one; if both have a column `scope`, a query sees only documents of its scope; statistics are of all documents.
@@ -46,7 +46,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float =
     lists = [c for c in LISTS if c in queries.columns and c in docs.columns]
     scoped = "scope" in queries.columns and "scope" in docs.columns
     asked = asked_terms(queries, by, lists, scoped)
-    sized = docs.select("doc_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("w"), *lists, *(["scope"] if scoped else []))
+    found = F.col("words") if "words" in docs.columns else words(F.coalesce(F.col("text"), F.lit("")))
+    sized = docs.select("doc_id", found.alias("w"), *lists, *(["scope"] if scoped else []))
     if too_many(asked) or scoped and asked.select("scope").distinct().limit(MAX_SCOPES + 1).count() > MAX_SCOPES:
         return _joined(sized, asked, k, k1, b, by)
     sent, terms, keys, out = sent_queries(asked, by, lists, scoped)

@@ -114,3 +114,19 @@ def test_fact_candidates_of_notes(spark):
     ]
     assert of("2") == [] and of("3") == [] and len(of("4")) == 1
     assert {(r.chunk_id, str(r.effective_start), r.time_precision) for r in got} == {("1", "2024-05-06", "day"), ("4", "None", "approximate")}
+
+
+def test_hits_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    kind = "query_id long, chunk_id string, pos int, score double"
+    rows = spark.createDataFrame([(1, "c1", 1, 9.0), (1, "c2", 2, 8.0), (2, "c4", 1, 7.0), (2, None, 2, 1.0)], kind).mapInPandas(counted, kind)
+    tree = spark.createDataFrame([("c1", "b1"), ("c2", "b1"), ("c4", "b2"), ("b1", "a1"), ("b2", "a1"), ("a1", "")], "chunk_id string, parent_id string")
+    out, summary = levels.merge_levels(rows, tree.union(tree))  # rows of the tree that are there twice count once
+    assert sorted((r.chunk_id or "", r.merged) for r in out.collect()) == [("", 0), ("b1", 2), ("c4", 0)] and summary.count() == 2
+    assert seen.value == 4
