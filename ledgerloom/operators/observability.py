@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.tables import read
+from ledgerloom.operators.quantiles import selected
 
 #: Upper bounds of latency buckets, in the unit of the value.
 BUCKETS = [5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
@@ -22,18 +23,27 @@ def value_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
 
 
+def percentiles(df: DataFrame, by: str, value: str, wanted: dict[str, tuple[float, bool]]) -> DataFrame:
+    """A row for each group of `df` with the exact percentiles of wanted, name to (q, linear); nulls where a group has no values. No task holds a group's values; rounds of `selected` run when this is called."""
+    found, kind = selected(df, by, value, list(wanted.values())).withColumnRenamed(by, "_g"), df.schema[value].dataType
+    of = lambda q, linear: F.max(F.when((F.col("q") == q) & (F.col("linear") == linear), F.col(value)))
+    found = found.groupBy("_g").agg(F.lit(True).alias("_there"), *[(of(q, linear) if linear else of(q, linear).cast(kind)).alias(name) for name, (q, linear) in wanted.items()])
+    return df.select(by).distinct().join(found, F.col(by).eqNullSafe(F.col("_g")) & F.col("_there"), "left").drop("_g", "_there")
+
+
 def summary(events: DataFrame, start: Column, failed: Column, retried: Column, latency: Column) -> DataFrame:
     """One row: calls since `start`, success and retry rates, nearest-rank p50 and p95."""
     now = events.where(F.col("ts") >= start).withColumns({"f": failed, "r": retried, "l": latency})
-    return now.agg(
+    now = now.withColumn("one", F.lit(1))
+    ranks = percentiles(now, "one", "l", {"p50": (0.5, False), "p95": (0.95, False)})
+    out = now.agg(
         F.count("*").alias("calls"),
         F.count_if("f").alias("failures"),
         rate(F.count_if(~F.col("f")), F.count("*")).alias("success_rate"),
         rate(F.count_if("r"), F.count("*")).alias("retry_rate"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l)").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l)").alias("p95"),
         F.round(F.avg("l"), 4).alias("mean"),
-    )
+    ).withColumn("one", F.lit(1))
+    return out.join(ranks, "one", "left").select("calls", "failures", "success_rate", "retry_rate", "p50", "p95", "mean")
 
 
 def alerts(one: DataFrame, rules: list[tuple[str, str, str, float, str]]) -> DataFrame:
@@ -77,12 +87,12 @@ def ag1_counts(spark, d):
 
 
 def ag2_percentiles(spark, d):
-    q = [F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY value)").alias(f"p{int(x * 100)}") for x in (0.5, 0.9, 0.95, 0.99)]
-    return _events(spark, d).groupBy("event_type").agg(*q)
+    return percentiles(_events(spark, d), "event_type", "value", {f"p{int(x * 100)}": (x, False) for x in (0.5, 0.9, 0.95, 0.99)})
 
 
 def ag3_linear_percentiles(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("p50"), F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95"))
+    p = percentiles(read(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", {"p50": (0.5, True), "p95": (0.95, True)})
+    return p.select("l_returnflag", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 ALERTS = [("success_low", "success_rate", "<", 0.9, "warning"), ("p95_high", "p95", ">", 100.0, "warning"), ("failures", "failures", ">", 0, "critical"), ("retry_high", "retry_rate", ">", 0.99, "warning")]
@@ -106,8 +116,10 @@ def ag6_route_cap(spark, d):
 
 
 def ag25_load(spark, d):
-    v = F.col("value")
-    return _events(spark, d).groupBy("event_type").agg(F.min(v).alias("lo"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("hi"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY value)").alias("p99"), F.count("*").alias("n"))
+    v, e = F.col("value"), _events(spark, d)
+    rest = e.groupBy("event_type").agg(F.min(v).alias("lo"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("hi"), F.count("*").alias("n"))
+    p = percentiles(e, "event_type", "value", {"p99": (0.99, False)}).withColumnRenamed("event_type", "_type")
+    return rest.join(p, F.col("event_type").eqNullSafe(F.col("_type"))).select("event_type", "lo", "mean", "hi", "p99", "n")
 
 
 def fl18_listing(spark, d):

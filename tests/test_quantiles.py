@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import quantiles
+from ledgerloom.operators import observability, quantiles
 
 
 def plain(values, q, linear):
@@ -40,3 +40,13 @@ def test_places_share_a_scan(spark):
         quantiles.exact_quantiles(rows, "g", "v", qs, few=100).collect()
         runs.append(seen.value)
     assert runs[0] == runs[1] and runs[0] % 1009 == 0
+
+
+def test_percentiles_need_no_whole_group(spark):
+    df = spark.createDataFrame(data(), "g string, v double")
+    wide = observability.percentiles(df, "g", "v", {"p50": (0.5, True), "p90": (0.9, False)})
+    got = {r.g: (r.p50, r.p90) for r in wide.collect()}
+    want = {r.g: (r.p50, r.p90) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("p50"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY v)").alias("p90")).collect()}
+    assert got.keys() == want.keys() and got["d"] == (None, None)
+    assert all(a == b or math.isclose(a, b, rel_tol=1e-12) for g in got for a, b in zip(got[g], want[g]))
+    assert "percentile" not in wide._jdf.queryExecution().optimizedPlan().toString().lower()
